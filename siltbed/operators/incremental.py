@@ -60,7 +60,11 @@ def after_watermark(df: DataFrame, key: str, watermark: str | None) -> DataFrame
     return df.filter(column > key_literal(watermark, data_type))
 
 
-def in_window(df: DataFrame, key: str, window: BackfillWindow) -> DataFrame:
-    """Rows of the half-open interval, so that neighbouring windows tile without overlap."""
+def window_predicate(df: DataFrame, key: str, window: BackfillWindow) -> Column:
+    """Membership in the half-open interval, so that neighbouring windows tile without overlap."""
     column, data_type = _comparable(df, resolve_key(df, key))
-    return df.filter((column >= key_literal(window.start, data_type)) & (column < key_literal(window.end, data_type)))
+    return (column >= key_literal(window.start, data_type)) & (column < key_literal(window.end, data_type))
+
+
+def in_window(df: DataFrame, key: str, window: BackfillWindow) -> DataFrame:
+    return df.filter(window_predicate(df, key, window))

@@ -116,7 +116,7 @@ def _widened(schema: T.StructType) -> T.StructType:
 
 
 def _read_csv(spark: SparkSession, paths: list[str], options: LandingOptions, mode: str) -> DataFrame:
-    settings = {"header": "true", "sep": ",", "encoding": "UTF-8", **options.parser_options}
+    settings = {"header": "true", "sep": ",", "encoding": "UTF-8", "enforceSchema": "false", **options.parser_options}
     schema = _as_struct(options.schema)
     if schema is None:
         schema = _widened(spark.read.options(**settings).option("inferSchema", "true").csv(paths).schema)
@@ -198,13 +198,29 @@ def blank_files(spark: SparkSession, listing: list, parser: str) -> list[str]:
     return [row["path"] for row in listing if row["length"] == 0]
 
 
+def _fingerprint(schema: T.StructType) -> Column:
+    """A number that depends on every data column, so the scan must parse all of them."""
+    columns = [F.col(f"`{f.name}`") for f in schema.fields if f.name not in HELPERS]
+    if "map<" in schema.simpleString():  # maps have no hash
+        columns = [F.to_json(F.struct(*columns))]
+    return F.xxhash64(*columns)
+
+
 def bad_files(parsed: DataFrame) -> DataFrame:
-    """Files holding at least one broken record, with the number of broken records (combined before the shuffle)."""
+    """Files holding at least one broken record, with the number of broken records.
+
+    The counts are combined before the shuffle. The fingerprint keeps column pruning from skipping the very fields
+    whose values are broken.
+    """
     named = parsed if SOURCE_FILE in parsed.columns else parsed.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
     return (
-        named.filter(F.col(CORRUPT).isNotNull())
-        .groupBy(SOURCE_FILE)
-        .agg(F.count(F.lit(1)).alias("bad_records"))
+        named.groupBy(SOURCE_FILE)
+        .agg(
+            F.count_if(F.col(CORRUPT).isNotNull()).alias("bad_records"),
+            F.bit_xor(_fingerprint(parsed.schema)).alias("fingerprint"),
+        )
+        .filter((F.col("bad_records") > 0) & F.col("fingerprint").isNotNull())
+        .select(SOURCE_FILE, "bad_records")
     )
 
 
