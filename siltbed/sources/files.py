@@ -22,6 +22,8 @@ MAX_FILE_BYTES = 500 * 1024 * 1024
 
 CORRUPT = "_corrupt_record"
 SOURCE_FILE = "_source_file"
+LISTING_SCHEMA = "path string, directory int, name string, length bigint, modified timestamp"
+LOCAL_SCHEME = "^file:/+"
 HELPERS = (CORRUPT, SOURCE_FILE, "_metadata")
 
 
@@ -66,29 +68,23 @@ def name_skipped(name: Column, patterns: tuple[str, ...]) -> Column:
 def list_directories(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
     """One row per file directly inside the given directories; missing directories are passed over.
 
-    Only path, length and time are read: the content column is pruned from the scan.
+    One scan over all directories that reads path, length and time only: the content column is pruned. Names starting
+    with an underscore or a dot are hidden from Spark's readers and are not listed.
     """
-    listings = []
-    for position, directory in enumerate(paths):
-        if not storage.exists(spark, directory):
-            continue
-        root = storage.qualified(spark, directory).rstrip("/")
-        listings.append(
-            spark.read.format("binaryFile")
-            .load(directory)
-            .select(
-                "path",
-                F.lit(position).alias("directory"),
-                F.element_at(F.split("path", "/"), -1).alias("name"),
-                "length",
-                F.col("modificationTime").alias("modified"),
-            )
-            .filter(F.regexp_replace("path", "^file:/+", "file:/") == F.concat(
-                F.lit(re.sub("^file:/+", "file:/", root) + "/"), F.col("name")))
-        )
-    if not listings:
-        return spark.createDataFrame([], "path string, directory int, name string, length bigint, modified timestamp")
-    return reduce(DataFrame.unionByName, listings)
+    present = [d for d in paths if storage.exists(spark, d)]
+    roots = [_plain(storage.qualified(spark, d)).rstrip("/") for d in present]
+    if not present:
+        return spark.createDataFrame([], LISTING_SCHEMA)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(present)
+    plain = F.regexp_replace("path", LOCAL_SCHEME, "/")
+    position = F.array_position(F.lit(roots), F.regexp_replace(plain, "/[^/]*$", "")).cast("int") - 1
+    return found.select(
+        "path",
+        position.alias("directory"),
+        F.element_at(F.split("path", "/"), -1).alias("name"),
+        "length",
+        F.col("modificationTime").alias("modified"),
+    ).filter("directory >= 0")
 
 
 def filter_listing(
@@ -260,7 +256,7 @@ def read_landing(spark: SparkSession, options: LandingOptions, processed: DataFr
 
 
 def _plain(path: str) -> str:
-    return re.sub("^file:/+", "/", path)
+    return re.sub(LOCAL_SCHEME, "/", path)
 
 
 def _without_corrupt(schema: T.StructType) -> T.StructType:

@@ -65,7 +65,9 @@ def local_session(cpus: str = "8"):
 
     from siltbed.session import configure
 
-    builder = SparkSession.builder.master(f"local[{cpus}]").appName("siltbed").config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.master(f"local[{cpus}]").appName("siltbed").config("spark.ui.enabled", "false").config(
+        "spark.ui.showConsoleProgress", "false"
+    )
     return (
         configure(builder)
         .config("spark.sql.shuffle.partitions", "8")
