@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltbed import storage
 from siltbed.functions.schema import drifted
@@ -31,7 +34,10 @@ AUDIT_LIMITS = (1, 200)
 
 
 def append(spark: SparkSession, path: str, event: dict) -> None:
-    spark.createDataFrame([event], LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    """Add one event as one small file; times must carry a zone."""
+    schema = T.StructType.fromDDL(LEDGER_SCHEMA)
+    row = pa.Table.from_pylist([event], schema=to_arrow_schema(schema))
+    spark.createDataFrame(row, schema).write.mode("append").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -164,9 +170,11 @@ def by_trigger(runs: DataFrame) -> DataFrame:
     return runs.groupBy("triggered_by").agg(F.count(F.lit(1)).alias("runs"))
 
 
-def pipeline_state(runs: DataFrame, pipeline_id: str) -> dict:
+def pipeline_state(spark: SparkSession, path: str, pipeline_id: str) -> dict:
     """What the next run of one pipeline needs to know: watermark, last schema hash, previous row count."""
-    mine = _good_pipeline_runs(runs.filter(F.col("pipeline_id") == pipeline_id))
+    if not storage.exists(spark, path):
+        return {"watermark": None, "rows_read": None, "schema_hash": None}
+    mine = _good_pipeline_runs(read(spark, path).filter(F.col("pipeline_id") == pipeline_id))
     row = mine.agg(
         F.max_by("watermark", "seq").alias("watermark"),
         F.max_by("rows_read", "seq").alias("rows_read"),

@@ -68,7 +68,8 @@ def dashboard(pipelines: DataFrame, runs: DataFrame) -> DataFrame:
             F.count_if(F.col("status") == "failed").alias("recent_failed"),
         )
     )
-    return active.join(recent, F.lit(True))
+    tiles = ("active_pipelines", "recent_success", "recent_failed")
+    return active.unionByName(recent, allowMissingColumns=True).agg(*[F.max(tile).alias(tile) for tile in tiles])
 
 
 def sla_state(pipelines: DataFrame, runs: DataFrame, now: datetime) -> DataFrame:

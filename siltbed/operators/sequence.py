@@ -6,18 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNKS = 64
+ROWS_PER_TASK = 2_000_000
 
 
-def with_previous(df: DataFrame, key: str, seq: str, values: dict[str, str], chunks: int = CHUNKS) -> DataFrame:
+def with_previous(
+    df: DataFrame, key: str, seq: str, values: dict[str, str], rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Add the values of the preceding row (by ``seq``, a unique number) of the same key.
 
-    A plain window would sort all rows of a key in one task. Here the sequence is cut at approximate quantiles, the
-    window runs per key and chunk (about ``1/chunks`` of the rows at most), and the first row of each chunk takes its
-    values from a small table holding the last row of every earlier chunk. ``values`` maps new names to columns.
+    A window sorts all rows of a key in one task, which is fine until a key is too large for that. The largest key is
+    measured first, by a count that is combined before its shuffle. ``values`` maps new names to existing columns.
     """
-    cuts = sorted(set(df.agg(F.percentile_approx(seq, [i / chunks for i in range(1, chunks)], 10_000)).first()[0] or []))
-    above = [(F.col(seq) > F.lit(cut)).cast("int") for cut in cuts]
-    chunk = sum(above[1:], above[0]) if above else F.lit(0)
+    heaviest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if heaviest <= rows_per_task:
+        ordered = Window.partitionBy(key).orderBy(seq)
+        return df.withColumns({name: F.lag(source).over(ordered) for name, source in values.items()})
+    return _in_chunks(df, key, seq, values, max(CHUNKS, -(-heaviest // rows_per_task)))
+
+
+def _in_chunks(df: DataFrame, key: str, seq: str, values: dict[str, str], chunks: int) -> DataFrame:
+    """The same result with every key cut into pieces.
+
+    The sequence is cut at approximate quantiles, so a piece of a key has about ``1/chunks`` of all rows at most. The
+    first row of a piece takes its values from a small table holding the last row of every earlier piece.
+    """
+    shares = [i / chunks for i in range(1, chunks)]
+    cuts = sorted(set(df.agg(F.percentile_approx(seq, shares, 10_000)).first()[0]))
+    chunk = F.size(F.filter(F.lit(cuts), lambda cut: cut < F.col(seq)))
     cut_up = df.withColumn("__chunk", chunk).withColumn(
         "__row", F.struct(*[F.col(source).alias(name) for name, source in values.items()])
     )

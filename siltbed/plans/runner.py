@@ -69,8 +69,7 @@ def run_pipeline(
     """
     if window is not None and spec.incremental_key is None:
         raise SpecError("a backfill needs an incremental_key")
-    runs = ledger.read(spark, ledger_path)
-    state = ledger.pipeline_state(runs, spec.pipeline_id)
+    state = ledger.pipeline_state(spark, ledger_path, spec.pipeline_id)
     trigger = "backfill" if window is not None else ctx.triggered_by
     result = RunResult(ctx.run_id, spec.pipeline_id, path=f"{root}{resolve_path(spec.destination, ctx)}")
     spark.addTag(ctx.run_id)

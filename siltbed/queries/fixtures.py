@@ -16,7 +16,7 @@ from siltbed.queries.views import table
 
 PAGE_ROWS = 100
 PAGES_PER_ENDPOINT = 50
-FILE_ROWS = 500
+FILE_ROWS = 2000
 
 EVENT_SCHEMA = "event_id bigint, ts string, user_id bigint, event_type string, value double, props string"
 CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"

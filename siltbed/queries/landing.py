@@ -117,7 +117,7 @@ def landing_unprocessed_files(spark, sf_dir):
 
 
 # A landing file is broken when an error event above this value was cut off while it was written.
-BROKEN_ABOVE = 280
+BROKEN_ABOVE = 330
 
 
 def _event_files(spark, sf_dir) -> tuple[str, files.LandingOptions]:
