@@ -74,7 +74,7 @@ def binary_source(spark, sf_dir):
         "maxRecordsPerFile", 1000
     ).partitionBy("source").text(path)
     raw = files.parse_files(spark, list(fixtures.directories(spark, path)), files.LandingOptions((), "binary"))
-    source = F.regexp_extract("_metadata.file_path", "source=([^/]+)", 1)
+    source = F.regexp_extract(files.SOURCE_FILE, "source=([^/]+)", 1)
     return raw.groupBy(source.alias("source")).agg(F.sum(F.octet_length("raw")).alias("n_bytes"))
 
 

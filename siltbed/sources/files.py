@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import fnmatch
 import re
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,28 +14,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltbed import extensions, storage
-from siltbed.sources.avro import read_avro
+from siltbed.sources.avro import avro_kind, read_avro
 
 # Landing defaults.
 SKIP_PATTERNS = ("TMP_*",)
 MAX_FILES = 1000
 MAX_FILE_BYTES = 500 * 1024 * 1024
+CHARSETS = {"ascii": "US-ASCII", "iso8859-1": "ISO-8859-1", "utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16"}
 
 CORRUPT = "_corrupt_record"
 SOURCE_FILE = "_source_file"
+HELPERS = (CORRUPT, SOURCE_FILE)
+UNUSABLE = ("empty", "foreign")
 LISTING_SCHEMA = "path string, directory int, name string, length bigint, modified timestamp"
 LOCAL_SCHEME = "^file:/+"
-HELPERS = (CORRUPT, SOURCE_FILE, "_metadata")
 
 
 class EmptySourceError(ValueError):
     """A file without any record, where the format needs at least one."""
 
 
-class BadFileError(ValueError):
-    """A file that cannot be parsed while the run is set to stop at the first one."""
-
-
 @dataclass(frozen=True)
 class LandingOptions:
     paths: tuple[str, ...]
@@ -65,26 +64,41 @@ def name_skipped(name: Column, patterns: tuple[str, ...]) -> Column:
     return verdict
 
 
+def _plain(path: str) -> str:
+    return re.sub(LOCAL_SCHEME, "/", path)
+
+
 def list_directories(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
     """One row per file directly inside the given directories; missing directories are passed over.
 
-    One scan over all directories that reads path, length and time only: the content column is pruned. Names starting
-    with an underscore or a dot are hidden from Spark's readers and are not listed.
+    One scan over all directories that reads path, length and time only: the content column is pruned. Spark's file
+    index leaves out empty files, which are added from the directory itself, and hidden names (leading ``_`` or ``.``),
+    which no Spark reader would open.
     """
     present = [d for d in paths if storage.exists(spark, d)]
-    roots = [_plain(storage.qualified(spark, d)).rstrip("/") for d in present]
     if not present:
         return spark.createDataFrame([], LISTING_SCHEMA)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(present)
-    plain = F.regexp_replace("path", LOCAL_SCHEME, "/")
-    position = F.array_position(F.lit(roots), F.regexp_replace(plain, "/[^/]*$", "")).cast("int") - 1
-    return found.select(
-        "path",
-        position.alias("directory"),
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        "length",
-        F.col("modificationTime").alias("modified"),
-    ).filter("directory >= 0")
+    roots = [_plain(storage.qualified(spark, d)).rstrip("/") for d in present]
+    folder = F.regexp_replace(F.regexp_replace("path", LOCAL_SCHEME, "/"), "/[^/]*$", "")
+    listed = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .load(present)
+        .select(
+            "path",
+            (F.array_position(F.lit(roots), folder) - 1).cast("int").alias("directory"),
+            F.element_at(F.split("path", "/"), -1).alias("name"),
+            "length",
+            F.col("modificationTime").alias("modified"),
+        )
+        .filter("directory >= 0")
+    )
+    empty = [
+        (path, place, path.rsplit("/", 1)[-1], 0, None)
+        for place, directory in enumerate(present)
+        for path in storage.empty_files(spark, directory)
+    ]
+    return listed.unionByName(spark.createDataFrame(empty, LISTING_SCHEMA)) if empty else listed
 
 
 def filter_listing(
@@ -103,6 +117,30 @@ def unprocessed(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     return listing.join(manifest.select("path"), "path", "left_anti")
 
 
+def probe_files(spark: SparkSession, paths: list[str], parser: str) -> dict[str, str]:
+    """What each file holds: ``data``, for JSON ``array`` or ``lines``, or ``empty`` and ``foreign`` for unusable ones.
+
+    JSON and Avro files are opened for their first bytes only; the number of paths is bounded by ``max_files``.
+    """
+
+    def kind(path: str) -> str:
+        if parser == "avro":
+            return avro_kind(spark, path)
+        start = storage.visible_start(spark, path, 2)
+        if not start or start == "[]":
+            return "empty"
+        return "array" if start[0] == "[" else "lines"
+
+    if parser not in ("avro", "json"):
+        return dict.fromkeys(paths, "data")
+    with ThreadPoolExecutor(max_workers=storage.PARALLEL_CALLS) as pool:
+        return dict(zip(paths, pool.map(kind, paths), strict=True))
+
+
+def _as_struct(schema: T.StructType | str | None) -> T.StructType | None:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
 def _widened(schema: T.StructType) -> T.StructType:
     """Inferred integers are 64 bit, as in the canonical schemas."""
     small = (T.ByteType, T.ShortType, T.IntegerType)
@@ -111,87 +149,84 @@ def _widened(schema: T.StructType) -> T.StructType:
     )
 
 
-def _read_csv(spark: SparkSession, paths: list[str], options: LandingOptions, mode: str) -> DataFrame:
-    settings = {"header": "true", "sep": ",", "encoding": "UTF-8", "enforceSchema": "false", **options.parser_options}
+def _reader(reader, schema: T.StructType, mode: str):
+    if mode == "FAILFAST":
+        return reader.schema(schema).option("mode", mode)
+    return (
+        reader.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+    )
+
+
+def _with_file(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
+
+
+def _csv_settings(parser_options: dict) -> dict:
+    """Reader settings: ``delimiter`` is taken for ``sep``, and Python's encoding names for Java's."""
+    chosen = {"sep": parser_options.get("delimiter", ","), "encoding": "UTF-8", "enforceSchema": "false"}
+    chosen |= {name: value for name, value in parser_options.items() if name != "delimiter"}
+    try:
+        chosen["encoding"] = CHARSETS.get(codecs.lookup(chosen["encoding"]).name, chosen["encoding"])
+    except LookupError:
+        pass  # a name only Java knows
+    return {"header": "true", **chosen}
+
+
+def _read_csv(spark: SparkSession, kinds: dict[str, str], options: LandingOptions, mode: str) -> DataFrame:
+    settings = _csv_settings(options.parser_options)
     schema = _as_struct(options.schema)
     if schema is None:
-        schema = _widened(spark.read.options(**settings).option("inferSchema", "true").csv(paths).schema)
-    if not schema.fields:
-        raise EmptySourceError(f"no columns found in {paths[:3]}")
-    rows = _permissive(spark.read.options(**settings), schema, mode).csv(paths)
+        schema = _widened(spark.read.options(**settings).option("inferSchema", "true").csv(list(kinds)).schema)
+    rows = _with_file(_reader(spark.read.options(**settings), schema, mode).csv(list(kinds)))
     # An empty field of a text column is empty text, not NULL.
-    texts = {f.name: F.coalesce(F.col(f"`{f.name}`"), F.lit("")) for f in schema.fields
-             if isinstance(f.dataType, T.StringType)}
+    texts = {
+        f.name: F.coalesce(F.col(f"`{f.name}`"), F.lit("")) for f in schema.fields if isinstance(f.dataType, T.StringType)
+    }
     return rows.withColumns(texts) if texts else rows
 
 
-def _read_json(spark: SparkSession, paths: list[str], options: LandingOptions, mode: str) -> DataFrame:
-    """Arrays and line-delimited files may be mixed; each file's first visible character tells which it is."""
-    with ThreadPoolExecutor(max_workers=storage.PARALLEL_CALLS) as pool:
-        first = dict(zip(paths, pool.map(lambda p: storage.first_visible_char(spark, p), paths), strict=True))
-    groups = {
-        "true": [p for p, c in first.items() if c == "["],
-        "false": [p for p, c in first.items() if c not in ("[", None)],
-    }
-    groups = {multi: found for multi, found in groups.items() if found}
-    if not groups:
-        raise EmptySourceError(f"no records found in {paths[:3]}")
+def _read_json(spark: SparkSession, kinds: dict[str, str], options: LandingOptions, mode: str) -> DataFrame:
+    """Array files and line files need different readers; both may lie in one directory."""
     schema = _as_struct(options.schema)
     parts = []
-    for multi, found in groups.items():
-        reader = spark.read.options(**options.parser_options).option("multiLine", multi)
-        known = schema or T.StructType(
-            [f for f in reader.json(found).schema.fields if f.name != CORRUPT]
-        )
-        parts.append(_permissive(reader, known, mode).json(found))
+    for kind, multi_line in (("array", "true"), ("lines", "false")):
+        paths = [path for path, found in kinds.items() if found == kind]
+        if paths:
+            reader = spark.read.options(**options.parser_options).option("multiLine", multi_line)
+            known = schema or T.StructType([f for f in reader.json(paths).schema.fields if f.name != CORRUPT])
+            parts.append(_with_file(_reader(reader, known, mode).json(paths)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _read_avro(spark: SparkSession, paths: list[str], options: LandingOptions, mode: str) -> DataFrame:
-    return read_avro(spark, paths, _as_struct(options.schema))
+def _read_avro(spark: SparkSession, kinds: dict[str, str], options: LandingOptions, mode: str) -> DataFrame:
+    return read_avro(spark, list(kinds), _as_struct(options.schema))
 
 
-def _read_binary(spark: SparkSession, paths: list[str], options: LandingOptions, mode: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(paths).select(F.col("content").alias("raw"), "_metadata")
+def _read_binary(spark: SparkSession, kinds: dict[str, str], options: LandingOptions, mode: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(list(kinds))
+    return _with_file(files).select(F.col("content").alias("raw"), SOURCE_FILE)
 
 
 FORMATS = {"csv": _read_csv, "json": _read_json, "avro": _read_avro, "binary": _read_binary}
 
 
-def _as_struct(schema: T.StructType | str | None) -> T.StructType | None:
-    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-
-
-def _permissive(reader, schema: T.StructType, mode: str):
-    if mode == "FAILFAST":
-        return reader.schema(schema).option("mode", mode)
-    return (
-        reader.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-    )
-
-
-def parse_files(spark: SparkSession, paths: list[str], options: LandingOptions, mode: str = "PERMISSIVE") -> DataFrame:
+def parse_files(
+    spark: SparkSession, paths: list[str] | dict[str, str], options: LandingOptions, mode: str = "PERMISSIVE"
+) -> DataFrame:
     """Rows of the files; in permissive mode broken records carry their text in ``_corrupt_record``."""
-    if not paths:
-        raise EmptySourceError("no files to parse")
+    kinds = paths if isinstance(paths, dict) else probe_files(spark, paths, options.parser)
+    kinds = {path: kind for path, kind in kinds.items() if kind not in UNUSABLE}
+    if not kinds:
+        raise EmptySourceError("no records to parse")
     if options.parser in FORMATS:
-        return FORMATS[options.parser](spark, paths, options, mode)
-    rows = extensions.parse_bytes(spark, extensions.get_parser(options.parser), paths, SOURCE_FILE, CORRUPT)
-    if mode == "FAILFAST":
-        return rows.filter(
-            F.when(F.col(CORRUPT).isNotNull(), F.raise_error(F.concat(F.col(SOURCE_FILE), F.lit(": "), F.col(CORRUPT))))
-            .otherwise(F.lit(True))
-        )
-    return rows
-
-
-def blank_files(spark: SparkSession, listing: list, parser: str) -> list[str]:
-    """Files with nothing in them. Raw bytes may be empty; every other format needs content."""
-    if parser == "binary":
-        return []
-    return [row["path"] for row in listing if row["length"] == 0]
+        return FORMATS[options.parser](spark, kinds, options, mode)
+    rows = extensions.parse_bytes(spark, extensions.get_parser(options.parser), list(kinds), SOURCE_FILE, CORRUPT)
+    if mode != "FAILFAST":
+        return rows
+    failure = F.raise_error(F.concat(F.col(SOURCE_FILE), F.lit(": "), F.col(CORRUPT))).cast("boolean")
+    return rows.filter(F.when(F.col(CORRUPT).isNotNull(), failure).otherwise(F.lit(True)))
 
 
 def _fingerprint(schema: T.StructType) -> Column:
@@ -208,9 +243,8 @@ def bad_files(parsed: DataFrame) -> DataFrame:
     The counts are combined before the shuffle. The fingerprint keeps column pruning from skipping the very fields
     whose values are broken.
     """
-    named = parsed if SOURCE_FILE in parsed.columns else parsed.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
     return (
-        named.groupBy(SOURCE_FILE)
+        parsed.groupBy(SOURCE_FILE)
         .agg(
             F.count_if(F.col(CORRUPT).isNotNull()).alias("bad_records"),
             F.bit_xor(_fingerprint(parsed.schema)).alias("fingerprint"),
@@ -224,43 +258,36 @@ def read_landing(spark: SparkSession, options: LandingOptions, processed: DataFr
     """Land the files of the directories.
 
     With ``fail_fast`` the first broken file stops the run, in one pass. Otherwise a first pass finds files with
-    broken records and a second reads only the others, so one bad record keeps its whole file out. The file lists
-    held by the driver are bounded by ``max_files``.
+    broken records and, if there are any, a second reads only the others, so one bad record keeps its whole file out.
+    The file lists held by the driver are bounded by ``max_files``.
     """
     listing = list_directories(spark, options.paths)
     if processed is not None:
         listing = unprocessed(listing, processed)
     found = filter_listing(listing, options.skip_patterns, options.max_file_bytes, options.max_files).collect()
-    blank = blank_files(spark, found, options.parser)
-    if blank and options.fail_fast:
-        raise EmptySourceError(f"empty file {blank[0]}")
-    paths = [row["path"] for row in found if row["path"] not in set(blank)]
-    if not paths:
-        return LandingRead(spark.createDataFrame([], _as_struct(options.schema) or T.StructType([])), blank)
+    # Raw bytes may be empty; every other format needs content.
+    sized = [row["path"] for row in found if row["length"] > 0 or options.parser == "binary"]
+    kinds = probe_files(spark, sized, options.parser)
+    usable = {path: kind for path, kind in kinds.items() if kind not in UNUSABLE}
+    unusable = sorted(row["path"] for row in found if row["path"] not in usable)
+    if unusable and options.fail_fast:
+        raise EmptySourceError(f"no records in {unusable[0]}")
+    if not usable:
+        return LandingRead(spark.createDataFrame([], _as_struct(options.schema) or T.StructType([])), unusable)
     if options.fail_fast or options.parser in ("avro", "binary"):
-        rows = parse_files(spark, paths, options, "FAILFAST")
-        return LandingRead(_data_columns(rows), blank)
-    first_pass = parse_files(spark, paths, options)
-    failed = [row[SOURCE_FILE] for row in bad_files(first_pass).collect()]
-    if not failed:
-        return LandingRead(_data_columns(first_pass), blank)
-    rejected = {_plain(path) for path in failed}
-    good = [path for path in paths if _plain(path) not in rejected]
-    fixed = LandingOptions(**{**options.__dict__, "schema": _without_corrupt(first_pass.schema)})
+        return LandingRead(_data_columns(parse_files(spark, usable, options, "FAILFAST")), unusable)
+    first_pass = parse_files(spark, usable, options)
+    broken = {_plain(row[SOURCE_FILE]): row[SOURCE_FILE] for row in bad_files(first_pass).collect()}
+    if not broken:
+        return LandingRead(_data_columns(first_pass), unusable)
+    schema = _data_columns(first_pass).schema
+    good = {path: kind for path, kind in usable.items() if _plain(path) not in broken}
     rows = (
-        _data_columns(parse_files(spark, good, fixed))
+        _data_columns(parse_files(spark, good, replace(options, schema=schema)))
         if good
-        else spark.createDataFrame([], _without_corrupt(first_pass.schema))
+        else spark.createDataFrame([], schema)
     )
-    return LandingRead(rows, sorted(blank + failed))
-
-
-def _plain(path: str) -> str:
-    return re.sub(LOCAL_SCHEME, "/", path)
-
-
-def _without_corrupt(schema: T.StructType) -> T.StructType:
-    return T.StructType([f for f in schema.fields if f.name not in HELPERS])
+    return LandingRead(rows, sorted([*unusable, *broken.values()]))
 
 
 def _data_columns(rows: DataFrame) -> DataFrame:

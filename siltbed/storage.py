@@ -99,14 +99,27 @@ def delete_files(spark: SparkSession, paths: Iterable[str]) -> int:
     return in_parallel(remove, paths)
 
 
-def first_visible_char(spark: SparkSession, path: str) -> str | None:
-    """First character that is not white space or a byte-order mark; ``None`` for a blank file."""
+def empty_files(spark: SparkSession, directory: str) -> Iterator[str]:
+    """Visible files without content directly inside a directory, streamed from its listing."""
+    fs, p = _open(spark, directory)
+    listing = fs.listStatusIterator(p)
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0 and status.isFile():
+            path = status.getPath().toString()
+            if not path.rsplit("/", 1)[-1].startswith(("_", ".")):
+                yield path
+
+
+def visible_start(spark: SparkSession, path: str, size: int) -> str:
+    """The first characters that are neither white space nor a byte-order mark; shorter when the file ends before."""
     fs, p = _open(spark, path)
     stream = fs.open(p)
+    found = ""
     try:
-        while (byte := stream.read()) >= 0:
+        while len(found) < size and (byte := stream.read()) >= 0:
             if byte not in (9, 10, 11, 12, 13, 32, 0xEF, 0xBB, 0xBF):
-                return chr(byte)
-        return None
+                found += chr(byte)
+        return found
     finally:
         stream.close()
