@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from siltbed.plans.spec import PipelineSpec, RunContext
 
 SourceFn = Callable[[SparkSession, PipelineSpec, RunContext], DataFrame]
-SinkFn = Callable[[DataFrame, str], None]
+SinkFn = Callable[[DataFrame, str], int | None]  # may return the number of rows written
 ParserFn = Callable[[bytes], Iterable[tuple]]
 
 

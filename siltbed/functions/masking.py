@@ -41,29 +41,28 @@ def _float_text(value: Column) -> Column:
     )
 
 
-def _timestamp_text(value: Column, suffix: str) -> Column:
-    whole = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-    fraction = F.date_format(value, "SSSSSS")
-    return F.concat(
-        whole,
-        F.when(fraction == "000000", F.lit("")).otherwise(F.concat(F.lit("."), fraction)),
-        F.lit(suffix),
-    )
+def utc_wall_time(value: Column) -> Column:
+    """A ``timestamp`` as ``timestamp_ntz`` in UTC, whatever the session zone."""
+    seconds = (F.unix_micros(value).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
 
 
-def canonical_text(value: Column, data_type: T.DataType) -> Column:
-    """The text that is hashed, equal to Python's ``str`` of the same value for every scalar type but binary.
+def _wall_time_text(value: Column) -> Column:
+    """Seconds, then either no fraction or all six digits of it."""
+    text = value.cast("string")
+    return F.when(F.length(text) == 19, text).otherwise(F.rpad(text, 26, "0"))
 
-    ``timestamp`` is written in the session zone with a ``+00:00`` suffix, so the session zone must be UTC.
-    """
+
+def canonical_text(value: Column, data_type: T.DataType) -> Column:
+    """The text that is hashed, equal to Python's ``str`` of the same value for every scalar type but binary."""
     if isinstance(data_type, T.BooleanType):
         return F.when(value, F.lit("True")).when(~value, F.lit("False"))
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return F.when(value.isNotNull(), _float_text(value))
     if isinstance(data_type, T.TimestampNTZType):
-        return _timestamp_text(value, "")
+        return _wall_time_text(value)
     if isinstance(data_type, T.TimestampType):
-        return _timestamp_text(value, "+00:00")
+        return F.concat(_wall_time_text(utc_wall_time(value)), F.lit("+00:00"))
     return value.cast("string")
 
 

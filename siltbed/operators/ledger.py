@@ -90,6 +90,11 @@ def duration_ms(started: Column, finished: Column) -> Column:
     return F.call_function("div", micros, F.lit(1000))
 
 
+def log_lines(current: DataFrame) -> DataFrame:
+    """Stored logs as numbered lines; expects one row per run."""
+    return current.select("job_id", F.posexplode("logs").alias("line_no", "line"))
+
+
 def log_slice(lines: DataFrame, since: int, job_id: str | None = None) -> DataFrame:
     """Log lines at or after an offset, for one run or all, with the offset to ask for next."""
     if job_id is not None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.functions.schema import drifted
+from siltbed.operators.incremental import key_literal
 from siltbed.operators.ledger import OPEN, last_success
 
 # Upper bounds of the duration histogram, in seconds.
@@ -74,7 +75,7 @@ def dashboard(pipelines: DataFrame, runs: DataFrame) -> DataFrame:
 
 def sla_state(pipelines: DataFrame, runs: DataFrame, now: datetime) -> DataFrame:
     """Live, watched pipelines with ``overdue`` and ``suppressed``. Runs are reduced to one row per pipeline first."""
-    moment = F.lit(now.strftime("%Y-%m-%d %H:%M:%S.%f")).cast(_moment_type(runs))
+    moment = key_literal(now.isoformat(), runs.schema["finished_at"].dataType)
     window = F.make_dt_interval(mins=F.col("sla_minutes"))
     watched = pipelines.filter(
         F.col("deleted_at").isNull() & F.col("sla_minutes").isNotNull() & F.col("webhook_url").isNotNull()
@@ -89,12 +90,8 @@ def sla_state(pipelines: DataFrame, runs: DataFrame, now: datetime) -> DataFrame
     )
 
 
-def _moment_type(runs: DataFrame):
-    return runs.schema["finished_at"].dataType
-
-
 def sla_breaches(pipelines: DataFrame, runs: DataFrame, now: datetime) -> DataFrame:
-    """Breaches to announce now, one payload row each. ``now`` is in UTC."""
+    """Breaches to announce now, one payload row each."""
     return (
         sla_state(pipelines, runs, now)
         .filter(F.col("overdue") & ~F.col("suppressed"))

@@ -8,10 +8,12 @@ the run's one pass over the data.
 from __future__ import annotations
 
 import traceback
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from siltbed import extensions
 from siltbed.functions.masking import mask_columns
@@ -21,8 +23,9 @@ from siltbed.operators.incremental import after_watermark, in_window, resolve_ke
 from siltbed.operators.quality import GateError, check_gates
 from siltbed.plans.spec import BackfillWindow, PipelineSpec, RunContext, SpecError, resolve_path
 from siltbed.sinks import parquet
-from siltbed.sources.files import LandingOptions, read_landing
+from siltbed.sources.files import LandingOptions, finish_landing, read_landing
 from siltbed.sources.jdbc import JdbcSource, read_jdbc
+from siltbed.sources.rest import read_rest
 from siltbed.sources.sql import query_source
 
 
@@ -43,16 +46,30 @@ class RunResult:
     logs: list[str] = field(default_factory=list)
 
 
-def extract(spark: SparkSession, spec: PipelineSpec, ctx: RunContext) -> tuple[DataFrame, list[str]]:
-    """Rows of the pipeline's source, and the files that had to be left out."""
+@dataclass(frozen=True)
+class Extracted:
+    """Rows of a source, the files left out, and what to do with the source once the rows are visible."""
+
+    rows: DataFrame
+    failed_files: list[str] = field(default_factory=list)
+    finish: Callable[[], None] = lambda: None
+
+
+def extract(spark: SparkSession, spec: PipelineSpec, ctx: RunContext) -> Extracted:
+    options = spec.source_options
     if spec.source == "sql":
-        return query_source(spark, spec.query, ctx), []
+        return Extracted(query_source(spark, spec.query, ctx))
     if spec.source == "jdbc":
-        return read_jdbc(spark, JdbcSource(query=spec.query, **spec.source_options), ctx), []
+        return Extracted(read_jdbc(spark, JdbcSource(query=spec.query, **options), ctx))
+    if spec.source == "rest":
+        return Extracted(read_rest(spark, **options))
     if spec.source == "files":
-        landed = read_landing(spark, LandingOptions(**spec.source_options))
-        return landed.rows, landed.failed_files
-    return extensions.get_source(spec.source)(spark, spec, ctx), []
+        wanted = LandingOptions(**options)
+        landed = read_landing(spark, wanted)
+        return Extracted(
+            landed.rows, landed.failed_files, lambda: finish_landing(spark, wanted, landed, ctx.run_id)
+        )
+    return Extracted(extensions.get_source(spec.source)(spark, spec, ctx))
 
 
 def run_pipeline(
@@ -62,10 +79,12 @@ def run_pipeline(
     ledger_path: str,
     root: str = "",
     window: BackfillWindow | None = None,
+    announce: bool = False,
 ) -> RunResult:
     """Run a pipeline once and record the outcome; errors end up in the result and the ledger, not in the caller.
 
-    ``root`` is put in front of the destination, e.g. a bucket or a mount.
+    ``root`` is put in front of the destination, e.g. a bucket or a mount. With ``announce`` the ledger also gets an
+    event when the run starts, which ``recover_unfinished`` uses after a crash.
     """
     if window is not None and spec.incremental_key is None:
         raise SpecError("a backfill needs an incremental_key")
@@ -74,6 +93,8 @@ def run_pipeline(
     result = RunResult(ctx.run_id, spec.pipeline_id, path=f"{root}{resolve_path(spec.destination, ctx)}")
     spark.addTag(ctx.run_id)
     started = datetime.now(UTC)
+    if announce:
+        _record(spark, ledger_path, spec.connection_id, trigger, ctx, started, None, result)
     try:
         _land(spark, spec, ctx, window, state, result)
     except Exception as error:  # any failure ends the run as failed, with nothing promoted
@@ -83,7 +104,7 @@ def run_pipeline(
         parquet.discard(spark, result.path, ctx.run_id)
     finally:
         spark.removeTag(ctx.run_id)
-    _record(spark, ledger_path, spec.connection_id, trigger, ctx, started, result)
+    _record(spark, ledger_path, spec.connection_id, trigger, ctx, started, datetime.now(UTC), result)
     return result
 
 
@@ -100,7 +121,7 @@ def run_extract(
         result.status = "failed"
         result.error = _summary(error)
         parquet.discard(spark, path, ctx.run_id)
-    _record(spark, ledger_path, None, ctx.triggered_by, ctx, started, result)
+    _record(spark, ledger_path, None, ctx.triggered_by, ctx, started, datetime.now(UTC), result)
     return result
 
 
@@ -112,7 +133,8 @@ def _land(
     state: dict,
     result: RunResult,
 ) -> None:
-    rows, result.failed_files = extract(spark, spec, ctx)
+    source = extract(spark, spec, ctx)
+    rows, result.failed_files = source.rows, source.failed_files
     if window is not None:
         rows = in_window(rows, spec.incremental_key, window)
     elif spec.extraction_mode == "incremental":
@@ -135,6 +157,11 @@ def _land(
     if key in spec.pii_columns:
         raise SpecError(f"{key!r} cannot be masked and give the watermark")
     rows = mask_columns(rows, spec.pii_columns)
+    if spec.sink != "parquet":
+        _write_elsewhere(spec, rows, state, result)
+        source.finish()
+        result.watermark = None if window is not None else ctx.run_ts.astimezone(UTC).isoformat()
+        return
     partition = None
     if spec.partition_by == "ingest_date":
         rows = parquet.with_ingest_date(rows, ctx.local_date)
@@ -143,6 +170,7 @@ def _land(
     check_gates(staged.rows_read, spec.min_rows_expected, spec.max_rows_drop_pct, state["rows_read"])
     replace = spec.extraction_mode == "full_refresh" and window is None
     _publish(spark, staged, replace, result)
+    source.finish()
     if window is None:
         result.watermark = (
             (staged.max_key and datetime.fromisoformat(staged.max_key).isoformat()) or state["watermark"]
@@ -151,17 +179,51 @@ def _land(
         )
 
 
+def _write_elsewhere(spec: PipelineSpec, rows: DataFrame, state: dict, result: RunResult) -> None:
+    """A registered sink has no staging area, so gates need a count of their own before anything is written."""
+    if spec.min_rows_expected is not None or spec.max_rows_drop_pct is not None:
+        check_gates(rows.count(), spec.min_rows_expected, spec.max_rows_drop_pct, state["rows_read"])
+    seen = Observation()
+    written = extensions.get_sink(spec.sink)(rows.observe(seen, F.count(F.lit(1)).alias(parquet.ROWS_READ)), result.path)
+    result.rows_read = seen.get[parquet.ROWS_READ]
+    result.rows_written = result.rows_read if written is None else written
+    _resolve(result)
+
+
+def recover_unfinished(spark: SparkSession, ledger_path: str) -> list[str]:
+    """Undo announced runs that never finished, and record them as failed; returns their job ids."""
+    open_runs = ledger.latest(ledger.read(spark, ledger_path)).filter(F.col("status") == "running").collect()
+    for event in open_runs:
+        parquet.recover(spark, event["destination_path"], event["job_id"])
+        now = datetime.now(UTC)
+        closed = event.asDict(recursive=True) | {
+            name: event[name].replace(tzinfo=UTC) for name in ("created_at", "started_at") if event[name]
+        }
+        ledger.append(
+            spark,
+            ledger_path,
+            closed | {"seq": ledger.next_seq(now), "status": "failed", "error": "run did not finish", "finished_at": now},
+        )
+    return sorted(event["job_id"] for event in open_runs)
+
+
 def _publish(spark: SparkSession, staged: parquet.StagedWrite, replace: bool, result: RunResult) -> None:
     result.rows_read, result.rows_written = staged.rows_read, staged.rows_written
-    if staged.rows_read != staged.rows_written:
-        raise GateError(f"{staged.rows_read} rows read but {staged.rows_written} written")
-    parquet.promote(spark, staged, replace)
+    if staged.rows_read == staged.rows_written:
+        parquet.promote(spark, staged, replace)
+    _resolve(result)
+
+
+def _resolve(result: RunResult) -> None:
+    """failed on a count mismatch, partial_success when files were left out, else success."""
+    if result.rows_read != result.rows_written:
+        raise GateError(f"{result.rows_read} rows read but {result.rows_written} written")
     if result.failed_files:
         result.status = "partial_success"
-        result.logs.append(f"{staged.rows_read} rows landed, {len(result.failed_files)} files left out")
+        result.logs.append(f"{result.rows_read} rows landed, {len(result.failed_files)} files left out")
     else:
         result.status = "success"
-        result.logs.append(f"{staged.rows_read} rows landed")
+        result.logs.append(f"{result.rows_read} rows landed")
 
 
 def _record(
@@ -171,21 +233,21 @@ def _record(
     trigger: str,
     ctx: RunContext,
     started: datetime,
+    finished: datetime | None,
     result: RunResult,
 ) -> None:
-    finished = datetime.now(UTC)
     ledger.append(
         spark,
         ledger_path,
         {
-            "seq": ledger.next_seq(finished),
+            "seq": ledger.next_seq(finished or started),
             "job_id": result.job_id,
             "pipeline_id": result.pipeline_id,
             "status": result.status,
             "triggered_by": trigger,
             "rows_read": result.rows_read,
             "rows_written": result.rows_written,
-            "duration_ms": int((finished - started).total_seconds() * 1000),
+            "duration_ms": finished and int((finished - started).total_seconds() * 1000),
             "error": result.error,
             "failed_files": result.failed_files,
             "schema_hash": result.schema_hash,

@@ -142,8 +142,8 @@ class BackfillWindow:
 class PipelineSpec:
     """Definition of one landing pipeline.
 
-    ``source`` names a registered source (see ``siltbed.extensions``); the built-in ``sql`` runs ``query`` as
-    Spark SQL over registered tables.
+    ``source`` is ``sql`` (``query`` is Spark SQL over registered tables), ``jdbc``, ``files``, ``rest`` or the name of
+    a registered source; ``sink`` is ``parquet`` or the name of a registered sink (see ``siltbed.extensions``).
     """
 
     pipeline_id: str
@@ -151,6 +151,7 @@ class PipelineSpec:
     query: str = ""
     source: str = "sql"
     source_options: dict = field(default_factory=dict)
+    sink: str = "parquet"
     connection_id: str | None = None
     extraction_mode: str = "full_refresh"
     incremental_key: str | None = None

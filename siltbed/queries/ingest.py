@@ -10,6 +10,7 @@ from siltbed.operators.preview import preview_frame
 from siltbed.plans.spec import BackfillWindow
 from siltbed.queries.registry import query
 from siltbed.queries.views import context, table
+from siltbed.sources.jdbc import plain_numbers
 from siltbed.sources.sql import lower_case_columns, query_source, register_tables
 
 JOIN = """
@@ -41,6 +42,18 @@ def jdbc_lowercase_columns(spark, sf_dir):
     return lower_case_columns(customer.toDF(*[name.upper() for name in customer.columns]))
 
 
+@query(
+    "jdbc_number_types",
+    """SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS l_quantity, l_extendedprice FROM lineitem""",
+)
+def jdbc_number_types(spark, sf_dir):
+    """Quantities and prices as a database with one decimal type would deliver them."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").cast("decimal(38,0)"), F.col("l_extendedprice").cast("decimal(15,2)")
+    )
+    return plain_numbers(lines)
+
+
 def _variable_query(name: str, condition: str, literal: str) -> None:
     @query(name, f"SELECT * FROM orders WHERE {literal}")
     def run(spark, sf_dir):

@@ -223,7 +223,9 @@ def rest_page_stop(spark, sf_dir):
 @query("rest_offset_windows", EVENTS)
 def rest_offset_windows(spark, sf_dir):
     """Offset pages at multiples of the page size stay valid up to the first short page of their endpoint."""
-    kept = rest.full_until_short(fixtures.event_pages(spark, sf_dir), fixtures.PAGE_ROWS)
+    landed = scratch_path(spark, "rest-pages")
+    fixtures.event_pages(spark, sf_dir).write.parquet(landed)
+    kept = rest.full_until_short(spark.read.parquet(landed), fixtures.PAGE_ROWS)
     return fixtures.event_rows(rest.flatten_records(kept, fixtures.EVENT_SCHEMA, "data"))
 
 

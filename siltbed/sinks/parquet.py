@@ -8,10 +8,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltbed import storage
+from siltbed.functions.masking import utc_wall_time
 
 INGEST_DATE = "_date"
 STAGING = "_staging"
@@ -24,7 +26,7 @@ class StagedWrite:
     run_id: str
     rows_read: int
     rows_written: int
-    max_key: object = None
+    max_key: str | None = None
 
     @property
     def staging(self) -> str:
@@ -40,6 +42,14 @@ def with_ingest_date(df: DataFrame, day: date) -> DataFrame:
     return df.withColumn(INGEST_DATE, F.lit(day.isoformat()))
 
 
+def _key_text(df: DataFrame, name: str) -> Column:
+    """Key as UTC text that sorts like the key itself."""
+    key = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, T.TimestampType):
+        key = utc_wall_time(key)
+    return F.date_format(key.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
 def stage(
     df: DataFrame,
     path: str,
@@ -58,7 +68,7 @@ def stage(
     storage.delete_tree(spark, target)
     metrics = [F.count(F.lit(1)).alias(ROWS_READ)]
     if max_key is not None:
-        metrics.append(F.max(F.col(f"`{max_key}`").cast("string")).alias("max_key"))
+        metrics.append(F.max(_key_text(df, max_key)).alias("max_key"))
     seen = Observation()
     writer = df.observe(seen, *metrics).write.option("compression", compression)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(target)

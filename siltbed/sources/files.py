@@ -27,6 +27,7 @@ SOURCE_FILE = "_source_file"
 HELPERS = (CORRUPT, SOURCE_FILE)
 UNUSABLE = ("empty", "foreign")
 LISTING_SCHEMA = "path string, directory int, name string, length bigint, modified timestamp"
+MANIFEST_SCHEMA = "path string, run_id string"
 LOCAL_SCHEME = "^file:/+"
 
 
@@ -44,14 +45,17 @@ class LandingOptions:
     max_files: int = MAX_FILES
     max_file_bytes: int = MAX_FILE_BYTES
     fail_fast: bool = False
+    manifest: str | None = None
+    processed_folder: str | None = None
 
 
 @dataclass(frozen=True)
 class LandingRead:
-    """Rows of the good files, and the list of rejected files (never longer than ``max_files``)."""
+    """Rows of the good files, and the lists of rejected and accepted files (never longer than ``max_files``)."""
 
     rows: DataFrame
     failed_files: list[str]
+    good_files: list[str] = field(default_factory=list)
 
 
 def name_skipped(name: Column, patterns: tuple[str, ...]) -> Column:
@@ -255,13 +259,15 @@ def bad_files(parsed: DataFrame) -> DataFrame:
 
 
 def read_landing(spark: SparkSession, options: LandingOptions, processed: DataFrame | None = None) -> LandingRead:
-    """Land the files of the directories.
+    """Land the files of the directories, except those a manifest of processed files names.
 
     With ``fail_fast`` the first broken file stops the run, in one pass. Otherwise a first pass finds files with
     broken records and, if there are any, a second reads only the others, so one bad record keeps its whole file out.
     The file lists held by the driver are bounded by ``max_files``.
     """
     listing = list_directories(spark, options.paths)
+    if processed is None and options.manifest and storage.exists(spark, options.manifest):
+        processed = spark.read.schema(MANIFEST_SCHEMA).parquet(options.manifest)
     if processed is not None:
         listing = unprocessed(listing, processed)
     found = filter_listing(listing, options.skip_patterns, options.max_file_bytes, options.max_files).collect()
@@ -275,11 +281,11 @@ def read_landing(spark: SparkSession, options: LandingOptions, processed: DataFr
     if not usable:
         return LandingRead(spark.createDataFrame([], _as_struct(options.schema) or T.StructType([])), unusable)
     if options.fail_fast or options.parser in ("avro", "binary"):
-        return LandingRead(_data_columns(parse_files(spark, usable, options, "FAILFAST")), unusable)
+        return LandingRead(_data_columns(parse_files(spark, usable, options, "FAILFAST")), unusable, list(usable))
     first_pass = parse_files(spark, usable, options)
     broken = {_plain(row[SOURCE_FILE]): row[SOURCE_FILE] for row in bad_files(first_pass).collect()}
     if not broken:
-        return LandingRead(_data_columns(first_pass), unusable)
+        return LandingRead(_data_columns(first_pass), unusable, list(usable))
     schema = _data_columns(first_pass).schema
     good = {path: kind for path, kind in usable.items() if _plain(path) not in broken}
     rows = (
@@ -287,7 +293,23 @@ def read_landing(spark: SparkSession, options: LandingOptions, processed: DataFr
         if good
         else spark.createDataFrame([], schema)
     )
-    return LandingRead(rows, sorted([*unusable, *broken.values()]))
+    return LandingRead(rows, sorted([*unusable, *broken.values()]), list(good))
+
+
+def finish_landing(spark: SparkSession, options: LandingOptions, landed: LandingRead, run_id: str) -> None:
+    """Call once the rows are visible: note the accepted files in the manifest, or move them to the processed folder.
+
+    Rejected files stay where they are and are tried again. A run that dies before this call is repeated as a whole.
+    """
+    if options.manifest and landed.good_files:
+        done = [(path, run_id) for path in landed.good_files]
+        spark.createDataFrame(done, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(options.manifest)
+    if options.processed_folder:
+        folder = options.processed_folder.rstrip("/")
+        storage.make_folder(spark, folder)
+        storage.in_parallel(
+            lambda path: storage.rename(spark, path, f"{folder}/{path.rsplit('/', 1)[-1]}"), landed.good_files
+        )
 
 
 def _data_columns(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltbed.plans.spec import RunContext, check_host, resolve_variables
 from siltbed.sources.sql import lower_case_columns
@@ -66,10 +67,11 @@ def range_options(source: JdbcSource, bounds: tuple[int, int]) -> dict[str, str]
     }
 
 
-def column_bounds(df: DataFrame, column: str) -> tuple[int, int] | None:
-    """Smallest and largest value of the range column, one aggregate row; ``None`` when there is no value."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    return None if low is None else (int(low), int(high))
+def plain_numbers(df: DataFrame) -> DataFrame:
+    """Oracle numbers as plain ones: no decimals means 64-bit integer, otherwise double."""
+    decimals = {f.name: f.dataType.scale for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)}
+    casts = {n: F.col(f"`{n}`").cast("bigint" if scale == 0 else "double") for n, scale in decimals.items()}
+    return df.withColumns(casts) if casts else df
 
 
 def read_jdbc(spark: SparkSession, source: JdbcSource, ctx: RunContext) -> DataFrame:
@@ -88,4 +90,5 @@ def read_jdbc(spark: SparkSession, source: JdbcSource, ctx: RunContext) -> DataF
             bounds = None if row[0] is None else (int(row[0]), int(row[1]))
         if bounds is not None:
             options |= range_options(source, bounds)
-    return lower_case_columns(spark.read.format("jdbc").options(**options).load())
+    rows = lower_case_columns(spark.read.format("jdbc").options(**options).load())
+    return plain_numbers(rows) if source.url.startswith("jdbc:oracle:") else rows

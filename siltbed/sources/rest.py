@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siltbed.plans.spec import check_host
+from siltbed.session import scratch_path
 
 # Request defaults.
 MAX_PAGES = 100
@@ -251,17 +252,54 @@ def full_until_short(pages: DataFrame, page_size: int, max_pages: int = MAX_PAGE
     )
 
 
+def _list_text(results_key: str | None) -> Column:
+    """The part of a body that holds the records; a body that is itself a list is taken whole."""
+    body = F.col("body")
+    if not results_key:
+        return body
+    return F.when(body.rlike(r"^\s*\["), body).otherwise(F.get_json_object(body, "$." + results_key))
+
+
 def flatten_records(pages: DataFrame, record_schema: str, results_key: str | None, *keep: str) -> DataFrame:
     """One row per record of the page bodies, parsed with a declared schema."""
-    body = F.col("body")
-    if results_key:
-        body = F.when(body.rlike(r"^\s*\["), body).otherwise(
-            F.get_json_object(body, "$." + results_key)
-        )
+    body = _list_text(results_key)
     record = F.from_json(body, F.lit(f"array<struct<{_ddl_fields(record_schema)}>>"))
     return pages.select(*keep, F.explode(record).alias("record")).select(*keep, "record.*")
 
 
+def infer_records(pages: DataFrame, results_key: str | None) -> DataFrame:
+    """Records of landed pages when no schema is declared: the union of all keys, typed by Spark's JSON reader."""
+    spark = pages.sparkSession
+    lines = flatten_texts(pages, results_key)
+    path = scratch_path(spark, "rest-records")
+    lines.write.text(path)
+    return spark.read.json(path)
+
+
+def flatten_texts(pages: DataFrame, results_key: str | None) -> DataFrame:
+    """One JSON text per record."""
+    body = _list_text(results_key)
+    single = ~body.rlike(r"^\s*\[")
+    texts = F.when(single, F.array(body)).otherwise(F.from_json(body, F.lit("array<string>")))
+    return pages.select(F.explode(texts).alias("value"))
+
+
+def read_rest(
+    spark: SparkSession,
+    options: RestOptions,
+    record_schema: str | None = None,
+    transport: Transport = http_get,
+    allowed_hosts: tuple[str, ...] = (),
+) -> DataFrame:
+    """Records of one endpoint: fetch once, keep the raw pages, apply the stopping rule, flatten."""
+    raw = scratch_path(spark, "rest-pages")
+    fetch_pages(spark, options, transport, allowed_hosts).write.parquet(raw)
+    pages = before_first_empty(spark.read.parquet(raw), options.max_pages)
+    if record_schema is None:
+        return infer_records(pages, options.results_key)
+    return flatten_records(pages, record_schema, options.results_key)
+
+
 def _ddl_fields(schema: str) -> str:
     return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema).fields)
 

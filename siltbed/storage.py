@@ -93,7 +93,7 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
 def delete_files(spark: SparkSession, paths: Iterable[str]) -> int:
     def remove(path: str) -> None:
         fs, p = _open(spark, path)
-        if fs.exists(p) and not fs.delete(p, False):
+        if not fs.delete(p, False) and fs.exists(p):
             raise OSError(f"cannot delete {path}")
 
     return in_parallel(remove, paths)

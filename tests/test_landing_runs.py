@@ -222,6 +222,82 @@ def test_partial_success_from_files(lab, folder):
     assert ledger.watermarks(lab.events).count() == 1
 
 
+def test_files_are_landed_once_across_runs(lab, folder):
+    from tests.test_sources import put
+
+    options = {"paths": (f"{folder}/in",), "parser": "json", "schema": "id bigint", "manifest": f"{folder}/manifest"}
+
+    def land():
+        return lab.run(source="files", source_options=options)
+
+    put(lab.spark, f"{folder}/in/a.json", '{"id": 1}\n')
+    put(lab.spark, f"{folder}/in/bad.json", '{"id"\n')
+    assert land().status == "partial_success"
+    put(lab.spark, f"{folder}/in/b.json", '{"id": 2}\n')
+    result = land()
+    assert result.rows_read == 1 and len(result.failed_files) == 1 and rows(lab.landed) == [(2,)]
+
+
+def test_processed_files_are_moved_after_the_run(lab, folder):
+    from tests.test_sources import put
+
+    put(lab.spark, f"{folder}/in/a.csv", "id\n1\n")
+    put(lab.spark, f"{folder}/in/bad.csv", "id\nx\n")
+    options = {"paths": (f"{folder}/in",), "parser": "csv", "schema": "id bigint", "processed_folder": f"{folder}/done"}
+    assert lab.run(source="files", source_options=options, min_rows_expected=5).status == "failed"
+    assert storage.exists(lab.spark, f"{folder}/in/a.csv")
+    assert lab.run(source="files", source_options=options).status == "partial_success"
+    assert storage.exists(lab.spark, f"{folder}/done/a.csv") and not storage.exists(lab.spark, f"{folder}/in/a.csv")
+    assert storage.exists(lab.spark, f"{folder}/in/bad.csv")
+
+
+def test_rest_source_in_a_pipeline(lab, folder):
+    from siltbed.queries.fixtures import as_uri
+    from siltbed.sources.rest import RestOptions, folder_get
+    from tests.test_sources import put
+
+    for page, ids in ((1, "[1, 2]"), (2, "[3]")):
+        body = '{"d": [' + ", ".join(f'{{"id": {i}}}' for i in ids.strip("[]").split(", ")) + "]}"
+        put(lab.spark, f"{folder}/api/page={page}/page_size=2/p.json", body)
+    request = RestOptions(as_uri(storage.qualified(lab.spark, f"{folder}/api")), "d", "page", page_size=2)
+    for schema in ("id bigint", None):
+        options = {"options": request, "record_schema": schema, "transport": folder_get}
+        assert lab.run(source="rest", source_options=options).rows_written == 3
+        assert rows(lab.landed) == [(1,), (2,), (3,)]
+
+
+def test_registered_sink(lab, folder):
+    extensions.sink("json", lambda df, path: df.write.json(path))
+    extensions.sink("lossy", lambda df, path: df.write.mode("overwrite").json(path) or 1)
+    lab.set([(1,), (2,)])
+    assert lab.run(sink="json", min_rows_expected=5).status == "failed"
+    assert lab.run(sink="json").rows_written == 2
+    assert lab.spark.read.json(f"{lab.root}bronze/p").count() == 2
+    assert lab.run(sink="lossy").status == "failed"
+
+
+def test_announced_run_is_recovered_after_a_crash(lab, monkeypatch):
+    lab.set([(1,)])
+    lab.run()
+
+    def crash(*args):
+        raise KeyboardInterrupt
+
+    lab.set([(2,)])
+    ctx = RunContext(run_ts=T0 + timedelta(hours=9))
+    spec = PipelineSpec("p", "bronze/p", source="lab")
+    real = parquet.promote
+    monkeypatch.setattr(runner.parquet, "promote", lambda s, staged, replace: (real(s, staged, False), crash()))
+    with pytest.raises(KeyboardInterrupt):
+        run_pipeline(lab.spark, spec, ctx, lab.ledger_path, lab.root, announce=True)
+    assert rows(lab.landed) == [(1,), (2,)]
+    monkeypatch.undo()
+    assert runner.recover_unfinished(lab.spark, lab.ledger_path) == [ctx.run_id]
+    assert rows(lab.landed) == [(1,)]
+    assert runner.recover_unfinished(lab.spark, lab.ledger_path) == []
+    assert ledger.run(lab.events, ctx.run_id).first()["status"] == "failed"
+
+
 def test_order_of_effects(lab, monkeypatch):
     seen = []
     for module, name in ((runner, "schema_hash"), (runner, "check_contract"), (runner, "mask_columns"), (runner.parquet, "stage"),
@@ -291,7 +367,7 @@ def test_repeated_batch_does_not_duplicate(spark, folder):
 
     land()
     # The commit of batch 0 is lost, as after a crash behind promotion: the batch runs again.
-    storage.delete_files(spark, [f"{folder}/cp/commits/0", f"{folder}/cp/commits/.0.crc"])
+    storage.delete_files(spark, [f"{folder}/cp/commits/0"])
     land()
     assert rows(spark.read.parquet(f"{folder}/out")) == [(i,) for i in range(4)]
 

@@ -94,10 +94,10 @@ def test_jdbc_options():
     }
 
 
-def test_column_bounds(spark):
-    df = spark.createDataFrame([(5,), (None,), (-2,)], "id bigint")
-    assert jdbc.column_bounds(df, "id") == (-2, 5)
-    assert jdbc.column_bounds(df.filter("id > 9"), "id") is None
+def test_oracle_numbers(spark):
+    df = spark.sql("SELECT CAST(5 AS DECIMAL(38,0)) AS a, CAST(1.25 AS DECIMAL(10,2)) AS b, 'x' AS c")
+    found = jdbc.plain_numbers(df)
+    assert found.dtypes == [("a", "bigint"), ("b", "double"), ("c", "string")] and found.first() == (5, 1.25, "x")
 
 
 def test_jdbc_host_guard(spark):
