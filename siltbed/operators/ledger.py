@@ -8,7 +8,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,9 +52,13 @@ def compact(spark: SparkSession, source: str, target: str, files: int = 1) -> No
 
 
 def latest(runs: DataFrame, key: str = "job_id", seq: str = "seq") -> DataFrame:
-    """Last event per key. Rows are reduced before the shuffle, so a key with very many events costs no more."""
-    newest = runs.groupBy(key).agg(F.max_by(F.struct(*runs.columns), seq).alias("event"))
-    return newest.select("event.*")
+    """Last event per key.
+
+    Spark limits a ranked window to the first row per key before the shuffle as well as after it, so a key with very
+    many events sends one row per task.
+    """
+    newest_first = Window.partitionBy(key).orderBy(F.desc(seq))
+    return runs.withColumn("__rank", F.row_number().over(newest_first)).filter("__rank = 1").drop("__rank")
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int, limits: tuple[int, int]) -> DataFrame:
@@ -115,11 +119,8 @@ def _good_pipeline_runs(runs: DataFrame) -> DataFrame:
 
 def watermarks(runs: DataFrame) -> DataFrame:
     """Current watermark per pipeline: that of its last accepted run which was not a backfill."""
-    return (
-        _good_pipeline_runs(runs)
-        .groupBy("pipeline_id")
-        .agg(F.max_by("watermark", "seq").alias("last_watermark"))
-    )
+    marks = _good_pipeline_runs(runs).select("pipeline_id", "seq", F.col("watermark").alias("last_watermark"))
+    return latest(marks, "pipeline_id").drop("seq")
 
 
 def last_success(runs: DataFrame) -> DataFrame:
@@ -133,15 +134,11 @@ def last_success(runs: DataFrame) -> DataFrame:
 def schema_registry(runs: DataFrame) -> DataFrame:
     """Last known schema per pipeline, from accepted runs that recorded one."""
     known = _good_pipeline_runs(runs).filter(F.col("schema_hash").isNotNull())
-    return (
-        known.groupBy("pipeline_id")
-        .agg(F.max_by(F.struct("schema_hash", "last_schema", "finished_at"), "seq").alias("s"))
-        .select(
-            "pipeline_id",
-            F.col("s.schema_hash").alias("last_schema_hash"),
-            F.col("s.last_schema").alias("last_schema"),
-            F.col("s.finished_at").alias("updated_at"),
-        )
+    return latest(known, "pipeline_id").select(
+        "pipeline_id",
+        F.col("schema_hash").alias("last_schema_hash"),
+        "last_schema",
+        F.col("finished_at").alias("updated_at"),
     )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNKS = 64
+from siltbed.session import scratch_path
+
 ROWS_PER_TASK = 2_000_000
+MAX_PIECES = 1024
 
 
 def with_previous(
@@ -17,31 +19,54 @@ def with_previous(
     A window sorts all rows of a key in one task, which is fine until a key is too large for that. The largest key is
     measured first, by a count that is combined before its shuffle. ``values`` maps new names to existing columns.
     """
-    heaviest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    counts = df.groupBy(key).count()
+    heaviest = counts.agg(F.max("count")).first()[0] or 0
     if heaviest <= rows_per_task:
         ordered = Window.partitionBy(key).orderBy(seq)
         return df.withColumns({name: F.lag(source).over(ordered) for name, source in values.items()})
-    return _in_chunks(df, key, seq, values, max(CHUNKS, -(-heaviest // rows_per_task)))
+    path = scratch_path(df.sparkSession, "hot-keys")
+    counts.filter(F.col("count") > rows_per_task).select(key, "count").write.parquet(path)
+    return _with_hot_keys(df, df.sparkSession.read.parquet(path), key, seq, values, rows_per_task)
+
+
+def _piece(seq: Column, cuts: list[int], low: int = 0, high: int | None = None) -> Column:
+    """Number of cuts below the value, as a binary search written out in conditions."""
+    high = len(cuts) if high is None else high
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(seq <= cuts[middle], _piece(seq, cuts, low, middle)).otherwise(_piece(seq, cuts, middle + 1, high))
 
 
-def _in_chunks(df: DataFrame, key: str, seq: str, values: dict[str, str], chunks: int) -> DataFrame:
-    """The same result with every key cut into pieces.
+def _with_hot_keys(
+    df: DataFrame, hot: DataFrame, key: str, seq: str, values: dict[str, str], rows_per_task: int
+) -> DataFrame:
+    """The same result with the keys listed in ``hot`` cut into pieces.
 
-    The sequence is cut at approximate quantiles, so a piece of a key has about ``1/chunks`` of all rows at most. The
-    first row of a piece takes its values from a small table holding the last row of every earlier piece.
+    The sequence is cut at approximate quantiles of the hot rows, so a piece is one task's work. The first row of a
+    piece takes its values from a small table holding the last row of every earlier piece of its key. All other keys
+    stay in one piece each and cost the same as in a plain window.
     """
-    shares = [i / chunks for i in range(1, chunks)]
-    cuts = sorted(set(df.agg(F.percentile_approx(seq, shares, 10_000)).first()[0]))
-    chunk = F.size(F.filter(F.lit(cuts), lambda cut: cut < F.col(seq)))
-    cut_up = df.withColumn("__chunk", chunk).withColumn(
-        "__row", F.struct(*[F.col(source).alias(name) for name, source in values.items()])
+    total = hot.agg(F.sum("count")).first()[0]
+    pieces = min(MAX_PIECES, max(2, -(-2 * total // rows_per_task)))
+    hot_rows = df.join(hot.select(key), key, "left_semi")
+    shares = [i / pieces for i in range(1, pieces)]
+    cuts = sorted(set(hot_rows.agg(F.percentile_approx(seq, shares, max(1000, 4 * pieces))).first()[0]))
+
+    row = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
+    marked = df.join(hot.select(key, F.lit(True).alias("__hot")), key, "left")
+    cut_up = marked.withColumn("__piece", F.when(F.col("__hot"), _piece(F.col(seq), cuts)).otherwise(F.lit(0)))
+    in_piece = Window.partitionBy(key, "__piece").orderBy(seq)
+    local = cut_up.withColumn("__previous", F.lag(row).over(in_piece))
+
+    last = (
+        hot_rows.withColumn("__piece", _piece(F.col(seq), cuts))
+        .groupBy(key, "__piece")
+        .agg(F.max_by(row, seq).alias("__last"))
     )
-    in_chunk = Window.partitionBy(key, "__chunk").orderBy(seq)
-    local = cut_up.withColumn("__prev", F.lag("__row").over(in_chunk))
-    last = cut_up.groupBy(key, "__chunk").agg(F.max_by("__row", seq).alias("__last"))
     carried = last.select(
-        key, "__chunk", F.lag("__last").over(Window.partitionBy(key).orderBy("__chunk")).alias("__carry")
+        key, "__piece", F.lag("__last").over(Window.partitionBy(key).orderBy("__piece")).alias("__carried")
     )
-    joined = local.join(carried, [key, "__chunk"], "left")
-    found = F.coalesce("__prev", "__carry")
+    joined = local.join(carried, [key, "__piece"], "left")
+    found = F.coalesce("__previous", "__carried")
     return joined.select(*df.columns, *[found[name].alias(name) for name in values])
