@@ -33,9 +33,9 @@ HISTORY_LIMITS = (1, 500)
 AUDIT_LIMITS = (1, 200)
 
 
-def append(spark: SparkSession, path: str, event: dict) -> None:
+def append(spark: SparkSession, path: str, event: dict, ddl: str = LEDGER_SCHEMA) -> None:
     """Add one event as one small file; times must carry a zone."""
-    schema = T.StructType.fromDDL(LEDGER_SCHEMA)
+    schema = T.StructType.fromDDL(ddl)
     row = pa.Table.from_pylist([event], schema=to_arrow_schema(schema))
     spark.createDataFrame(row, schema).write.mode("append").parquet(path)
 

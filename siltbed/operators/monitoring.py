@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltbed.functions.guards import host_allowed
 from siltbed.functions.schema import drifted
 from siltbed.operators.incremental import key_literal
 from siltbed.operators.ledger import OPEN, last_success
@@ -119,11 +120,11 @@ def payload(breaches: DataFrame) -> DataFrame:
     return breaches.select("pipeline_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def alerts(runs: DataFrame) -> DataFrame:
+def alerts(runs: DataFrame, allowed_hosts: tuple[str, ...] = ()) -> DataFrame:
     """One row per alert: a failed run, a changed schema, or both, when the pipeline subscribes to it.
 
     Expects ``status``, ``alert_on``, ``webhook_url``, ``schema_hash`` and ``previous_hash``; an empty subscription
-    means failures only.
+    means failures only. Webhooks outside the host list get no alert.
     """
     wanted = F.when(F.size(F.coalesce("alert_on", F.array())) > 0, F.col("alert_on")).otherwise(
         F.array(F.lit("failed"))
@@ -131,4 +132,14 @@ def alerts(runs: DataFrame) -> DataFrame:
     failed = (F.col("status") == "failed") & F.array_contains(wanted, "failed")
     changed = drifted(F.col("schema_hash"), F.col("previous_hash")) & F.array_contains(wanted, "schema_changed")
     events = F.array_compact(F.array(F.when(failed, F.lit("failed")), F.when(changed, F.lit("schema_changed"))))
-    return runs.filter(F.col("webhook_url").isNotNull()).withColumn("event", F.explode(events))
+    reachable = F.col("webhook_url").isNotNull() & host_allowed(F.col("webhook_url"), allowed_hosts)
+    return runs.filter(reachable).withColumn("event", F.explode(events))
+
+
+ALERT_FIELDS = ("event", "pipeline_id", "job_id", "status", "error", "rows_read", "rows_written")
+
+
+def alert_payloads(raised: DataFrame, now: datetime) -> DataFrame:
+    """Address and JSON body of every alert, ready to be sent."""
+    body = F.struct(*ALERT_FIELDS, F.lit(now.isoformat()).alias("timestamp"))
+    return raised.select("webhook_url", F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
-from datetime import date
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed import storage
-from siltbed.operators.ledger import AUDIT_LIMITS, latest, page
+from siltbed.operators.ledger import AUDIT_LIMITS, append, latest, next_seq, page
 from siltbed.plans.spec import static_prefix
 from siltbed.session import scratch_path
 
@@ -81,6 +82,40 @@ def apply_manifest(spark: SparkSession, manifest: str) -> PurgeResult:
     return PurgeResult(*totals(listed).first())
 
 
+def run(
+    spark: SparkSession,
+    audit_path: str,
+    base_path: str,
+    now: datetime,
+    pipeline_id: str | None = None,
+    requested_by: str | None = None,
+    before: date | None = None,
+    partition_filter: str | None = None,
+) -> PurgeResult:
+    """Purge with its audit trail: an event when it is requested, another with the counts when it is done.
+
+    A purge that dies in between stays ``in_progress`` in the audit.
+    """
+    event = {
+        "seq": next_seq(now),
+        "id": uuid.uuid4().hex,
+        "pipeline_id": pipeline_id,
+        "requested_by": requested_by,
+        "before_date": before,
+        "partition_filter": partition_filter,
+        "files_deleted": None,
+        "bytes_deleted": None,
+        "status": "in_progress",
+        "requested_at": now,
+        "completed_at": None,
+    }
+    append(spark, audit_path, event, AUDIT_SCHEMA)
+    result = apply(spark, plan(spark, base_path, before, partition_filter))
+    closing = {**result.__dict__, "seq": event["seq"] + 1, "status": "completed", "completed_at": datetime.now(UTC)}
+    append(spark, audit_path, event | closing, AUDIT_SCHEMA)
+    return result
+
+
 def audit(events: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     """Current state of every purge, newest request first."""
     return page(latest(events, "id"), [F.desc("requested_at"), F.desc("id")], limit, offset, AUDIT_LIMITS)

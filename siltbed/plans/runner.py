@@ -156,6 +156,8 @@ def _land(
     key = resolve_key(rows, spec.incremental_key).name if by_max_key else None
     if key in spec.pii_columns:
         raise SpecError(f"{key!r} cannot be masked and give the watermark")
+    if spec.write_tasks:
+        rows = rows.repartition(spec.write_tasks)
     rows = mask_columns(rows, spec.pii_columns)
     if spec.sink != "parquet":
         _write_elsewhere(spec, rows, state, result)

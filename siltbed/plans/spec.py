@@ -144,6 +144,8 @@ class PipelineSpec:
 
     ``source`` is ``sql`` (``query`` is Spark SQL over registered tables), ``jdbc``, ``files``, ``rest`` or the name of
     a registered source; ``sink`` is ``parquet`` or the name of a registered sink (see ``siltbed.extensions``).
+    ``write_tasks`` spreads rows over that many tasks and files; it is meant for sources that arrive in very few splits
+    (one JDBC query, one REST endpoint, one row group) and costs a shuffle.
     """
 
     pipeline_id: str
@@ -158,6 +160,7 @@ class PipelineSpec:
     watermark_from: str = "run_start"
     partition_by: str = "none"
     compression: str = "snappy"
+    write_tasks: int | None = None
     pii_columns: dict[str, str] = field(default_factory=dict)
     expected_schema: list[dict] | None = None
     min_rows_expected: int | None = None

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltbed.operators import purge, registry
 from siltbed.queries.registry import query
-from siltbed.queries.views import PIPELINES_SQL, pipelines, table
+from siltbed.queries.views import NOW, PIPELINES_SQL, pipelines, table
 from siltbed.session import scratch_path
 
 
@@ -126,6 +126,27 @@ def purge_apply(spark, sf_dir):
     )
 
 
+@query(
+    "purge_run",
+    """SELECT 'orders' AS pipeline_id, 'completed' AS status, '1998-01-01' AS before_date,
+              count(*) FILTER (o_orderdate < DATE '1998-01-01') > 0 AS anything_deleted,
+              count(*) FILTER (o_orderdate >= DATE '1998-01-01') AS rows_left
+       FROM orders""",
+)
+def purge_run(spark, sf_dir):
+    """A whole purge: plan, delete, audit; the rows that are left are counted afterwards."""
+    path, audit_path = _landed_by_month(spark, sf_dir), scratch_path(spark, "audit")
+    purge.run(spark, audit_path, path, NOW, "orders", before=BEFORE)
+    left = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows_left"))
+    return purge.audit(spark.read.parquet(audit_path)).select(
+        "pipeline_id",
+        "status",
+        F.col("before_date").cast("string").alias("before_date"),
+        (F.col("files_deleted") > 0).alias("anything_deleted"),
+        F.lit(left.first()[0]).cast("bigint").alias("rows_left"),
+    )
+
+
 def _audit_events(spark, sf_dir):
     """Every event opens a purge; clicks, views and purchases also close theirs."""
     e = table(spark, sf_dir, "events")

@@ -97,7 +97,9 @@ def pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(segment == "MACHINERY", F.array(F.lit("schema_changed")))
         .when(segment == "AUTOMOBILE", F.array(F.lit("failed"), F.lit("schema_changed")))
         .alias("alert_on"),
-        F.timestamp_seconds(F.lit(1700000000) - F.col("c_custkey")).cast("timestamp_ntz").alias("created_at"),
+        (
+            F.expr("TIMESTAMP_NTZ'2023-11-14 22:13:20'") - F.make_dt_interval(secs=F.col("c_custkey").cast("decimal(18,6)"))
+        ).alias("created_at"),
     )
 
 

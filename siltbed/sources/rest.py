@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from siltbed.functions.guards import host_allowed
 from siltbed.plans.spec import check_host
 from siltbed.session import scratch_path
 
@@ -199,6 +200,7 @@ def fetch_endpoints(
     template: RestOptions,
     transport: Transport = http_get,
     parallelism: int = 64,
+    allowed_hosts: tuple[str, ...] = (),
 ) -> DataFrame:
     """Pages of every endpoint in the ``endpoint`` column. An endpoint is sequential; endpoints run side by side."""
 
@@ -211,8 +213,11 @@ def fetch_endpoints(
                 for page in pages:
                     yield pd.DataFrame([page], columns=["endpoint", "page_no", "n_records", "body"])
 
-    spread = endpoints.select("endpoint").distinct().repartition(parallelism, "endpoint")
-    return spread.mapInPandas(run, PAGE_SCHEMA)
+    wanted = endpoints.select("endpoint").distinct()
+    if allowed_hosts:
+        refused = F.raise_error(F.concat(F.lit("host is not on the allow list: "), "endpoint")).cast("boolean")
+        wanted = wanted.filter(F.when(host_allowed(F.col("endpoint"), allowed_hosts), True).otherwise(refused))
+    return wanted.repartition(parallelism, "endpoint").mapInPandas(run, PAGE_SCHEMA)
 
 
 def before_first_empty(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:

@@ -133,6 +133,13 @@ def test_compression(lab, codec):
     assert names and all(n.endswith(ending) for n in names)
 
 
+def test_rows_can_be_spread_over_tasks(lab):
+    lab.set([(i,) for i in range(100)])
+    lab.data = lab.data.coalesce(1)
+    assert lab.run(write_tasks=3).rows_written == 100
+    assert len(list(storage.data_files(lab.spark, f"{lab.root}bronze/p"))) == 3
+
+
 def test_masking_after_hash_and_contract(lab):
     lab.set([("a", 1.5)], "email string, score double")
     expected = [{"name": "email", "type": "string"}, {"name": "score", "type": "double"}]

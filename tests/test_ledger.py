@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import UTC, date, datetime, timedelta
 
@@ -195,6 +196,20 @@ def test_alerts(spark, status, alert_on, old, expected):
     assert sorted(r["event"] for r in monitoring.alerts(df).collect()) == expected
 
 
+def test_alert_payload_and_blocked_hosts(spark):
+    df = spark.createDataFrame(
+        [("p", "j", "failed", "boom", 1, None, None, f"https://{host}/x", "h", None) for host in ("ok.example.com", "evil.org")],
+        "pipeline_id string, job_id string, status string, error string, rows_read int, rows_written int, alert_on array<string>, "
+        "webhook_url string, schema_hash string, previous_hash string",
+    )
+    found = monitoring.alert_payloads(monitoring.alerts(df, ("example.com",)), NOW).collect()
+    assert [r["webhook_url"] for r in found] == ["https://ok.example.com/x"]
+    assert json.loads(found[0]["payload"]) == {
+        "event": "failed", "pipeline_id": "p", "job_id": "j", "status": "failed", "error": "boom", "rows_read": 1,
+        "rows_written": None, "timestamp": NOW.isoformat(),
+    }
+
+
 def test_metrics_and_dashboard(spark):
     runs = events(spark, *[{"status": "failed", "rows_written": None}] * 3, *[{"rows_written": 5, "schema_changed": True}] * 12, {"status": "queued"})
     assert tuple(monitoring.metrics(runs).first()) == (16, 60, 12, 1)
@@ -267,6 +282,14 @@ def test_purge_apply_and_repeat(spark, dated, folder):
     assert purge.plan(spark, f"{dated}/{{date}}").count() == 2
 
 
+def test_purge_run_is_audited(spark, dated, folder):
+    path = f"{folder}-audit"
+    done = purge.run(spark, path, dated, NOW, "p", "someone", partition_filter="_date=2024-01-02")
+    found = purge.audit(spark.read.parquet(path)).collect()
+    assert [(r["status"], r["files_deleted"], r["requested_by"]) for r in found] == [("completed", 1, "someone")]
+    assert done.files_deleted == 1 and spark.read.parquet(path).count() == 2
+
+
 def test_purge_audit(spark):
     opened = {"pipeline_id": "p", "requested_by": "u", "before_date": date(2024, 1, 3), "partition_filter": None}
     given = [(1, "a", "in_progress", None, NOW), (2, "b", "in_progress", None, NOW + timedelta(1)), (3, "a", "completed", 2, NOW)]

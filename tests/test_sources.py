@@ -353,6 +353,12 @@ def test_flatten(spark):
     assert [r[0] for r in counted] == [2, 1, 0]
 
 
+def test_endpoints_outside_the_host_list_are_refused(spark):
+    endpoints = spark.createDataFrame([("https://evil.org/a",)], "endpoint string")
+    with pytest.raises(Exception, match="allow list"):
+        rest.fetch_endpoints(endpoints, rest.RestOptions("x"), lambda *a: "[]", 1, ("example.com",)).collect()
+
+
 def test_fetch_through_the_data_source(spark, folder):
     for page, ids in ((1, [1, 2]), (2, [3, 4]), (3, [5])):
         put(spark, f"{folder}/page={page}/page_size=2/p.json", json.dumps([{"id": i} for i in ids]))
@@ -362,3 +368,16 @@ def test_fetch_through_the_data_source(spark, folder):
         pages = rest.fetch_pages(spark, options, rest.folder_get)
         kept = rest.before_first_empty(pages, 7)
         assert rows(rest.flatten_records(kept, "id bigint", None)) == [(1,), (2,), (3,), (4,), (5,)]
+
+
+def test_task_functions_load_without_the_package(tmp_path):
+    """Executors may not have the package: what is sent to them must not import it."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    data = cloudpickle.dumps((rest.iter_pages, rest.folder_get, rest.rest_source(rest.http_get), rest.RestOptions("u")))
+    code = "import sys; from pyspark import cloudpickle; print(len(cloudpickle.loads(sys.stdin.buffer.read())))"
+    done = subprocess.run([sys.executable, "-c", code], input=data, capture_output=True, cwd=tmp_path, env={"PATH": "/usr/bin"})
+    assert done.stdout.strip() == b"4", done.stderr.decode()[-500:]
