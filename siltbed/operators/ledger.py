@@ -27,6 +27,7 @@ LEDGER_SCHEMA = """
     created_at timestamp, started_at timestamp, finished_at timestamp
 """
 
+# Statuses and page limits.
 GOOD = ("success", "partial_success")
 OPEN = ("queued", "running")
 HISTORY_LIMITS = (1, 500)
@@ -119,7 +120,8 @@ def _good_pipeline_runs(runs: DataFrame) -> DataFrame:
 
 def watermarks(runs: DataFrame) -> DataFrame:
     """Current watermark per pipeline: that of its last accepted run which was not a backfill."""
-    marks = _good_pipeline_runs(runs).select("pipeline_id", "seq", F.col("watermark").alias("last_watermark"))
+    known = _good_pipeline_runs(runs).filter(F.col("watermark").isNotNull())
+    marks = known.select("pipeline_id", "seq", F.col("watermark").alias("last_watermark"))
     return latest(marks, "pipeline_id").drop("seq")
 
 
@@ -177,11 +179,8 @@ def pipeline_state(spark: SparkSession, path: str, pipeline_id: str) -> dict:
     if not storage.exists(spark, path):
         return {"watermark": None, "rows_read": None, "schema_hash": None}
     mine = _good_pipeline_runs(read(spark, path).filter(F.col("pipeline_id") == pipeline_id))
-    row = mine.agg(
-        F.max_by("watermark", "seq").alias("watermark"),
-        F.max_by("rows_read", "seq").alias("rows_read"),
-        F.max_by("schema_hash", F.when(F.col("schema_hash").isNotNull(), F.col("seq"))).alias("schema_hash"),
-    ).first()
+    wanted = ("watermark", "rows_read", "schema_hash")
+    row = mine.agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in wanted]).first()
     return row.asDict()
 
 

@@ -14,6 +14,7 @@ from siltbed.operators.ledger import AUDIT_LIMITS, append, latest, next_seq, pag
 from siltbed.plans.spec import static_prefix
 from siltbed.session import scratch_path
 
+# Fixed value: how a partition date is written in a path.
 DATE_IN_PATH = r"_date=(\d{4}-\d{2}-\d{2})"
 AUDIT_SCHEMA = """
     seq bigint, id string, pipeline_id string, requested_by string, before_date date, partition_filter string,

@@ -44,6 +44,7 @@ class RunResult:
     watermark: str | None = None
     failed_files: list[str] = field(default_factory=list)
     logs: list[str] = field(default_factory=list)
+    promoting: bool = False
 
 
 @dataclass(frozen=True)
@@ -101,10 +102,11 @@ def run_pipeline(
         result.status = "failed"
         result.error = str(error) if isinstance(error, (GateError, SpecError)) else _summary(error)
         result.logs.append(f"ERROR: {result.error}")
-        parquet.discard(spark, result.path, ctx.run_id)
+        _settle(spark, result)
     finally:
         spark.removeTag(ctx.run_id)
     _record(spark, ledger_path, spec.connection_id, trigger, ctx, started, datetime.now(UTC), result)
+    parquet.discard(spark, result.path, ctx.run_id)
     return result
 
 
@@ -120,8 +122,9 @@ def run_extract(
     except Exception as error:
         result.status = "failed"
         result.error = _summary(error)
-        parquet.discard(spark, path, ctx.run_id)
+        _settle(spark, result)
     _record(spark, ledger_path, None, ctx.triggered_by, ctx, started, datetime.now(UTC), result)
+    parquet.discard(spark, path, ctx.run_id)
     return result
 
 
@@ -192,27 +195,42 @@ def _write_elsewhere(spec: PipelineSpec, rows: DataFrame, state: dict, result: R
     _resolve(result)
 
 
-def recover_unfinished(spark: SparkSession, ledger_path: str) -> list[str]:
-    """Undo announced runs that never finished, and record them as failed; returns their job ids."""
-    open_runs = ledger.latest(ledger.read(spark, ledger_path)).filter(F.col("status") == "running").collect()
-    for event in open_runs:
-        parquet.recover(spark, event["destination_path"], event["job_id"])
+def _settle(spark: SparkSession, result: RunResult) -> None:
+    """Leave the target as it was, also when promotion broke off half way. A run past that point stays completed."""
+    try:
+        if not result.promoting:
+            parquet.discard(spark, result.path, result.job_id)
+        elif parquet.recover(spark, result.path, result.job_id):
+            result.logs.append("WARNING: the new data had replaced the old before the error")
+    except Exception as error:  # the store may be the reason for the failure; recover_unfinished can be tried later
+        result.logs.append(f"WARNING: clean-up failed: {_summary(error)}")
+
+
+def recover_unfinished(spark: SparkSession, ledger_path: str) -> dict[str, str]:
+    """Settle announced runs that never finished and record the outcome; job ids with their final status.
+
+    A run that had begun to delete replaced files is completed and counts as a success. Others are undone and failed.
+    """
+    settled = {}
+    for event in ledger.latest(ledger.read(spark, ledger_path)).filter(F.col("status") == "running").collect():
+        path, job_id = event["destination_path"], event["job_id"]
         now = datetime.now(UTC)
-        closed = event.asDict(recursive=True) | {
-            name: event[name].replace(tzinfo=UTC) for name in ("created_at", "started_at") if event[name]
-        }
-        ledger.append(
-            spark,
-            ledger_path,
-            closed | {"seq": ledger.next_seq(now), "status": "failed", "error": "run did not finish", "finished_at": now},
-        )
-    return sorted(event["job_id"] for event in open_runs)
+        closing = {"seq": ledger.next_seq(now), "finished_at": now, "status": "failed", "error": "run did not finish"}
+        if parquet.recover(spark, path, job_id):
+            files = list(parquet.run_files(spark, path, job_id))
+            rows = spark.read.parquet(*files).count() if files else 0
+            closing |= {"status": "success", "error": None, "rows_read": rows, "rows_written": rows}
+        times = {name: event[name].replace(tzinfo=UTC) for name in ("created_at", "started_at") if event[name]}
+        ledger.append(spark, ledger_path, event.asDict(recursive=True) | times | closing)
+        settled[job_id] = closing["status"]
+    return settled
 
 
 def _publish(spark: SparkSession, staged: parquet.StagedWrite, replace: bool, result: RunResult) -> None:
     result.rows_read, result.rows_written = staged.rows_read, staged.rows_written
     if staged.rows_read == staged.rows_written:
-        parquet.promote(spark, staged, replace)
+        result.promoting = True
+        parquet.promote(spark, staged, replace, keep_marker=True)
     _resolve(result)
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from siltbed import storage
 from siltbed.queries.views import table
 
-PAGE_ROWS = 100
-PAGES_PER_ENDPOINT = 50
+PAGE_ROWS = 1000
+PAGES_PER_ENDPOINT = 5
 FILE_ROWS = 2000
 
 EVENT_SCHEMA = "event_id bigint, ts string, user_id bigint, event_type string, value double, props string"
@@ -23,7 +23,7 @@ CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal d
 
 
 def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as pages of 100; 50 pages make one endpoint, each page names the next one of its endpoint."""
+    """Events as numbered pages; a few pages make one endpoint, and each page names the next one of its endpoint."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     number = F.floor(F.col("event_id") / PAGE_ROWS)
     pages = (

@@ -203,7 +203,7 @@ def rest_cursor_chain(spark, sf_dir):
     )
 
 
-@query("rest_page_stop", "SELECT *, (event_id // 100 + 1)::INTEGER AS page_no FROM events")
+@query("rest_page_stop", "SELECT *, (event_id // 1000 + 1)::INTEGER AS page_no FROM events")
 def rest_page_stop(spark, sf_dir):
     """Numbered pages fetched in parallel ranges that reach beyond the last page."""
     root = scratch_path(spark, "rest-page")
@@ -213,7 +213,9 @@ def rest_page_stop(spark, sf_dir):
     fixtures.write_text(pages, root, "page", "page_size")
     last = pages.agg(F.max("page")).first()[0]
     uri = fixtures.as_uri(storage.qualified(spark, root))
-    request = rest.RestOptions(uri, "data", "page", max_pages=last + 20, parallelism=8)
+    request = rest.RestOptions(
+        uri, "data", "page", page_size=fixtures.PAGE_ROWS, max_pages=last + 20, parallelism=8
+    )
     landed = scratch_path(spark, "rest-pages")
     rest.fetch_pages(spark, request, rest.folder_get).write.parquet(landed)
     kept = rest.before_first_empty(spark.read.parquet(landed), request.max_pages)

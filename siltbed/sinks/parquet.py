@@ -5,6 +5,7 @@ Files of a run carry the run id in their name, which makes promotion repeatable
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date
 
@@ -82,24 +83,23 @@ def _final_name(relative: str, run_id: str) -> str:
     return f"{folder}/{run_id}-{name}" if folder else f"{run_id}-{name}"
 
 
-def promote(spark: SparkSession, staged: StagedWrite, replace: bool) -> int:
+def promote(spark: SparkSession, staged: StagedWrite, replace: bool, keep_marker: bool = False) -> int:
     """Make a staged run visible.
 
     New files are moved in first; a replacing run then deletes what was there before, only in the partitions it wrote
-    when the dataset is partitioned. A crash in between leaves old and new side by side until ``recover`` is called,
-    never neither.
+    when the dataset is partitioned. In between it notes the files to delete in its staging folder: from then on the
+    run can only be completed, before that only be undone (see ``recover``). ``keep_marker`` leaves that note, and the
+    staging folder, to be discarded by the caller once the run is recorded.
     """
     root = staged.path.rstrip("/")
     staged_files = list(storage.data_files(spark, staged.staging))
     folders = {entry.relative.rpartition("/")[0] for entry in staged_files}
-    prefix = f"{staged.run_id}-"
     old = []
     if replace:
         old = [
             entry.path
             for entry in storage.data_files(spark, root)
-            if not entry.relative.rpartition("/")[2].startswith(prefix)
-            and (entry.relative.rpartition("/")[0] in folders or folders <= {""})
+            if not _belongs(entry, staged.run_id) and (entry.relative.rpartition("/")[0] in folders or folders <= {""})
         ]
     for folder in folders:
         storage.make_folder(spark, f"{root}/{folder}" if folder else root)
@@ -107,24 +107,45 @@ def promote(spark: SparkSession, staged: StagedWrite, replace: bool) -> int:
         lambda entry: storage.rename(spark, entry.path, f"{root}/{_final_name(entry.relative, staged.run_id)}"),
         staged_files,
     )
-    storage.delete_files(spark, old)
-    discard(spark, staged.path, staged.run_id)
+    if old:
+        storage.write_text(spark, _marker(staged.path, staged.run_id), "\n".join(old))
+        storage.delete_files(spark, old)
+    if not keep_marker:
+        discard(spark, staged.path, staged.run_id)
     return moved
 
 
+def _belongs(entry: storage.FileEntry, run_id: str) -> bool:
+    return entry.relative.rpartition("/")[2].startswith(f"{run_id}-")
+
+
+def _marker(path: str, run_id: str) -> str:
+    return f"{staging_path(path, run_id)}/_replaced"
+
+
 def discard(spark: SparkSession, path: str, run_id: str) -> None:
-    """Remove a run's staging folder; nothing of it was ever visible."""
+    """Remove a run's staging folder; nothing in it is visible."""
     storage.delete_tree(spark, staging_path(path, run_id))
 
 
-def recover(spark: SparkSession, path: str, run_id: str) -> int:
-    """Undo a run that was promoted in part and never reached the ledger; returns the number of files removed."""
+def run_files(spark: SparkSession, path: str, run_id: str) -> Iterator[str]:
+    """Visible files of one run."""
+    return (entry.path for entry in storage.data_files(spark, path) if _belongs(entry, run_id))
+
+
+def recover(spark: SparkSession, path: str, run_id: str) -> bool:
+    """Settle a run that died before it was recorded; true when it was completed, false when it was undone.
+
+    Old files may be gone already once the run has noted them, so such a run is completed. Any other run is undone.
+    """
+    marker = _marker(path, run_id)
+    completed = storage.exists(spark, marker)
+    if completed:
+        storage.delete_files(spark, storage.read_text(spark, marker).split("\n"))
+    else:
+        storage.delete_files(spark, list(run_files(spark, path, run_id)))
     discard(spark, path, run_id)
-    prefix = f"{run_id}-"
-    return storage.delete_files(
-        spark,
-        (e.path for e in storage.data_files(spark, path) if e.relative.rpartition("/")[2].startswith(prefix)),
-    )
+    return completed
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:

@@ -99,6 +99,24 @@ def delete_files(spark: SparkSession, paths: Iterable[str]) -> int:
     return in_parallel(remove, paths)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _open(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _open(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
 def empty_files(spark: SparkSession, directory: str) -> Iterator[str]:
     """Visible files without content directly inside a directory, streamed from its listing."""
     fs, p = _open(spark, directory)

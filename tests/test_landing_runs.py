@@ -198,7 +198,7 @@ def test_schema_change_is_flagged_but_does_not_stop(lab):
 def test_promotion_failure_fails_the_run_and_keeps_the_watermark(lab, monkeypatch):
     lab.set([(1,)])
     first = lab.run()
-    monkeypatch.setattr(runner.parquet, "promote", lambda *a: (_ for _ in ()).throw(OSError("store is down")))
+    monkeypatch.setattr(runner.parquet, "promote", lambda *a, **k: (_ for _ in ()).throw(OSError("store is down")))
     result = lab.run()
     assert result.status == "failed" and "store is down" in result.error
     assert rows(ledger.watermarks(lab.events)) == [("p", first.watermark)]
@@ -294,17 +294,64 @@ def test_announced_run_is_recovered_after_a_crash(lab, monkeypatch):
     ctx = RunContext(run_ts=T0 + timedelta(hours=9))
     spec = PipelineSpec("p", "bronze/p", source="lab")
     real = parquet.promote
-    monkeypatch.setattr(runner.parquet, "promote", lambda s, staged, replace: (real(s, staged, False), crash()))
+    monkeypatch.setattr(runner.parquet, "promote", lambda s, staged, *a, **k: (real(s, staged, False), crash()))
     with pytest.raises(KeyboardInterrupt):
         run_pipeline(lab.spark, spec, ctx, lab.ledger_path, lab.root, announce=True)
     assert rows(lab.landed) == [(1,), (2,)]
     monkeypatch.undo()
-    assert runner.recover_unfinished(lab.spark, lab.ledger_path) == [ctx.run_id]
+    assert runner.recover_unfinished(lab.spark, lab.ledger_path) == {ctx.run_id: "failed"}
     assert rows(lab.landed) == [(1,)]
-    assert runner.recover_unfinished(lab.spark, lab.ledger_path) == []
+    assert runner.recover_unfinished(lab.spark, lab.ledger_path) == {}
     assert ledger.run(lab.events, ctx.run_id).first()["status"] == "failed"
 
 
+@pytest.mark.parametrize("crash_in", ["delete_files", "append"])
+def test_replacing_run_that_died_after_its_point_of_no_return(lab, monkeypatch, crash_in):
+    lab.set([(1,), (2,)])
+    lab.run()
+    lab.set([(3,)])
+    ctx = RunContext(run_ts=T0 + timedelta(hours=9))
+    calls = []
+
+    def dying(module, name, at):
+        real = getattr(module, name)
+
+        def call(*args, **kwargs):
+            calls.append(name)
+            if calls.count(name) == at:
+                raise KeyboardInterrupt
+            return real(*args, **kwargs)
+
+        monkeypatch.setattr(module, name, call)
+
+    dying(*((storage, "delete_files", 1) if crash_in == "delete_files" else (runner.ledger, "append", 2)))
+    with pytest.raises(KeyboardInterrupt):
+        run_pipeline(lab.spark, PipelineSpec("p", "bronze/p", source="lab"), ctx, lab.ledger_path, lab.root, announce=True)
+    monkeypatch.undo()
+    assert runner.recover_unfinished(lab.spark, lab.ledger_path) == {ctx.run_id: "success"}
+    assert rows(lab.landed) == [(3,)]
+    last = ledger.run(lab.events, ctx.run_id).first()
+    assert (last["status"], last["rows_written"]) == ("success", 1)
+    assert not storage.exists(lab.spark, f"{lab.root}bronze/p/_staging/{ctx.run_id}")
+
+
+def test_promotion_that_breaks_half_way_is_undone(lab, monkeypatch):
+    lab.set([(1,)])
+    lab.run()
+    lab.data = lab.spark.range(2, 10).repartition(4)
+    real, calls = storage.rename, []
+
+    def rename(*args):
+        calls.append(args)
+        if len(calls) == 3:
+            raise OSError("store is down")
+        real(*args)
+
+    monkeypatch.setattr(storage, "rename", rename)
+    assert lab.run().status == "failed"
+    assert rows(lab.landed) == [(1,)]
+
+
 def test_order_of_effects(lab, monkeypatch):
     seen = []
     for module, name in ((runner, "schema_hash"), (runner, "check_contract"), (runner, "mask_columns"), (runner.parquet, "stage"),
@@ -327,7 +374,7 @@ def test_ad_hoc_run_has_no_pipeline_history(spark, folder):
 def test_recover_removes_a_half_promoted_run(spark, folder):
     parquet.promote(spark, parquet.stage(spark.range(3), folder, "r1"), replace=True)
     parquet.promote(spark, parquet.stage(spark.range(3, 5), folder, "r2"), replace=False)
-    assert parquet.recover(spark, folder, "r2") > 0
+    assert parquet.recover(spark, folder, "r2") is False
     assert rows(parquet.read_landed(spark, folder)) == [(0,), (1,), (2,)]
 
 
