@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm.bpe_codec import encoding_digests
+from siltbed.llm.quality_rules import judged
+from siltbed.llm.sharding import sharded
 from siltbed.llm.token_counts import with_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +46,13 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return encoding_digests(docs, VOCABULARY).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op8_sharding")
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(documents(spark, sf_dir))
+
+
+@query("op3_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ["doc_id"])
