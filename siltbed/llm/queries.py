@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from siltbed.llm import toxicity
 from siltbed.llm.bpe_codec import encoding_digests
+from siltbed.llm.embedding_dedup import near_duplicates
+from siltbed.llm.packing import packed, token_estimate
 from siltbed.llm.quality_rules import judged
 from siltbed.llm.sharding import sharded
 from siltbed.llm.token_counts import with_token_counts
@@ -67,3 +69,13 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted"
     )
+
+
+@query("op4_embedding_dedup")
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op1_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir), token_estimate(F.col("text")))

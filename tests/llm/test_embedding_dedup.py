@@ -1,0 +1,90 @@
+import numpy as np
+import pytest
+
+from siltbed.llm import embedding_dedup
+from siltbed.llm.components import connected_components
+from siltbed.llm.embedding_dedup import Query, encode, near_duplicates, units, upper_bounds, words_of
+
+
+def brute_force(rows, threshold=0.95):
+    good = [i for i, (_, v) in enumerate(rows) if v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    linked = {i: set() for i in range(len(rows))}
+    for d in {len(rows[i][1]) for i in good}:
+        own = [i for i in good if len(rows[i][1]) == d]
+        x = units([rows[i][1] for i in own])
+        for a, b in zip(*np.nonzero(x @ x.T >= threshold)):
+            if a != b:
+                linked[own[a]].add(own[b])
+    out = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            new = linked[todo.pop()] - seen
+            seen |= new
+            todo += new
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        least = min(ids, default=None)
+        out.append((rows[i][0], len(linked[i]), least, rows[i][0] is not None and rows[i][0] == least))
+    return out
+
+
+def cloud():
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((1500, 48))
+    near = [base[i % 300] + rng.standard_normal(48) * 0.12 for i in range(700)]
+    hot = [base[7] + rng.standard_normal(48) * 0.1 for _ in range(600)]
+    rows = [v.astype(np.float32).tolist() for v in [*base, *near, *hot]] + [base[9].astype(np.float32).tolist()] * 200
+    odd = [None, [], [0.0] * 48, [float("nan")] * 48, [None] + [1.0] * 47, [float("inf")] * 48, [1.0, 2.0], [2.0, 4.0]]
+    return [(i, v) for i, v in enumerate(rows + odd)] + [(None, rows[9])]
+
+
+def test_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 300)
+    rows = cloud()
+    table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, n_links int").repartition(5)
+    got = sorted(map(tuple, near_duplicates(table).collect()), key=str)
+    want = sorted(brute_force(rows), key=str)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    found, there = sum(g[1] for g in got), sum(w[1] for w in want)
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+    assert found >= 0.99 * there
+    assert sum(g[2:] == w[2:] for g, w in zip(got, want)) >= 0.99 * len(want)
+
+
+def test_registered_query_recall(spark):
+    from siltbed.llm.queries import QUERIES
+
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    got = {r.vec_id: tuple(r) for r in QUERIES["op4_embedding_dedup"](spark, "/root/testdata/sf0.01").collect()}
+    want = {w[0]: w for w in brute_force(rows)}
+    assert got.keys() == want.keys()
+    assert sum(g[1] for g in got.values()) >= 0.95 * sum(w[1] for w in want.values())
+
+
+def test_estimates_are_unbiased_and_bounded():
+    rng = np.random.default_rng(1)
+    x = units(rng.standard_normal((1500, 64)))
+    y = units(x + rng.standard_normal(x.shape) * 0.06)
+    packed, factor = encode(y)
+    upper = upper_bounds(Query(x[:400]), words_of(packed), factor, 64)
+    assert (upper >= x[:400] @ y.T).mean() > 0.999
+    d = 64
+    spread = np.sqrt(1 - factor**2) / factor / np.sqrt(d - 1)
+    centre = upper - embedding_dedup.EPSILON * spread[None, :]
+    assert np.abs((centre - x[:400] @ y.T).mean()) < 0.05
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(50)] + [(70, 60), (60, 70), (5, 5)]])
+def test_components(spark, edges):
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in edges:
+        if a != b:
+            ra, rb = find(a), find(b)
+            parent[max(ra, rb)] = min(ra, rb)
+    assert got == {x: find(x) for x in list(parent)}
+
+
+def test_empty(spark):
+    assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
