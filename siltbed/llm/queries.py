@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltbed.llm import toxicity
 from siltbed.llm.bpe_codec import encoding_digests
 from siltbed.llm.embedding_dedup import near_duplicates
+from siltbed.llm.jaccard_join import jaccard_components
 from siltbed.llm.packing import packed, token_estimate
 from siltbed.llm.quality_rules import judged
 from siltbed.llm.sharding import sharded
@@ -79,3 +80,8 @@ def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), token_estimate(F.col("text")))
+
+
+@query("op2_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir), width=4, percent=85)
