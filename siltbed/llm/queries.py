@@ -14,6 +14,7 @@ from siltbed.llm.jaccard_join import jaccard_components
 from siltbed.llm.packing import packed, token_estimate
 from siltbed.llm.quality_rules import judged
 from siltbed.llm.sharding import sharded
+from siltbed.llm.suffix_dedup import without_repeats
 from siltbed.llm.token_counts import with_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +86,15 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), width=4, percent=85)
+
+
+@query("op10_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) - F.octet_length("kept_bytes")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
