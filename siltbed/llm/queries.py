@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm import toxicity
+from siltbed.llm import html_extraction, toxicity
 from siltbed.llm.bpe_codec import encoding_digests
 from siltbed.llm.embedding_dedup import near_duplicates
 from siltbed.llm.jaccard_join import jaccard_components
@@ -98,3 +98,12 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept_bytes", 256).alias("kept_sha256"),
     )
+
+
+@query("op7_html_extraction")
+def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    labeller = html_extraction.train(pages)
+    return html_extraction.with_main_text(pages, labeller).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
