@@ -1,6 +1,6 @@
 """Stretches of a text whose windows share an anchor.
 
-The anchor of a window of ``length`` bytes is its run of ``ANCHOR`` bytes with the smallest hash (the first of equals).
+The anchor of a window of ``length`` bytes is its run of a third of them with the smallest hash (the first of equals).
 It depends on the window's bytes alone, so equal windows have equal anchors at the same place in the window, wherever
 they stand. Neighbouring windows mostly share their anchor; such a stretch of window starts is one row.
 """
@@ -11,7 +11,6 @@ import numpy as np
 
 from siltbed.llm.shingles import _powers, mixed
 
-ANCHOR = 128
 PIECE = 1 << 20  # bytes hashed at once; longer texts are taken in pieces that overlap by a window less one byte
 _PLACE_BITS = 26
 _VALUES = mixed(np.arange(1000, 1256).astype(np.uint64))
@@ -30,6 +29,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of one text's bytes: anchor hash, hash of the stretch's bytes, first window start, number of windows."""
     found = []
+    anchor = max(1, length // 3)
     for at in range(0, max(1, len(data) - length + 1), PIECE):
         piece = data[at:at + PIECE + length - 1]
         if len(piece) < length:
@@ -38,9 +38,9 @@ def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         up, down = _powers(1 << max(12, n.bit_length()))
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUES[piece] * up[:n], out=sums[1:])
-        anchors = mixed((sums[ANCHOR:] - sums[:-ANCHOR]) * down[:n - ANCHOR + 1])
+        anchors = mixed((sums[anchor:] - sums[:-anchor]) * down[:n - anchor + 1])
         packed = anchors >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS) | np.arange(len(anchors), dtype=np.uint64)
-        place = sliding_least(packed, length - ANCHOR + 1) & np.uint64((1 << _PLACE_BITS) - 1)
+        place = sliding_least(packed, length - anchor + 1) & np.uint64((1 << _PLACE_BITS) - 1)
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         many = np.diff(np.append(first, len(place)))
         end = first + many + length - 1

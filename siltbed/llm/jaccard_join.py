@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltbed.llm.bitsets import marked
 from siltbed.llm.components import connected_components
@@ -167,10 +168,11 @@ def _tiles_compared(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[p
         yield compare(rest)
 
 
-def jaccard_components(
+def jaccard_groups(
     docs: DataFrame, width: int = 4, percent: int = 85, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id; other columns are not read.
+    """One row per row of ``docs``: doc_id, key (xxhash64 of the text), n_shingles, component (a number, null without
+    shingles), component_id; other columns are not read.
 
     Two rows link when 100 * |A & B| >= percent * |A | B| for their sets of shingles of ``width`` words (ASCII lower
     case; a shorter text is one shingle). Null, empty and blank texts have no shingles and link with nothing, not even
@@ -303,8 +305,50 @@ def jaccard_components(
     by_set = rows.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     by_set = by_set.join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     names = by_set.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = by_set.join(names, "component").select("set_id", "component_id")
-    return rows.select("doc_id", "n", "set_id").join(known, "set_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+    known = by_set.join(names, "component").select("set_id", "component", "component_id")
+    return rows.select("doc_id", "key", "n", "set_id").join(known, "set_id", "left").select(
+        "doc_id", "key", F.col("n").alias("n_shingles"), "component",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, **names: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of :func:`jaccard_groups`."""
+    return jaccard_groups(docs, width, percent, **names).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_group(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each group that links join: the one with the smallest id (null last), then text hash.
+
+    Rows without shingles are all kept; of repeated rows one is. Only rows that go, or stand twice, are shuffled.
+    """
+    spark = docs.sparkSession
+    root = scratch_path(spark, "groups")
+    jaccard_groups(docs, width, percent, id_column, text).filter("n_shingles > 0").groupBy("component", "doc_id", "key").agg(
+        F.count(F.lit(1)).alias("n")
+    ).write.parquet(f"{root}/members")
+    members = spark.read.parquet(f"{root}/members")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    chosen = members.groupBy("component").agg(F.min(order).alias("best"))
+    lone = members.join(chosen, "component").withColumn(
+        "best", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))
+    lone.filter((F.col("n") > 1) | ~F.col("best")).select(
+        "doc_id", "key", "best", F.xxhash64("doc_id", "key").alias("row")
+    ).write.parquet(f"{root}/marked")
+    special = spark.read.parquet(f"{root}/marked")
+    field = spark.sparkContext.broadcast(marked(special, "row", special.count()))  # 32 MB at most
+
+    @F.pandas_udf(T.BooleanType())
+    def may_go(rows: pd.Series) -> pd.Series:
+        return pd.Series(field.value.may_hold(rows.to_numpy()))
+
+    names = docs.columns
+    keyed = docs.withColumns({"__key": F.xxhash64(F.col(text)), "__row": F.xxhash64(F.col(id_column), F.xxhash64(F.col(text)))})
+    keyed = keyed.withColumn("__may", may_go("__row"))
+    same = special.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__same"), "best", F.col("row").alias("__row"))
+    looked_up = keyed.filter("__may").join(same, "__row", "left")
+    looked_up = looked_up.filter("best is null or best")
+    twice = looked_up.filter("best").dropDuplicates(["__row"])
+    return keyed.filter(~F.col("__may")).select(*names).union(looked_up.filter("best is null").select(*names)).union(twice.select(*names))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltbed.llm.anchors import ANCHOR, stretches
+from siltbed.llm.anchors import stretches
 from siltbed.llm.bitsets import marked
 from siltbed.llm.bwt_merge import repeated_starts
 from siltbed.llm.shingles import mixed
@@ -56,8 +56,6 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
 
     ``key`` must be the same for equal texts and differ for different ones.
     """
-    if length < ANCHOR:
-        raise ValueError(f"length must be at least {ANCHOR} bytes")
     spark = docs.sparkSession
     root = scratch_path(spark, "suffixes")
 
