@@ -30,53 +30,47 @@ def share(part: str, whole: str) -> Column:
     return F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
 
 
-def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and the counts and measures of each whole text. Rows don't move; arrays are per row only."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    prefix = "__m_"
-    names = [c for c in keep]
+def let(value: Column, body) -> Column:
+    """``body`` of a value computed once, however often it is named and wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(frame: DataFrame, **new: Column) -> DataFrame:
-        return frame.select(*names, *[c for c in frame.columns if c.startswith(prefix) and c[len(prefix):] not in new],
-                            *[v.alias(prefix + k) for k, v in new.items()])
 
-    col = lambda name: F.col(prefix + name)
-    lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(NOT_SPACE))
-    out = step(
-        docs,
-        lines=lines,
-        hashes=F.transform(F.filter(F.split(body, SPACE + "+"), lambda w: w != ""), lambda w: F.xxhash64(w)),
-        word_chars=F.length(F.regexp_replace(body, SPACE + "+", "")).cast("long"),
-        n_symbols=F.regexp_count(body, F.lit(SYMBOL)).cast("long"),
-        n_capitals=F.regexp_count(body, F.lit(r"\p{Lu}")).cast("long"),
-    )
-    n = F.size(col("hashes"))
-    # A window of three words as the hash of its words' hashes, with its place; equal windows meet by sorting.
-    windows = F.when(n >= 3, F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
-        lambda i: F.struct(
-            F.xxhash64(F.get(col("hashes"), i), F.get(col("hashes"), i + 1), F.get(col("hashes"), i + 2)).alias("h"),
-            i.alias("i"),
-        ),
+def repeated_words(hashes: Column) -> Column:
+    """Words covered by windows of three that stand twice or more, given the words' hashes.
+
+    Windows are hashed with their place and sorted, so equal ones meet; places of repeated ones are then walked in order.
+    """
+    windows = F.when(F.size(hashes) >= 3, F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(hashes) - 3, F.lit(0))),
+        lambda i: F.struct(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"), i.alias("i")),
     )).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    out = step(
-        out,
-        n_words=n.cast("long"),
-        n_lines=F.size(col("lines")).cast("long"),
-        n_dup_lines=(F.size(col("lines")) - F.size(F.array_distinct(col("lines")))).cast("long"),
-        windows=F.sort_array(windows),
-    ).drop(prefix + "lines", prefix + "hashes")
-    same = lambda x, j: F.coalesce(F.get(col("windows"), j)["h"] == x["h"], F.lit(False))
-    repeated = F.transform(F.filter(col("windows"), lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])
-    out = step(out, places=F.sort_array(repeated)).drop(prefix + "windows")
-    start = F.struct(F.lit(0).alias("total"), F.lit(-3).alias("last"))
-    covered = F.aggregate(
-        col("places"), start,
+
+    def repeated(own: Column) -> Column:
+        same = lambda x, j: F.coalesce(F.get(own, j)["h"] == x["h"], F.lit(False))
+        return F.transform(F.filter(own, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])
+
+    return F.aggregate(
+        F.sort_array(let(F.sort_array(windows), repeated)), F.struct(F.lit(0).alias("total"), F.lit(-3).alias("last")),
         lambda a, i: F.struct((a["total"] + F.least(F.lit(3), i - a["last"])).alias("total"), i.alias("last")),
     )["total"]
-    out = step(out, n_repeat_words=covered.cast("long")).drop(prefix + "places")
-    out = out.select(*names, *[col(c).alias(c) for c in (
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")])
+
+
+def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns and the counts and measures of each whole text. Rows don't move; arrays are per row only."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    hashes = F.transform(F.filter(F.split(body, SPACE + "+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(NOT_SPACE))
+    by_words = let(hashes, lambda h: F.struct(F.size(h).alias("n"), repeated_words(h).alias("repeated")))
+    by_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("equal")))
+    out = docs.select(*keep, F.struct(
+        by_words.alias("words"), by_lines.alias("lines"),
+        F.length(F.regexp_replace(body, SPACE + "+", "")).alias("word_chars"),
+        F.regexp_count(body, F.lit(SYMBOL)).alias("n_symbols"), F.regexp_count(body, F.lit(r"\p{Lu}")).alias("n_capitals"),
+    ).alias("__m"))
+    out = out.select(*keep, *[F.col(c).cast("long").alias(n) for n, c in (
+        ("n_words", "__m.words.n"), ("word_chars", "__m.word_chars"), ("n_symbols", "__m.n_symbols"),
+        ("n_dup_lines", "__m.lines.equal"), ("n_repeat_words", "__m.words.repeated"), ("n_lines", "__m.lines.n"),
+        ("n_capitals", "__m.n_capitals"))])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumns({
         "base_failed": failed,
@@ -152,5 +146,6 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, st
     out = out.withColumn("rejected_by", F.array_compact(F.array(*verdicts)))
     return out.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by",
-        (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"),
+        # As one sum, so that a filter on it stays above the join and the counts are made once.
+        ((F.size("rejected_by") + F.col("base_failed").cast("int")) == 0).alias("kept"),
     )
