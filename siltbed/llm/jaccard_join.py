@@ -3,13 +3,13 @@
 Shingles have one order for the whole table: those frequent in a bounded sample last, else by hash. Two sets whose
 Jaccard index reaches t share one of the first n - ceil(t n) + 1 shingles of each, so sets meet in tiles: one tile for
 each such shingle and band of sizes, where a band reaches as far as t allows. (The order only moves work; any order
-gives the same links.) In a tile, a set's signature has about one bit for each shingle; the bits in which two
-signatures differ are at most the shingles in which the sets differ, which bounds their overlap from above. Pairs that
+gives the same links.) In a tile, a set's signature has some bits for each shingle; the bits in which two signatures
+differ are at most the shingles in which the sets differ, which bounds their overlap from above. Pairs that
 pass are intersected exactly as sorted arrays.
 
-Groups of copies are settled before tiles compare pairs: equal sets are one set, and in each tile every set is first
-compared with one pivot only. Afterwards only sets of different components are compared, so a group of near copies
-costs as many comparisons as it has members, and tiles that hold one component, or the same sets as another tile, are
+Groups of copies are settled before tiles compare pairs: equal sets are one set, and in each tile sets are first
+compared with a few pivots only. Afterwards only sets of different components are compared, so a group of near copies
+costs about as many comparisons as it has members, and tiles that hold one component, or the same sets as another tile, are
 dropped. Larger tiles are dealt into blocks, and each pair of blocks is one group.
 """
 
@@ -33,6 +33,9 @@ SAMPLE_TEXTS = 8192
 MAX_FREQUENT = 65_536
 BLOCK_ROWS = 512
 MIN_BITS = 64
+BITS_PER_SHINGLE = 4
+#: Rounds of comparing with pivots, one pivot for so many sets of a tile, and how many at most.
+STAR_TURNS, SETS_PER_PIVOT, MOST_PIVOTS = 2, 8, 16
 BATCH_ROWS = 256
 
 
@@ -46,8 +49,8 @@ def prefix_length(n, percent: int):
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """About as many bits as shingles, a power of two of them; bit h mod size is set for each hash h."""
-    bits = max(MIN_BITS, 1 << int(len(hashes)).bit_length())
+    """BITS_PER_SHINGLE bits for each shingle, up to a power of two; bit h mod size is set for each hash h."""
+    bits = max(MIN_BITS, 1 << int(len(hashes) * BITS_PER_SHINGLE - 1).bit_length())
     field = np.zeros(bits, np.uint8)
     field[(hashes & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(field, bitorder="little").tobytes()
@@ -261,27 +264,47 @@ def jaccard_groups(
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         return kept(_linked(pairs, arrays_of(pairs, name), percent), f"{name}_links")
 
-    # First every set with the pivot of its tile.
-    pivots = entries.groupBy("shingle", "band").agg(F.min(F.struct("n", "set_id")).alias("p"))
-    stars = entries.join(pivots, ["shingle", "band"]).filter(F.col("set_id") != F.col("p.set_id")).select(
-        F.least("set_id", "p.set_id").alias("a"), F.greatest("set_id", "p.set_id").alias("b")
-    ).distinct()
-
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             c = {k: batch[k].to_numpy() for k in ("na", "nb", "sa", "sb")}
             yield batch.loc[may_link(c["na"], c["nb"], c["sa"], c["sb"], percent), ["a", "b"]]
 
-    left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
-    stars = kept(stars.join(left, "a").join(right, "b").mapInPandas(bounded, "a long, b long"), "stars")
-    first = verified(stars, "stars_exact")
-    component = kept(connected_components(first).withColumnRenamed("node", "set_id"), "first_components")
-
-    # Then the tiles, among sets that are not connected yet. A set also visits the next band's tile.
-    named = entries.join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    visiting = named.withColumn("member", F.lit(True)).union(
-        named.withColumns({"band": F.col("band") + 1, "member": F.lit(False)}))
+    sizes = {x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"}
+    signs = {x: sets.select(F.col("set_id").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"}
+
+    def visiting(component: DataFrame | None) -> DataFrame:
+        """Entries with their components; a set also visits the next band's tile."""
+        named = entries.withColumn("component", F.col("set_id"))
+        if component is not None:
+            named = entries.join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        return named.withColumn("member", F.lit(True)).union(
+            named.withColumns({"band": F.col("band") + 1, "member": F.lit(False)}))
+
+    # First one set of each component in a tile with the tile's pivots: the sets nearest to some fixed random values, so
+    # tiles of the same sets have the same pivots. A tile has more of them the more sets it holds, up to a fixed number.
+    component, links = None, None
+    for turn in range(STAR_TURNS):
+        rng = np.random.default_rng(turn)
+        values = [int(v) for v in rng.integers(-(1 << 63), (1 << 63) - 1, MOST_PIVOTS)]
+        near = [F.min(F.col("set_id").bitwiseXOR(F.lit(v))).bitwiseXOR(F.lit(v)) for v in values]
+        here = visiting(component)
+        pivots = here.groupBy("shingle", "band").agg(
+            F.count(F.lit(1)).alias("sets"), F.max("member").alias("some"), F.min("component").alias("x"),
+            F.max("component").alias("y"), F.array(*near).alias("pivots"),
+        ).filter("some and x <> y").select("shingle", "band", F.array_distinct(F.slice(
+            "pivots", 1, F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("sets") / SETS_PER_PIVOT)).cast("int"))).alias("pivots"))
+        one = here.groupBy("shingle", "band", "component").agg(F.min("set_id").alias("set_id"))
+        stars = one.join(pivots, ["shingle", "band"]).select("set_id", F.explode("pivots").alias("pivot")).filter(
+            "set_id <> pivot").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct()
+        stars = stars.join(sizes["a"], "a").join(sizes["b"], "b").filter(
+            F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb"))
+        stars = stars.join(signs["a"], "a").join(signs["b"], "b").mapInPandas(bounded, "a long, b long")
+        found = verified(kept(stars, f"stars{turn}"), f"stars{turn}_exact")
+        links = found if links is None else links.union(found)
+        component = kept(connected_components(links).withColumnRenamed("node", "set_id"), f"components{turn}")
+
+    # Then the tiles, among sets that are not connected yet.
+    visiting = visiting(component)
     tiles = visiting.groupBy("shingle", "band").agg(
         F.count(F.lit(1)).alias("sets"), F.max("member").alias("some"), F.min("component").alias("x"),
         F.max("component").alias("y"),
@@ -301,7 +324,7 @@ def jaccard_groups(
         lambda batches: _tiles_compared(batches, percent), "a long, b long")
     second = verified(kept(pairs.distinct(), "pairs"), "pairs_exact")
 
-    final = connected_components(first.union(second)).withColumnRenamed("node", "set_id")
+    final = connected_components(links.union(second)).withColumnRenamed("node", "set_id")
     by_set = rows.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     by_set = by_set.join(final, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     names = by_set.groupBy("component").agg(F.min("least").alias("component_id"))
