@@ -86,13 +86,28 @@ def partial_mask(value: Column) -> Column:
     )
 
 
+def mask_names(df: DataFrame, methods: dict[str, str]) -> dict[str, str]:
+    """The column each listed name stands for: the same name, else the only one that differs in case.
+
+    Names that stand for no column are left out. Two columns that differ from a name only in case are refused, as one
+    of them would stay unmasked.
+    """
+    found = {}
+    for name in methods:
+        same = [c for c in df.columns if c == name] or [c for c in df.columns if c.lower() == name.lower()]
+        if len(same) > 1:
+            raise ValueError(f"{name!r} could be any of the columns {same}")
+        if same:
+            found[name] = same[0]
+    return found
+
+
 def mask_columns(df: DataFrame, methods: dict[str, str]) -> DataFrame:
-    """Mask the listed columns that exist; names that are absent are ignored."""
+    """Mask the listed columns that exist, whatever the case of their names; names that are absent are ignored."""
     types = {f.name: f.dataType for f in df.schema.fields}
     masked: dict[str, Column] = {}
-    for name, method in methods.items():
-        if name not in types:
-            continue
+    for listed, name in mask_names(df, methods).items():
+        method = methods[listed]
         value = df[f"`{name}`"]
         if method == "sha256":
             masked[name] = sha256_mask(value, types[name])

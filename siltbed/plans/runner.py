@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed import extensions
-from siltbed.functions.masking import mask_columns
+from siltbed.functions.masking import mask_columns, mask_names
 from siltbed.functions.schema import check_contract, descriptors, schema_hash
 from siltbed.operators import ledger
 from siltbed.operators.incremental import after_watermark, in_window, resolve_key
@@ -43,6 +43,7 @@ class RunResult:
     last_schema: list[dict] | None = None
     watermark: str | None = None
     failed_files: list[str] = field(default_factory=list)
+    left_out: int = 0
     logs: list[str] = field(default_factory=list)
     promoting: bool = False
 
@@ -53,6 +54,7 @@ class Extracted:
 
     rows: DataFrame
     failed_files: list[str] = field(default_factory=list)
+    left_out: int = 0
     finish: Callable[[], None] = lambda: None
 
 
@@ -68,7 +70,7 @@ def extract(spark: SparkSession, spec: PipelineSpec, ctx: RunContext) -> Extract
         wanted = LandingOptions(**options)
         landed = read_landing(spark, wanted)
         return Extracted(
-            landed.rows, landed.failed_files, lambda: finish_landing(spark, wanted, landed, ctx.run_id)
+            landed.rows, landed.failed_files, landed.left_out, lambda: finish_landing(spark, wanted, landed, ctx.run_id)
         )
     return Extracted(extensions.get_source(spec.source)(spark, spec, ctx))
 
@@ -137,7 +139,7 @@ def _land(
     result: RunResult,
 ) -> None:
     source = extract(spark, spec, ctx)
-    rows, result.failed_files = source.rows, source.failed_files
+    rows, result.failed_files, result.left_out = source.rows, source.failed_files, source.left_out
     if window is not None:
         rows = in_window(rows, spec.incremental_key, window)
     elif spec.extraction_mode == "incremental":
@@ -157,14 +159,17 @@ def _land(
 
     by_max_key = spec.watermark_from == "max_key"
     key = resolve_key(rows, spec.incremental_key).name if by_max_key else None
-    if key in spec.pii_columns:
+    if key is not None and key in mask_names(rows, spec.pii_columns).values():
         raise SpecError(f"{key!r} cannot be masked and give the watermark")
     if spec.write_tasks:
         rows = rows.repartition(spec.write_tasks)
+    unknown = sorted(set(spec.pii_columns) - set(mask_names(rows, spec.pii_columns)))
+    if unknown:
+        result.logs.append(f"WARNING: no such columns to mask {unknown}")
     rows = mask_columns(rows, spec.pii_columns)
     if spec.sink != "parquet":
         _write_elsewhere(spec, rows, state, result)
-        source.finish()
+        _finish(source, result)
         result.watermark = None if window is not None else ctx.run_ts.astimezone(UTC).isoformat()
         return
     partition = None
@@ -175,7 +180,7 @@ def _land(
     check_gates(staged.rows_read, spec.min_rows_expected, spec.max_rows_drop_pct, state["rows_read"])
     replace = spec.extraction_mode == "full_refresh" and window is None
     _publish(spark, staged, replace, result)
-    source.finish()
+    _finish(source, result)
     if window is None:
         result.watermark = (
             (staged.max_key and datetime.fromisoformat(staged.max_key).isoformat()) or state["watermark"]
@@ -195,6 +200,14 @@ def _write_elsewhere(spec: PipelineSpec, rows: DataFrame, state: dict, result: R
     _resolve(result)
 
 
+def _finish(source: Extracted, result: RunResult) -> None:
+    """Rows are visible by now, so a source that cannot be tidied up is a warning and undoes nothing."""
+    try:
+        source.finish()
+    except Exception as error:
+        result.logs.append(f"WARNING: the source was not tidied up: {_summary(error)}")
+
+
 def _settle(spark: SparkSession, result: RunResult) -> None:
     """Leave the target as it was, also when promotion broke off half way. A run past that point stays completed."""
     try:
@@ -238,9 +251,9 @@ def _resolve(result: RunResult) -> None:
     """failed on a count mismatch, partial_success when files were left out, else success."""
     if result.rows_read != result.rows_written:
         raise GateError(f"{result.rows_read} rows read but {result.rows_written} written")
-    if result.failed_files:
+    if result.failed_files or result.left_out:
         result.status = "partial_success"
-        result.logs.append(f"{result.rows_read} rows landed, {len(result.failed_files)} files left out")
+        result.logs.append(f"{result.rows_read} rows landed, {len(result.failed_files) + result.left_out} files left out")
     else:
         result.status = "success"
         result.logs.append(f"{result.rows_read} rows landed")
@@ -285,4 +298,4 @@ def _record(
 
 
 def _summary(error: Exception) -> str:
-    return traceback.format_exception_only(error)[-1].strip()[:2000]
+    return traceback.format_exception_only(error)[-1].strip()

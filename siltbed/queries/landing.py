@@ -22,7 +22,7 @@ def csv_source(spark, sf_dir):
     path = scratch_path(spark, "csv")
     table(spark, sf_dir, "customer").write.csv(path, header=True, sep=";")
     options = files.LandingOptions(
-        (path,), "csv", fixtures.CUSTOMER_SCHEMA, {"sep": ";"}, max_files=100_000, fail_fast=True
+        (path,), "csv", fixtures.CUSTOMER_SCHEMA, {"sep": ";"}, fail_fast=True
     )
     return files.read_landing(spark, options).rows
 
@@ -31,7 +31,7 @@ def csv_source(spark, sf_dir):
 def jsonl_source(spark, sf_dir):
     path = scratch_path(spark, "jsonl")
     table(spark, sf_dir, "customer").write.json(path)
-    options = files.LandingOptions((path,), "json", fixtures.CUSTOMER_SCHEMA, max_files=100_000, fail_fast=True)
+    options = files.LandingOptions((path,), "json", fixtures.CUSTOMER_SCHEMA, fail_fast=True)
     return files.read_landing(spark, options).rows
 
 
@@ -51,7 +51,7 @@ def json_array_source(spark, sf_dir):
     customer.filter("c_mktsegment = 'BUILDING'").write.json(f"{path}/lines")
     options = files.LandingOptions(
         (*fixtures.directories(spark, f"{path}/arrays"), f"{path}/lines"), "json", fixtures.CUSTOMER_SCHEMA,
-        max_files=100_000, fail_fast=True,
+        fail_fast=True,
     )
     return files.read_landing(spark, options).rows
 
@@ -59,7 +59,7 @@ def json_array_source(spark, sf_dir):
 @query("avro_source", CUSTOMER)
 def avro_source(spark, sf_dir):
     path = fixtures.write_avro_customers(table(spark, sf_dir, "customer"), scratch_path(spark, "avro"))
-    options = files.LandingOptions((path,), "avro", fixtures.CUSTOMER_SCHEMA, max_files=100_000)
+    options = files.LandingOptions((path,), "avro", fixtures.CUSTOMER_SCHEMA)
     return files.read_landing(spark, options).rows
 
 
@@ -98,8 +98,7 @@ def _page_listing(spark, sf_dir):
           SELECT page_id || '#' || url AS path, {PAGE_NAME_SQL} AS name, strlen(html) AS length FROM pages)
         SELECT path, name, length FROM listing
         WHERE NOT (ends_with(name, '.html') OR regexp_matches(name, '^7.$') OR regexp_matches(name, '^[^0-6].[13]'))
-              AND length <= 3000
-        ORDER BY name, path LIMIT 1000""",
+              AND length <= 3000""",
 )
 def landing_file_filter(spark, sf_dir):
     kept = files.filter_listing(_page_listing(spark, sf_dir), ("*.html", "7?", "[!0-6]?[13]*"), 3000)
@@ -131,7 +130,7 @@ def _event_files(spark, sf_dir) -> tuple[str, files.LandingOptions]:
     )
     fixtures.write_text(lines, path, "block")
     options = files.LandingOptions(
-        fixtures.directories(spark, path), "json", fixtures.EVENT_SCHEMA, max_files=100_000
+        fixtures.directories(spark, path), "json", fixtures.EVENT_SCHEMA
     )
     return path, options
 
@@ -146,7 +145,7 @@ _BROKEN_SQL = f"event_type = 'error' AND value > {BROKEN_ABOVE}"
 )
 def landing_quarantine(spark, sf_dir):
     path, options = _event_files(spark, sf_dir)
-    listed = files.filter_listing(files.list_directories(spark, options.paths), max_files=options.max_files)
+    listed = files.filter_listing(files.list_directories(spark, options.paths))
     parsed = files.parse_files(spark, [row["path"] for row in listed.collect()], options)
     return files.bad_files(parsed).select(
         F.regexp_extract(files.SOURCE_FILE, r"block=(\d+)", 1).cast("bigint").alias("block"), "bad_records"
@@ -173,7 +172,7 @@ def multi_path_union(spark, sf_dir):
         )
     options = files.LandingOptions(
         tuple(f"{path}/{status}" for status in ("F", "O", "P", "missing")), "json", orders.schema,
-        max_files=100_000, fail_fast=True,
+        fail_fast=True,
     )
     return files.read_landing(spark, options).rows
 
@@ -251,7 +250,7 @@ def custom_parser(spark, sf_dir):
             yield int(key), name, int(nation), float(balance), segment
 
     extensions.parser("pipes", parse, fixtures.CUSTOMER_SCHEMA)
-    return files.read_landing(spark, files.LandingOptions((path,), "pipes", max_files=100_000, fail_fast=True)).rows
+    return files.read_landing(spark, files.LandingOptions((path,), "pipes", fail_fast=True)).rows
 
 
 def _two_drops(spark, sf_dir, pii_columns=None):

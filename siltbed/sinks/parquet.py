@@ -19,6 +19,8 @@ from siltbed.functions.masking import utc_wall_time
 INGEST_DATE = "_date"
 STAGING = "_staging"
 ROWS_READ = "rows_read"
+#: Between run id and file name; run ids may not hold it.
+MARK = "~"
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,7 @@ class StagedWrite:
     rows_read: int
     rows_written: int
     max_key: str | None = None
+    partition_by: str | None = None
 
     @property
     def staging(self) -> str:
@@ -64,6 +67,8 @@ def stage(
     The counter sits in the stage that writes, where only the first finished attempt of a task counts, so a lost
     executor does not inflate it.
     """
+    if MARK in run_id or "/" in run_id or not run_id:
+        raise ValueError(f"run id {run_id!r} may not be empty or hold {MARK!r} or '/'")
     spark = df.sparkSession
     target = staging_path(path, run_id)
     storage.delete_tree(spark, target)
@@ -75,32 +80,36 @@ def stage(
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(target)
     found = seen.get
     written = spark.read.schema(df.schema).parquet(target).count()
-    return StagedWrite(path, run_id, found[ROWS_READ], written, found.get("max_key"))
+    return StagedWrite(path, run_id, found[ROWS_READ], written, found.get("max_key"), partition_by)
 
 
 def _final_name(relative: str, run_id: str) -> str:
     folder, _, name = relative.rpartition("/")
-    return f"{folder}/{run_id}-{name}" if folder else f"{run_id}-{name}"
+    return f"{folder}/{run_id}{MARK}{name}" if folder else f"{run_id}{MARK}{name}"
 
 
 def promote(spark: SparkSession, staged: StagedWrite, replace: bool, keep_marker: bool = False) -> int:
     """Make a staged run visible.
 
-    New files are moved in first; a replacing run then deletes what was there before, only in the partitions it wrote
-    when the dataset is partitioned. In between it notes the files to delete in its staging folder: from then on the
-    run can only be completed, before that only be undone (see ``recover``). ``keep_marker`` leaves that note, and the
-    staging folder, to be discarded by the caller once the run is recorded.
+    The names that the new files will have are noted first, then the files are moved in; a replacing run then deletes
+    what was there before, only in the partitions it wrote when the dataset is partitioned (none, if it wrote no row).
+    In between it notes the files to delete in its staging folder: from then on the run can only be completed, before
+    that only be undone (see ``recover``). ``keep_marker`` leaves that note, and the staging folder, to be discarded by
+    the caller once the run is recorded. Files of an earlier run with the same id are old files like any other.
     """
     root = staged.path.rstrip("/")
     staged_files = list(storage.data_files(spark, staged.staging))
     folders = {entry.relative.rpartition("/")[0] for entry in staged_files}
+    names = {_final_name(entry.relative, staged.run_id) for entry in staged_files}
     old = []
     if replace:
         old = [
             entry.path
             for entry in storage.data_files(spark, root)
-            if not _belongs(entry, staged.run_id) and (entry.relative.rpartition("/")[0] in folders or folders <= {""})
+            if entry.relative not in names
+            and (staged.partition_by is None or entry.relative.rpartition("/")[0] in folders)
         ]
+    storage.write_text(spark, _moving(staged.path, staged.run_id), "\n".join(sorted(names)))
     for folder in folders:
         storage.make_folder(spark, f"{root}/{folder}" if folder else root)
     moved = storage.in_parallel(
@@ -116,7 +125,11 @@ def promote(spark: SparkSession, staged: StagedWrite, replace: bool, keep_marker
 
 
 def _belongs(entry: storage.FileEntry, run_id: str) -> bool:
-    return entry.relative.rpartition("/")[2].startswith(f"{run_id}-")
+    return entry.relative.rpartition("/")[2].startswith(f"{run_id}{MARK}")
+
+
+def _moving(path: str, run_id: str) -> str:
+    return f"{staging_path(path, run_id)}/_moving"
 
 
 def _marker(path: str, run_id: str) -> str:
@@ -136,14 +149,17 @@ def run_files(spark: SparkSession, path: str, run_id: str) -> Iterator[str]:
 def recover(spark: SparkSession, path: str, run_id: str) -> bool:
     """Settle a run that died before it was recorded; true when it was completed, false when it was undone.
 
-    Old files may be gone already once the run has noted them, so such a run is completed. Any other run is undone.
+    Old files may be gone already once the run has noted them, so such a run is completed. Any other run is undone: the
+    files it had noted to move in are deleted, and no others.
     """
     marker = _marker(path, run_id)
     completed = storage.exists(spark, marker)
     if completed:
         storage.delete_files(spark, storage.read_text(spark, marker).split("\n"))
     else:
-        storage.delete_files(spark, list(run_files(spark, path, run_id)))
+        note = _moving(path, run_id)
+        names = storage.read_text(spark, note).split("\n") if storage.exists(spark, note) else []
+        storage.delete_files(spark, [f"{path.rstrip('/')}/{name}" for name in names if name])
     discard(spark, path, run_id)
     return completed
 

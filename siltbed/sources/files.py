@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import fnmatch
 import re
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -18,8 +19,6 @@ from siltbed.sources.avro import avro_kind, read_avro
 
 # Landing defaults.
 SKIP_PATTERNS = ("TMP_*",)
-MAX_FILES = 1000
-MAX_FILE_BYTES = 500 * 1024 * 1024
 CHARSETS = {"ascii": "US-ASCII", "iso8859-1": "ISO-8859-1", "utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16"}
 
 CORRUPT = "_corrupt_record"
@@ -42,8 +41,8 @@ class LandingOptions:
     schema: T.StructType | str | None = None
     parser_options: dict = field(default_factory=dict)
     skip_patterns: tuple[str, ...] = SKIP_PATTERNS
-    max_files: int = MAX_FILES
-    max_file_bytes: int = MAX_FILE_BYTES
+    max_files: int | None = None
+    max_file_bytes: int | None = None
     fail_fast: bool = False
     manifest: str | None = None
     processed_folder: str | None = None
@@ -51,11 +50,12 @@ class LandingOptions:
 
 @dataclass(frozen=True)
 class LandingRead:
-    """Rows of the good files, and the lists of rejected and accepted files (never longer than ``max_files``)."""
+    """Rows of the good files, the rejected and accepted files, and how many a limit on their number left for later."""
 
     rows: DataFrame
     failed_files: list[str]
     good_files: list[str] = field(default_factory=list)
+    left_out: int = 0
 
 
 def name_skipped(name: Column, patterns: tuple[str, ...]) -> Column:
@@ -108,11 +108,13 @@ def list_directories(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
 def filter_listing(
     listing: DataFrame,
     skip_patterns: tuple[str, ...] = SKIP_PATTERNS,
-    max_file_bytes: int = MAX_FILE_BYTES,
-    max_files: int | None = MAX_FILES,
+    max_file_bytes: int | None = None,
+    max_files: int | None = None,
 ) -> DataFrame:
-    """Drop skipped names and oversized files, then keep the first ``max_files`` in directory and name order."""
-    kept = listing.filter(~name_skipped(F.col("name"), skip_patterns) & (F.col("length") <= max_file_bytes))
+    """Drop skipped names; drop larger files and keep the first ones in directory and name order, if limits are set."""
+    kept = listing.filter(~name_skipped(F.col("name"), skip_patterns))
+    if max_file_bytes is not None:
+        kept = kept.filter(F.col("length") <= max_file_bytes)
     return kept if max_files is None else kept.orderBy("directory", "name", "path").limit(max_files)
 
 
@@ -124,7 +126,7 @@ def unprocessed(listing: DataFrame, manifest: DataFrame) -> DataFrame:
 def probe_files(spark: SparkSession, paths: list[str], parser: str) -> dict[str, str]:
     """What each file holds: ``data``, for JSON ``array`` or ``lines``, or ``empty`` and ``foreign`` for unusable ones.
 
-    JSON and Avro files are opened for their first bytes only; the number of paths is bounded by ``max_files``.
+    JSON and Avro files are opened for their first bytes only.
     """
 
     def kind(path: str) -> str:
@@ -263,29 +265,36 @@ def read_landing(spark: SparkSession, options: LandingOptions, processed: DataFr
 
     With ``fail_fast`` the first broken file stops the run, in one pass. Otherwise a first pass finds files with
     broken records and, if there are any, a second reads only the others, so one bad record keeps its whole file out.
-    The file lists held by the driver are bounded by ``max_files``.
+    There is no limit unless the options set one: files above ``max_file_bytes`` are rejected like broken ones, and
+    files beyond ``max_files`` are counted in ``left_out``. The driver holds the names of the files of one run.
     """
     listing = list_directories(spark, options.paths)
     if processed is None and options.manifest and storage.exists(spark, options.manifest):
         processed = spark.read.schema(MANIFEST_SCHEMA).parquet(options.manifest)
     if processed is not None:
         listing = unprocessed(listing, processed)
-    found = filter_listing(listing, options.skip_patterns, options.max_file_bytes, options.max_files).collect()
+    named = filter_listing(listing, options.skip_patterns)
+    found = named.orderBy("directory", "name", "path").collect()
+    most = options.max_file_bytes
+    too_large = [row["path"] for row in found if most is not None and row["length"] > most]
+    found = [row for row in found if most is None or row["length"] <= most]
+    left_out = 0 if options.max_files is None else max(0, len(found) - options.max_files)
+    found = found[:len(found) - left_out]
     # Raw bytes may be empty; every other format needs content.
     sized = [row["path"] for row in found if row["length"] > 0 or options.parser == "binary"]
     kinds = probe_files(spark, sized, options.parser)
     usable = {path: kind for path, kind in kinds.items() if kind not in UNUSABLE}
-    unusable = sorted(row["path"] for row in found if row["path"] not in usable)
+    unusable = sorted([*too_large, *(row["path"] for row in found if row["path"] not in usable)])
     if unusable and options.fail_fast:
         raise EmptySourceError(f"no records in {unusable[0]}")
     if not usable:
-        return LandingRead(spark.createDataFrame([], _as_struct(options.schema) or T.StructType([])), unusable)
+        return LandingRead(spark.createDataFrame([], _as_struct(options.schema) or T.StructType([])), unusable, [], left_out)
     if options.fail_fast or options.parser in ("avro", "binary"):
-        return LandingRead(_data_columns(parse_files(spark, usable, options, "FAILFAST")), unusable, list(usable))
+        return LandingRead(_data_columns(parse_files(spark, usable, options, "FAILFAST")), unusable, list(usable), left_out)
     first_pass = parse_files(spark, usable, options)
     broken = {_plain(row[SOURCE_FILE]): row[SOURCE_FILE] for row in bad_files(first_pass).collect()}
     if not broken:
-        return LandingRead(_data_columns(first_pass), unusable, list(usable))
+        return LandingRead(_data_columns(first_pass), unusable, list(usable), left_out)
     schema = _data_columns(first_pass).schema
     good = {path: kind for path, kind in usable.items() if _plain(path) not in broken}
     rows = (
@@ -293,13 +302,14 @@ def read_landing(spark: SparkSession, options: LandingOptions, processed: DataFr
         if good
         else spark.createDataFrame([], schema)
     )
-    return LandingRead(rows, sorted([*unusable, *broken.values()]), list(good))
+    return LandingRead(rows, sorted([*unusable, *broken.values()]), list(good), left_out)
 
 
 def finish_landing(spark: SparkSession, options: LandingOptions, landed: LandingRead, run_id: str) -> None:
     """Call once the rows are visible: note the accepted files in the manifest, or move them to the processed folder.
 
     Rejected files stay where they are and are tried again. A run that dies before this call is repeated as a whole.
+    A name that is taken in the processed folder, or stands in several directories, gets the run id in front.
     """
     if options.manifest and landed.good_files:
         done = [(path, run_id) for path in landed.good_files]
@@ -307,9 +317,12 @@ def finish_landing(spark: SparkSession, options: LandingOptions, landed: Landing
     if options.processed_folder:
         folder = options.processed_folder.rstrip("/")
         storage.make_folder(spark, folder)
-        storage.in_parallel(
-            lambda path: storage.rename(spark, path, f"{folder}/{path.rsplit('/', 1)[-1]}"), landed.good_files
-        )
+        names = [path.rsplit("/", 1)[-1] for path in landed.good_files]
+        many, places = Counter(names), {}
+        for place, (path, name) in enumerate(zip(landed.good_files, names)):
+            taken = many[name] > 1 or storage.exists(spark, f"{folder}/{name}")
+            places[path] = f"{folder}/{run_id}-{place}-{name}" if taken else f"{folder}/{name}"
+        storage.in_parallel(lambda path: storage.rename(spark, path, places[path]), landed.good_files)
 
 
 def _data_columns(rows: DataFrame) -> DataFrame:

@@ -74,6 +74,11 @@ def plain_numbers(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+def as_named(rows: DataFrame, url: str) -> DataFrame:
+    """Oracle answers in upper case and with decimals for all numbers; other databases keep names and types."""
+    return plain_numbers(lower_case_columns(rows)) if url.startswith("jdbc:oracle:") else rows
+
+
 def read_jdbc(spark: SparkSession, source: JdbcSource, ctx: RunContext) -> DataFrame:
     check_host(source.url, source.allowed_hosts)
     query = resolve_variables(source.query, ctx)
@@ -90,5 +95,4 @@ def read_jdbc(spark: SparkSession, source: JdbcSource, ctx: RunContext) -> DataF
             bounds = None if row[0] is None else (int(row[0]), int(row[1]))
         if bounds is not None:
             options |= range_options(source, bounds)
-    rows = lower_case_columns(spark.read.format("jdbc").options(**options).load())
-    return plain_numbers(rows) if source.url.startswith("jdbc:oracle:") else rows
+    return as_named(spark.read.format("jdbc").options(**options).load(), source.url)

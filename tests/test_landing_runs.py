@@ -294,7 +294,7 @@ def test_announced_run_is_recovered_after_a_crash(lab, monkeypatch):
     ctx = RunContext(run_ts=T0 + timedelta(hours=9))
     spec = PipelineSpec("p", "bronze/p", source="lab")
     real = parquet.promote
-    monkeypatch.setattr(runner.parquet, "promote", lambda s, staged, *a, **k: (real(s, staged, False), crash()))
+    monkeypatch.setattr(runner.parquet, "promote", lambda s, staged, replace, **k: (real(s, staged, False, **k), crash()))
     with pytest.raises(KeyboardInterrupt):
         run_pipeline(lab.spark, spec, ctx, lab.ledger_path, lab.root, announce=True)
     assert rows(lab.landed) == [(1,), (2,)]
@@ -441,3 +441,78 @@ def test_archive_after_commit(spark, folder):
     land_stream(read_stream(spark, source), f"{folder}/out", f"{folder}/cp").awaitTermination()
     assert spark.read.parquet(f"{folder}/out").count() == 3
     assert any(storage.iter_files(spark, f"{folder}/done", ".json"))
+
+
+def test_empty_partitioned_refresh_keeps_other_days(lab):
+    for day, values in ((0, [(1,)]), (1, [(2,)]), (2, [])):
+        lab.minutes = day * 24 * 60
+        lab.set(values)
+        assert lab.run(partition_by="ingest_date").status == "success"
+    assert sorted(r.id for r in lab.landed.collect()) == [1, 2]
+
+
+def test_same_run_id_replaces_its_own_rows(lab, folder):
+    lab.set([(1,), (2,)])
+    for run_id in ("job", "job", "job-1", "job"):
+        staged = parquet.stage(lab.data, f"{folder}/t", run_id)
+        parquet.promote(lab.spark, staged, replace=True)
+        assert rows(lab.spark.read.parquet(f"{folder}/t")) == [(1,), (2,)]
+    parquet.recover(lab.spark, f"{folder}/t", "job")
+    assert rows(lab.spark.read.parquet(f"{folder}/t")) == [(1,), (2,)]
+    with pytest.raises(ValueError):
+        parquet.stage(lab.data, f"{folder}/t", "a~b")
+
+
+def test_failing_archive_is_a_warning(lab, folder, monkeypatch):
+    from tests.test_sources import put
+
+    put(lab.spark, f"{folder}/in/a.json", '{"id": 1}\n')
+    monkeypatch.setattr(runner, "finish_landing", lambda *a: (_ for _ in ()).throw(OSError("no such folder")))
+    options = {"paths": (f"{folder}/in",), "parser": "json", "schema": "id bigint"}
+    result = lab.run(source="files", source_options=options)
+    assert result.status == "success" and any("not tidied up" in line for line in result.logs)
+    assert rows(lab.landed) == [(1,)]
+
+
+def test_a_limit_on_files_is_reported(lab, folder):
+    from tests.test_sources import put
+
+    for name, text in (("a", '{"id": 1}\n'), ("b", '{"id": 2}\n'), ("c", '{"id": 3, "x": "' + "y" * 200 + '"}\n')):
+        put(lab.spark, f"{folder}/in/{name}.json", text)
+    options = {"paths": (f"{folder}/in",), "parser": "json", "schema": "id bigint"}
+    assert lab.run(source="files", source_options=options).rows_written == 3
+    result = lab.run(source="files", source_options={**options, "max_files": 1})
+    assert (result.status, result.rows_written, result.left_out) == ("partial_success", 1, 2)
+    result = lab.run(source="files", source_options={**options, "max_file_bytes": 100})
+    assert (result.status, result.rows_written, len(result.failed_files)) == ("partial_success", 2, 1)
+
+
+def test_archive_keeps_files_of_the_same_name(lab, folder):
+    from tests.test_sources import put
+
+    for place, number in (("a", 1), ("b", 2)):
+        put(lab.spark, f"{folder}/{place}/x.json", f'{{"id": {number}}}\n')
+    options = {"paths": (f"{folder}/a", f"{folder}/b"), "parser": "json", "schema": "id bigint", "processed_folder": f"{folder}/done"}
+    assert lab.run(source="files", source_options=options).rows_written == 2
+    assert len(list(storage.iter_files(lab.spark, f"{folder}/done", ".json"))) == 2
+
+
+def test_masks_find_columns_whatever_their_case(lab):
+    lab.set([(1, "a@b")], "id bigint, userEmail string")
+    result = lab.run(pii_columns={"useremail": "redact", "phone": "redact"})
+    assert result.status == "success" and rows(lab.landed) == [(1, None)]
+    assert any("phone" in line for line in result.logs)
+    lab.set([(1, "a", "b")], "id bigint, Email string, EMAIL string")
+    lab.spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        assert lab.run(pii_columns={"email": "redact"}).status == "failed"
+    finally:
+        lab.spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_only_oracle_names_are_lower_cased(spark):
+    from siltbed.sources.jdbc import as_named
+
+    frame = spark.createDataFrame([(1,)], "userId bigint")
+    assert as_named(frame, "jdbc:postgresql://h/d").columns == ["userId"]
+    assert as_named(frame, "jdbc:oracle:thin:@h").columns == ["userid"]
