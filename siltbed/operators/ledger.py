@@ -77,7 +77,8 @@ def history(
     limit: int = 50,
     offset: int = 0,
 ) -> DataFrame:
-    """Runs newest first, optionally of one pipeline or status; planned as a distributed top-k."""
+    """Runs (their newest events) newest first, optionally of one pipeline or status; planned as a distributed top-k."""
+    runs = latest(runs)
     if pipeline is not None:
         runs = runs.filter(F.col("pipeline_id") == pipeline)
     if status is not None:
@@ -101,12 +102,15 @@ def log_lines(current: DataFrame) -> DataFrame:
 
 
 def log_slice(lines: DataFrame, since: int, job_id: str | None = None) -> DataFrame:
-    """Log lines at or after an offset, for one run or all, with the offset to ask for next."""
+    """Log lines at or after an offset, for one run or all, with the offset to ask for next.
+
+    A run without new lines has one row without a line, whose next offset is the one asked for.
+    """
     if job_id is not None:
         lines = lines.filter(F.col("job_id") == job_id)
-    wanted = lines.filter(F.col("line_no") >= since)
-    ends = wanted.groupBy("job_id").agg((F.count(F.lit(1)) + since).alias("next_offset"))
-    return wanted.join(ends, "job_id")
+    new = F.col("line_no") >= since
+    ends = lines.groupBy("job_id").agg((F.count_if(new) + since).alias("next_offset"))
+    return ends.join(lines.filter(new), "job_id", "left")
 
 
 def _good_pipeline_runs(runs: DataFrame) -> DataFrame:
@@ -164,14 +168,15 @@ def row_drops(runs: DataFrame, max_drop_pct: float) -> DataFrame:
 def lineage(runs: DataFrame) -> DataFrame:
     """Distinct edges from source connection to destination, with how often each was used."""
     return (
-        runs.filter(F.col("source_connection_id").isNotNull() | F.col("destination_path").isNotNull())
+        latest(runs)
+        .filter(F.col("source_connection_id").isNotNull() | F.col("destination_path").isNotNull())
         .groupBy("source_connection_id", "pipeline_id", "destination_path")
         .agg(F.count(F.lit(1)).alias("runs"))
     )
 
 
 def by_trigger(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("triggered_by").agg(F.count(F.lit(1)).alias("runs"))
+    return latest(runs).groupBy("triggered_by").agg(F.count(F.lit(1)).alias("runs"))
 
 
 def pipeline_state(spark: SparkSession, path: str, pipeline_id: str) -> dict:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltbed.functions.guards import host_allowed
 from siltbed.functions.schema import drifted
 from siltbed.operators.incremental import key_literal
-from siltbed.operators.ledger import OPEN, last_success
+from siltbed.operators.ledger import OPEN, last_success, latest
 
 # Upper bounds of the duration histogram, in seconds.
 DURATION_BUCKETS = (1, 5, 15, 30, 60, 120, 300, 600, 1800)
@@ -18,7 +18,7 @@ DASHBOARD_RUNS = 10
 
 
 def runs_by_status(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("status").agg(F.count(F.lit(1)).alias("runs"))
+    return latest(runs).groupBy("status").agg(F.count(F.lit(1)).alias("runs"))
 
 
 def duration_histogram(runs: DataFrame, seconds: Column) -> DataFrame:
@@ -50,8 +50,8 @@ def open_runs(current: DataFrame) -> DataFrame:
 
 
 def metrics(runs: DataFrame) -> DataFrame:
-    """All single-number metrics in one pass."""
-    return runs.agg(
+    """All single-number metrics in one pass over the runs' newest events."""
+    return latest(runs).agg(
         F.count(F.lit(1)).alias("runs"),
         F.coalesce(F.sum("rows_written"), F.lit(0)).alias("rows_total"),
         F.count_if(F.col("schema_changed")).alias("schema_changes"),
@@ -63,7 +63,7 @@ def dashboard(pipelines: DataFrame, runs: DataFrame) -> DataFrame:
     """Active pipelines, and successes and failures among the ten newest runs."""
     active = pipelines.agg(F.count_if(F.col("is_active")).alias("active_pipelines"))
     recent = (
-        runs.orderBy(F.desc("created_at"), F.desc("seq"))
+        latest(runs).orderBy(F.desc("created_at"), F.desc("seq"))
         .limit(DASHBOARD_RUNS)
         .agg(
             F.count_if(F.col("status") == "success").alias("recent_success"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 from datetime import UTC, date, datetime
@@ -28,15 +29,26 @@ class PurgeResult:
     bytes_deleted: int
 
 
+def template_pattern(rest: str) -> str | None:
+    """Pattern of the paths below a template's fixed part, with its (first) date as a group; none without a date."""
+    if "{date}" not in rest:
+        return None
+    first, *others = (re.sub(r"([^A-Za-z0-9_/])", r"\\\1", part) for part in rest.strip("/").split("{date}"))
+    day = r"\d{4}-\d{2}-\d{2}"
+    return f"^{first}({day})" + f"(?:{day})".join(others) + "/"
+
+
 def plan(
     spark: SparkSession, base_path: str, before: date | None = None, partition_filter: str | None = None
 ) -> DataFrame:
     """Files to delete: ``relative``, ``length``, ``partition_date``. File contents are not read.
 
     With ``before``, files outside a dated partition are left alone. The filter is matched inside the path below the
-    base only, and a ``{date}`` template is purged from its fixed part.
+    base only. Of a ``{date}`` template only files that one of its paths holds are planned, and their partition date is
+    the one in the template's place, so pipelines that share its fixed part are left alone.
     """
     root = static_prefix(base_path)
+    template = template_pattern(base_path[len(root):])
     base = storage.qualified(spark, root).rstrip("/")
     if not storage.exists(spark, root):
         return spark.createDataFrame([], "path string, relative string, length bigint, partition_date date")
@@ -50,8 +62,10 @@ def plan(
         .load(root)
         .select("path", "length")
         .withColumn("relative", F.substr(plain_path, F.length(plain_base) + 2))
-        .withColumn("partition_date", F.regexp_extract("relative", DATE_IN_PATH, 1).try_cast("date"))
+        .withColumn("partition_date", F.regexp_extract("relative", template or DATE_IN_PATH, 1).try_cast("date"))
     )
+    if template:
+        files = files.filter(F.col("partition_date").isNotNull())
     if partition_filter:
         files = files.filter(F.contains("relative", F.lit(partition_filter)))
     if before is not None:

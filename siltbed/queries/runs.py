@@ -22,7 +22,7 @@ def run_ledger_latest(spark, sf_dir):
 
 
 HISTORY_COLUMNS = ["seq", "job_id", "pipeline_id", "status", "rows_read", "created_at"]
-HISTORY_SQL = f"WITH {RUNS_SQL} SELECT {', '.join(HISTORY_COLUMNS)} FROM runs"
+HISTORY_SQL = f"WITH {LATEST_SQL} SELECT {', '.join(HISTORY_COLUMNS)} FROM latest"
 NEWEST_SQL = "ORDER BY created_at DESC, seq DESC"
 
 
@@ -54,9 +54,10 @@ def run_duration_ms(spark, sf_dir):
 
 @query(
     "log_slice",
-    """SELECT conv_id::VARCHAR AS job_id, turn AS line_no, text AS line,
-              2 + count(*) OVER (PARTITION BY conv_id) AS next_offset
-       FROM conversations WHERE turn >= 2""",
+    """WITH ends AS (
+         SELECT conv_id, 2 + count(*) FILTER (turn >= 2) AS next_offset FROM conversations GROUP BY 1)
+       SELECT conv_id::VARCHAR AS job_id, turn AS line_no, text AS line, next_offset
+       FROM ends LEFT JOIN (SELECT * FROM conversations WHERE turn >= 2) USING (conv_id)""",
 )
 def log_slice(spark, sf_dir):
     lines = table(spark, sf_dir, "conversations").select(
@@ -125,7 +126,7 @@ def sla_notified(spark, sf_dir):
     return monitoring.notified(watched, breaches).select("pipeline_id", "sla_notified_at")
 
 
-@query("metrics_runs_by_status", f"WITH {RUNS_SQL} SELECT status, count(*) AS runs FROM runs GROUP BY 1")
+@query("metrics_runs_by_status", f"WITH {LATEST_SQL} SELECT status, count(*) AS runs FROM latest GROUP BY 1")
 def metrics_runs_by_status(spark, sf_dir):
     return monitoring.runs_by_status(runs(spark, sf_dir))
 
@@ -175,7 +176,7 @@ def metrics_open_runs(spark, sf_dir):
 
 @query(
     "dashboard_counts",
-    f"""WITH {RUNS_SQL}, {PIPELINES_SQL}, recent AS (SELECT status FROM runs {NEWEST_SQL} LIMIT 10)
+    f"""WITH {LATEST_SQL}, {PIPELINES_SQL}, recent AS (SELECT status FROM latest {NEWEST_SQL} LIMIT 10)
         SELECT (SELECT count(*) FILTER (is_active) FROM pipelines) AS active_pipelines,
                (SELECT count(*) FILTER (status = 'success') FROM recent) AS recent_success,
                (SELECT count(*) FILTER (status = 'failed') FROM recent) AS recent_failed""",
@@ -186,14 +187,14 @@ def dashboard_counts(spark, sf_dir):
 
 @query(
     "lineage_edges",
-    f"""WITH {RUNS_SQL} SELECT source_connection_id, pipeline_id, destination_path, count(*) AS runs
-        FROM runs GROUP BY 1, 2, 3""",
+    f"""WITH {LATEST_SQL} SELECT source_connection_id, pipeline_id, destination_path, count(*) AS runs
+        FROM latest GROUP BY 1, 2, 3""",
 )
 def lineage_edges(spark, sf_dir):
     return ledger.lineage(runs(spark, sf_dir))
 
 
-@query("runs_by_trigger", f"WITH {RUNS_SQL} SELECT triggered_by, count(*) AS runs FROM runs GROUP BY 1")
+@query("runs_by_trigger", f"WITH {LATEST_SQL} SELECT triggered_by, count(*) AS runs FROM latest GROUP BY 1")
 def runs_by_trigger(spark, sf_dir):
     return ledger.by_trigger(runs(spark, sf_dir))
 

@@ -93,7 +93,8 @@ def test_duration(spark):
 
 def test_log_slice(spark):
     lines = spark.createDataFrame([("a", i, f"l{i}") for i in range(4)] + [("b", 0, "x")], "job_id string, line_no int, line string")
-    assert rows(ledger.log_slice(lines, 2).select("job_id", "line", "next_offset")) == [("a", "l2", 4), ("a", "l3", 4)]
+    assert rows(ledger.log_slice(lines, 2).select("job_id", "line", "next_offset")) == [
+        ("a", "l2", 4), ("a", "l3", 4), ("b", None, 2)]
     assert ledger.log_slice(lines, 0, "b").first()["next_offset"] == 1
 
 
@@ -279,7 +280,7 @@ def test_purge_apply_and_repeat(spark, dated, folder):
     assert done == purge.PurgeResult(2, size)
     assert purge.apply_manifest(spark, manifest) == done
     assert purge.plan(spark, dated).count() == 2
-    assert purge.plan(spark, f"{dated}/{{date}}").count() == 2
+    assert purge.plan(spark, f"{dated}/{{date}}").count() == 0  # these folders are partitions, not that template's
 
 
 def test_purge_run_is_audited(spark, dated, folder):
@@ -304,3 +305,22 @@ def test_purge_audit(spark):
 
 def test_run_context_ids_are_unique():
     assert RunContext().run_id != RunContext().run_id
+
+
+def test_purge_by_template_leaves_other_pipelines(spark, folder):
+    from datetime import date
+
+    from siltbed.operators import purge
+    from tests.test_sources import put
+
+    for name in ("2024-01-01/orders", "2024-01-02/orders", "2024-01-01/customers", "orders-2024-01-01", "orders/2024-01-01"):
+        put(spark, f"{folder}/bronze/{name}/a.parquet", "x")
+
+    def planned(template, before=None):
+        found = purge.plan(spark, f"{folder}/bronze/{template}", before).collect()
+        return sorted((r.relative.removesuffix("/a.parquet"), str(r.partition_date)) for r in found)
+
+    assert planned("{date}/orders") == [("2024-01-01/orders", "2024-01-01"), ("2024-01-02/orders", "2024-01-02")]
+    assert planned("{date}/orders", date(2024, 1, 2)) == [("2024-01-01/orders", "2024-01-01")]
+    assert planned("orders-{date}") == [("orders-2024-01-01", "2024-01-01")]
+    assert planned("orders/{date}", date(2024, 1, 2)) == [("2024-01-01", "2024-01-01")]
