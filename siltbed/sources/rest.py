@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import getitem
 from typing import Any
 from urllib.parse import urlencode
 from urllib.request import Request, urlopen
@@ -30,6 +32,12 @@ PAGE_SIZE = 100
 TIMEOUT_SECONDS = 30
 PAGE_SCHEMA = "endpoint string, page_no int, n_records int, body string"
 
+
+
+class PageLimitError(RuntimeError):
+    """The limit on pages was reached while the endpoint had more."""
+
+
 Transport = Callable[[str, dict, dict], str]
 
 
@@ -48,6 +56,8 @@ class RestOptions:
     page_delay: float = 0.0
     headers: dict = field(default_factory=dict)
     parallelism: int = 1
+    auth_type: str = "none"
+    auth: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.pagination not in ("none", "cursor", "page", "offset"):
@@ -76,43 +86,43 @@ def folder_get(url: str, params: dict, headers: dict) -> str:
         return stream.read().decode("utf-8")
 
 
+def _bearer(token: str) -> dict:
+    return {"Authorization": f"Bearer {token}"}
+
+
+def ask_token(config: dict) -> str:
+    """One request to the token address; field names are those of the protocol."""
+    optional = {"scope": ""}
+    fields = [(name, {**optional, **config}[name]) for name in ("client_id", "client_secret", "scope")]
+    data = urlencode([("grant_type", "client_credentials"), *fields]).encode()
+    with urlopen(Request(config["token_url"], data=data, method="POST"), timeout=TIMEOUT_SECONDS) as reply:
+        return json.load(reply)["access_token"]
+
+
+#: Header of each kind of login, from its settings and a way to ask for a token.
+AUTH_KINDS: dict[str, Callable[[dict, Callable[[dict], str]], dict]] = {
+    "none": lambda config, ask: {},
+    "bearer": lambda config, ask: _bearer(config["token"]),
+    "api_key": lambda config, ask: {config["header"]: config["key"]},
+    "oauth2_client_credentials": lambda config, ask: _bearer(ask(config)),
+}
+
+
 def auth_headers(auth_type: str, config: dict, headers: dict | None = None, fetch_token=None,
                  allowed_hosts: tuple[str, ...] = ()) -> dict:
     """Request headers, built once on the driver. A client-credentials token is fetched here and only here."""
-    merged = dict(headers or {})
-    if auth_type == "bearer":
-        merged["Authorization"] = f"Bearer {config['token']}"
-    elif auth_type == "api_key":
-        merged[config["header"]] = config["key"]
-    elif auth_type == "oauth2_client_credentials":
-        check_host(config["token_url"], allowed_hosts)
-        merged["Authorization"] = f"Bearer {(fetch_token or _client_credentials_token)(config)}"
-    elif auth_type != "none":
+    if auth_type not in AUTH_KINDS:
         raise ValueError(f"unknown auth type {auth_type!r}")
-    return merged
-
-
-def _client_credentials_token(config: dict) -> str:
-    form = {
-        "grant_type": "client_credentials",
-        "client_id": config["client_id"],
-        "client_secret": config["client_secret"],
-        "scope": config.get("scope", ""),
-    }
-    request = Request(config["token_url"], data=urlencode(form).encode(), method="POST")
-    with urlopen(request, timeout=TIMEOUT_SECONDS) as response:
-        return json.loads(response.read())["access_token"]
+    if "token_url" in config:
+        check_host(config["token_url"], allowed_hosts)
+    return {**(headers or {}), **AUTH_KINDS[auth_type](config, fetch_token or ask_token)}
 
 
 def records_of(body: Any, results_key: str | None) -> list:
-    """A list is the records; else the list under the (dotted) key; else the object itself is the one record."""
-    if isinstance(body, list):
-        return body
-    if not results_key:
-        return [body]
-    for part in results_key.split("."):
-        body = body[part]
-    return body
+    """Records of one body: a list as it is, else what the dotted key leads to; a single object is one record."""
+    steps = results_key.split(".") if results_key and not isinstance(body, list) else ()
+    found = reduce(getitem, steps, body)
+    return found if isinstance(found, list) else [found]
 
 
 def iter_pages(options: RestOptions, transport: Transport, pages: range | None = None) -> Iterator[tuple]:
@@ -139,6 +149,8 @@ def iter_pages(options: RestOptions, transport: Transport, pages: range | None =
             if not following:
                 return
             params = {options.cursor_param: following}
+        if page_no == options.max_pages and options.pagination == "cursor":
+            raise PageLimitError(f"{options.url}: page {page_no} names a next page, but max_pages is {options.max_pages}")
         if options.page_delay > 0:
             time.sleep(options.page_delay)
 
@@ -183,14 +195,20 @@ def rest_source(transport: Transport) -> type[DataSource]:
     return RestSource
 
 
+def with_login(options: RestOptions, allowed_hosts: tuple[str, ...] = ()) -> RestOptions:
+    headers = auth_headers(options.auth_type, options.auth, options.headers, allowed_hosts=allowed_hosts)
+    return replace(options, headers=headers, auth_type="none", auth={})
+
+
 def fetch_pages(
     spark: SparkSession,
     options: RestOptions,
     transport: Transport = http_get,
     allowed_hosts: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Pages of one endpoint."""
+    """Pages of one endpoint. The login is turned into headers here, so tasks get those and no secrets to ask with."""
     check_host(options.url, allowed_hosts)
+    options = with_login(options, allowed_hosts)
     spark.dataSource.register(rest_source(transport))
     return spark.read.format("rest_pages").option("request", json.dumps(options.__dict__)).load()
 
@@ -213,6 +231,7 @@ def fetch_endpoints(
                 for page in pages:
                     yield pd.DataFrame([page], columns=["endpoint", "page_no", "n_records", "body"])
 
+    template = with_login(template, allowed_hosts)
     wanted = endpoints.select("endpoint").distinct()
     if allowed_hosts:
         refused = F.raise_error(F.concat(F.lit("host is not on the allow list: "), "endpoint")).cast("boolean")
@@ -289,6 +308,13 @@ def flatten_texts(pages: DataFrame, results_key: str | None) -> DataFrame:
     return pages.select(F.explode(texts).alias("value"))
 
 
+def check_page_limit(landed: DataFrame, options: RestOptions) -> None:
+    """Refuse pages that end at the limit with a full last page: the endpoint may have more."""
+    last = landed.filter(F.col("page_no") == options.max_pages).agg(F.max("n_records")).first()[0]
+    if last is not None and last >= options.page_size:
+        raise PageLimitError(f"{options.url}: page {options.max_pages} is full; raise max_pages to read on")
+
+
 def read_rest(
     spark: SparkSession,
     options: RestOptions,
@@ -299,7 +325,10 @@ def read_rest(
     """Records of one endpoint: fetch once, keep the raw pages, apply the stopping rule, flatten."""
     raw = scratch_path(spark, "rest-pages")
     fetch_pages(spark, options, transport, allowed_hosts).write.parquet(raw)
-    pages = before_first_empty(spark.read.parquet(raw), options.max_pages)
+    landed = spark.read.parquet(raw)
+    if options.pagination in ("page", "offset"):
+        check_page_limit(landed, options)
+    pages = before_first_empty(landed, options.max_pages)
     if record_schema is None:
         return infer_records(pages, options.results_key)
     return flatten_records(pages, record_schema, options.results_key)

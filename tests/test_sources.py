@@ -300,7 +300,8 @@ def test_cursor_pages():
     assert fetched(options, pages) == ([(1, 1), (2, 1)], [{}, {"after": "abc"}, {"after": "def"}])
     assert fetched(options, [{"d": [1], "next": None}])[0] == [(1, 1)]
     endless = rest.RestOptions("u", "d", "cursor", next_key="next", max_pages=2)
-    assert fetched(endless, [{"d": [1], "next": "n"}] * 9)[0] == [(1, 1), (2, 1)]
+    with pytest.raises(rest.PageLimitError):  # more pages than allowed are no complete answer
+        fetched(endless, [{"d": [1], "next": "n"}] * 9)
 
 
 def test_numbered_pages():
@@ -381,3 +382,17 @@ def test_task_functions_load_without_the_package(tmp_path):
     code = "import sys; from pyspark import cloudpickle; print(len(cloudpickle.loads(sys.stdin.buffer.read())))"
     done = subprocess.run([sys.executable, "-c", code], input=data, capture_output=True, cwd=tmp_path, env={"PATH": "/usr/bin"})
     assert done.stdout.strip() == b"4", done.stderr.decode()[-500:]
+
+
+def test_full_last_page_at_the_limit_is_refused(spark):
+    options = rest.RestOptions("u", pagination="page", page_size=2, max_pages=3)
+    pages = spark.createDataFrame([("u", i, 2, "[1, 2]") for i in (1, 2, 3)], rest.PAGE_SCHEMA)
+    with pytest.raises(rest.PageLimitError):
+        rest.check_page_limit(pages, options)
+    rest.check_page_limit(pages.filter("page_no < 3"), options)
+
+
+def test_login_becomes_headers_before_tasks_run():
+    options = rest.RestOptions("http://h/x", auth_type="bearer", auth={"token": "t"}, headers={"X": "1"})
+    ready = rest.with_login(options)
+    assert ready.headers == {"X": "1", "Authorization": "Bearer t"} and ready.auth == {} and ready.auth_type == "none"
