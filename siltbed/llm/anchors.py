@@ -11,7 +11,7 @@ import numpy as np
 
 from siltbed.llm.shingles import _powers, mixed
 
-PIECE = 1 << 20  # bytes hashed at once; longer texts are taken in pieces that overlap by a window less one byte
+PIECE = 1 << 18  # bytes hashed at once; longer texts are taken in pieces that overlap by a window less one byte
 _PLACE_BITS = 26
 _VALUES = mixed(np.arange(1000, 1256).astype(np.uint64))
 
@@ -26,6 +26,17 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n - width + 1], ahead[width - 1:n])
 
 
+def window_hashes(data: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """A hash of the bytes of every window of ``length``; hashes of different seeds are independent."""
+    n = len(data)
+    if n < length:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(1 << max(12, n.bit_length()))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mixed(_VALUES + np.uint64(seed))[data] * up[:n], out=sums[1:])
+    return mixed((sums[length:] - sums[:-length]) * down[:n - length + 1])
+
+
 def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of one text's bytes: anchor hash, hash of the stretch's bytes, first window start, number of windows."""
     found = []

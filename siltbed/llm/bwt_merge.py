@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 
 SHARD_BYTES = 1 << 18
-LARGEST_BLOCK = 16
+LARGEST_BLOCK = 50
 
 
 def stable_order(x: np.ndarray) -> np.ndarray:
@@ -38,6 +38,15 @@ def dense(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return rank
 
 
+def doubled(rank: np.ndarray, end: np.ndarray, ahead: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order and ranks by (rank here, rank ``ahead`` places on); past the string's end comes first."""
+    to = np.arange(ahead, len(rank) + ahead, dtype=np.int32)
+    both = np.where(to < end, rank[np.minimum(to, len(rank) - 1)] + 1, 0).astype(np.int64)
+    both += rank.astype(np.int64) * (int(rank.max(initial=0)) + 2)
+    order = np.argsort(both)
+    return order, dense(order, both)
+
+
 @dataclass
 class Shard:
     """Sorted suffixes (places in the common text), and the interval each is in once a merge has found them."""
@@ -53,40 +62,33 @@ class Collection:
         self.length = length
         self.stride = max(d for d in range(1, LARGEST_BLOCK + 1) if length % d == 0)
         self.rounds = length // self.stride
-        sizes = np.array([len(s) for s in strings], np.int64)
-        self.ends = np.cumsum(sizes)
+        sizes = np.array([len(s) for s in strings], np.int32)
+        self.ends = np.cumsum(sizes, dtype=np.int32)
         self.starts = self.ends - sizes
-        owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
-        self.owner, self.begin, self.end = owner, self.starts[owner], self.ends[owner]
-        n, pad = int(sizes.sum()), bytes(LARGEST_BLOCK)
-        padded = pad.join(strings) + pad
-        at = np.arange(n) + owner.astype(np.int64) * LARGEST_BLOCK
-
-        def eight(offset: int, used: int) -> np.ndarray:
-            view = np.ndarray((len(padded) - offset - 7,), ">u8", padded, offset, (1,))
-            return view[at].astype(np.uint64) >> np.uint64(64 - 8 * used) if used else np.zeros(n, np.uint64)
-
-        first, second = eight(0, min(8, self.stride)), eight(8, max(0, self.stride - 8))
-        order = np.lexsort((second, first)) if self.stride > 8 else np.argsort(first, kind="stable")
-        self.block = dense(order, first, second)
+        self.owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)
+        self.begin, self.end = self.starts[self.owner], self.ends[self.owner]
+        n, known = int(sizes.sum()), min(8, self.stride)
+        padded = bytes(8).join(strings) + bytes(8)
+        at = np.arange(n) + self.owner.astype(np.int64) * 8
+        eight = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))[at].astype(np.uint64)
+        eight >>= np.uint64(64 - 8 * known)
+        self.block = dense(np.argsort(eight), eight)
+        del at, eight
+        while known < self.stride:  # ranks of longer and longer blocks, up to the stride
+            more = min(2 * known, self.stride)
+            self.block = doubled(self.block, self.end, more - known)[1]
+            known = more
 
     def shard(self, first: int, last: int) -> Shard:
         """Sort the suffixes of strings first to last - 1 by their first ``length`` bytes, by doubling."""
         low, high = int(self.starts[first]), int(self.ends[last - 1])
-        rank, end = self.block[low:high].astype(np.int64), self.end[low:high] - low
-        here = np.arange(high - low)
-        done = 1
-        order = np.argsort(rank, kind="stable")
+        rank, end, done = self.block[low:high], self.end[low:high] - low, 1
+        order = np.argsort(rank) if self.rounds == 1 else None
         while done < self.rounds:
             ahead = min(done, self.rounds - done)
-            to = here + ahead * self.stride
-            inside = to < end
-            after = np.where(inside, rank[np.minimum(to, len(rank) - 1)] + 1, 0)
-            both = rank * (int(rank.max(initial=0)) + 2) + after
-            order = np.argsort(both, kind="stable")
-            rank = dense(order, both).astype(np.int64)
+            order, rank = doubled(rank, end, ahead * self.stride)
             done += ahead
-        return Shard(order + low, rank[order])
+        return Shard((order + low).astype(np.int32), rank[order])
 
     def before(self, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
         """The shard's transform: the block before each suffix (-1 at a string's start); and the blocks of the suffixes
@@ -117,7 +119,7 @@ class Collection:
             border = np.zeros(n, np.int32)
             border[1:] = (moved[1:] != moved[:-1]) | (known[1:] != known[:-1])
             interval = np.cumsum(border, dtype=np.int32)
-        order = np.empty(n, np.int64)
+        order = np.empty(n, np.int32)
         order[~from_b], order[from_b] = a.order, b.order
         return Shard(order, interval)
 

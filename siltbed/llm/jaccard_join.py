@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltbed.llm.batches import bounded_batches
 from siltbed.llm.bitsets import marked
 from siltbed.llm.components import connected_components
 from siltbed.llm.shingles import mixed, shingle_sets
@@ -183,6 +184,7 @@ def jaccard_groups(
     component, so a component of null ids alone has a null one. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     root = scratch_path(spark, "jaccard")
 
     def kept(frame: DataFrame, name: str) -> DataFrame:

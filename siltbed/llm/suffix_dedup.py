@@ -3,7 +3,7 @@
 Windows of ``length`` bytes that are equal have equal anchors (see ``anchors``), so only stretches of windows whose
 anchor occurs elsewhere can hold repeats, and stretches with different anchors never share one. Equal stretches are
 one with a count. A stretch whose anchor has no other stretch needs no look inside: if it occurs twice, all its windows
-do. All others are dealt by anchor into groups of about a megabyte; each group is cut into shards whose transforms are
+do. All others are dealt by anchor into groups of about half a megabyte; each group is cut into shards whose transforms are
 merged, and the intervals of the merge tell which windows occur twice. An anchor with more than HOT_STRETCHES different
 stretches is split by window instead: its windows' hashes are counted over the whole table, which needs no group.
 """
@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltbed.llm.anchors import stretches
+from siltbed.llm.anchors import stretches, window_hashes
+from siltbed.llm.batches import bounded_batches
 from siltbed.llm.bitsets import marked
 from siltbed.llm.bwt_merge import repeated_starts
-from siltbed.llm.shingles import mixed
 from siltbed.session import scratch_path
 
 LENGTH = 400
-GROUP_BYTES = 1 << 20
-HOT_STRETCHES = 2048
+GROUP_BYTES = 1 << 19
+HOT_STRETCHES = 1024
 
 
 def bytes_of(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -57,6 +57,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
     ``key`` must be the same for equal texts and differ for different ones.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     root = scratch_path(spark, "suffixes")
 
     def kept(frame: DataFrame, name: str) -> DataFrame:
@@ -118,29 +119,32 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
             if found:
                 yield pa.RecordBatch.from_pylist([dict(zip(("anchor", "whole", "bytes"), f)) for f in found])
 
-    lifts = long_enough.mapInArrow(lifted, "anchor long, whole long, bytes binary")
+    lifts = kept(long_enough.mapInArrow(lifted, "anchor long, whole long, bytes binary"), "lifts")
     usual = groups.filter(~F.col("hot")).select("anchor", "whole", "n", dealt.alias("group"))
     found = lifts.withColumn("group", dealt).groupBy("group").cogroup(usual.groupBy("group")).applyInPandas(
         lambda left, right: merged_runs(left, right, length), "anchor long, whole long, low long, high long"
     )
 
     # Crowded anchors: every window by two independent 64-bit hashes, counted with its stretch's count.
-    def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, whole, n, data in zip(batch["anchor"], batch["whole"], batch["n"], batch["bytes"]):
-                x = np.frombuffer(data, np.uint8)
-                view = np.lib.stride_tricks.sliding_window_view(x, length)
-                h1, h2 = np.zeros(len(view), np.uint64), np.ones(len(view), np.uint64)
-                for j in range(length):
-                    byte = view[:, j].astype(np.uint64)
-                    h1, h2 = mixed(h1 ^ byte), mixed(h2 + byte * np.uint64(0x9E3779B97F4A7C15))
-                yield pd.DataFrame({"anchor": anchor, "whole": whole, "n": n, "low": np.arange(len(view)),
-                                    "h1": h1.view(np.int64), "h2": h2.view(np.int64)})
+            data = list(bytes_of(batch.column("bytes")))
+            hashes = [(window_hashes(d, length, 0), window_hashes(d, length, 1)) for d in data]
+            many = [len(h) for h, _ in hashes]
+            take = pa.array(np.repeat(np.arange(len(data)), many))
+            if not len(take):
+                continue
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(take) for c in ("anchor", "whole", "n")]
+                + [pa.array(np.concatenate([np.arange(m) for m in many]))]
+                + [pa.array(np.concatenate([h[i] for h in hashes]).view(np.int64)) for i in (0, 1)],
+                ["anchor", "whole", "n", "low", "h1", "h2"],
+            )
 
     crowded = groups.filter("hot").select("anchor", "whole", "n")
     if crowded.limit(1).count():
-        windows = kept(lifts.join(crowded, ["anchor", "whole"]).dropDuplicates(["anchor", "whole"]).mapInPandas(
-            windows_of, "anchor long, whole long, n long, low long, h1 long, h2 long"), "crowded")
+        windows = kept(lifts.join(crowded, ["anchor", "whole"]).dropDuplicates(["anchor", "whole"]).select(
+            "anchor", "whole", "n", "bytes").mapInArrow(windows_of, "anchor long, whole long, n long, low long, h1 long, h2 long"), "crowded")
         twice = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2")
         found = found.union(windows.join(twice, ["h1", "h2"]).select("anchor", "whole", "low", F.col("low").alias("high")))
     found = kept(found, "found")
