@@ -44,8 +44,14 @@ def key_literal(moment: str, data_type: T.DataType) -> Column:
 
 
 def _comparable(df: DataFrame, f: T.StructField) -> tuple[Column, T.DataType]:
-    """A date key is compared as its midnight, as the source databases do, so a later time that day excludes it."""
+    """A date key is compared as its midnight, as the source databases do, so a later time that day excludes it.
+
+    A text key is compared as the time it says, not letter by letter; text that says none stops the run.
+    """
     column = df[f"`{f.name}`"]
+    if isinstance(f.dataType, T.StringType):
+        unread = F.raise_error(F.concat(F.lit(f"{f.name} holds no time: "), column)).cast("timestamp")
+        return F.when(column.isNotNull(), F.coalesce(column.try_cast("timestamp"), unread)), T.TimestampType()
     if isinstance(f.dataType, T.DateType):
         return column.cast("timestamp_ntz"), T.TimestampNTZType()
     return column, f.dataType

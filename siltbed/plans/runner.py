@@ -21,7 +21,7 @@ from siltbed.functions.schema import check_contract, descriptors, schema_hash
 from siltbed.operators import ledger
 from siltbed.operators.incremental import after_watermark, in_window, resolve_key
 from siltbed.operators.quality import GateError, check_gates
-from siltbed.plans.spec import BackfillWindow, PipelineSpec, RunContext, SpecError, resolve_path
+from siltbed.plans.spec import BackfillWindow, PipelineSpec, RunContext, SpecError, check_destination, resolve_path
 from siltbed.sinks import parquet
 from siltbed.sources.files import LandingOptions, finish_landing, read_landing
 from siltbed.sources.jdbc import JdbcSource, read_jdbc
@@ -116,7 +116,7 @@ def run_extract(
     spark: SparkSession, df: DataFrame, path: str, ctx: RunContext, ledger_path: str, replace: bool = True
 ) -> RunResult:
     """Ad-hoc landing of any DataFrame: recorded in the ledger, but without watermark or schema history."""
-    result = RunResult(ctx.run_id, None, path=path)
+    result = RunResult(ctx.run_id, None, path=check_destination(path, ""))
     started = datetime.now(UTC)
     try:
         result.schema_hash = schema_hash(df.schema)

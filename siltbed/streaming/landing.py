@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from siltbed import storage
 from siltbed.functions.masking import mask_columns
 from siltbed.sinks import parquet
+from siltbed.sources.files import CORRUPT, SOURCE_FILE, bad_files
 
 FILES_PER_TRIGGER = 100
+CHECKED_FORMATS = ("json", "csv")
 
 
 @dataclass(frozen=True)
@@ -27,23 +31,34 @@ class StreamOptions:
 
 
 def read_stream(spark: SparkSession, source: StreamOptions) -> DataFrame:
-    """New files of a directory. With ``archive``, files are moved there after the batch that read them committed."""
+    """New files of a directory. With ``archive``, files are moved there after the batch that read them committed.
+
+    Rows of formats with malformed records carry the text of such a record and their file, which ``land_stream`` uses
+    and drops.
+    """
+    schema = T.StructType.fromDDL(source.schema) if isinstance(source.schema, str) else source.schema
+    checked = source.format in CHECKED_FORMATS
+    if checked:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     reader = (
         spark.readStream.format(source.format)
-        .schema(source.schema)
+        .schema(schema)
         .options(**source.options)
         .option("maxFilesPerTrigger", source.files_per_trigger)
     )
     if source.archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", source.archive)
-    return reader.load(source.path)
+    if not checked:
+        return reader.load(source.path)
+    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).load(source.path)
+    return rows.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
 
 
 def land_stream(
     rows: DataFrame,
     target: str,
     checkpoint: str,
-    stream_id: str = "stream",
+    stream_id: str | None = None,
     pii_columns: dict[str, str] | None = None,
     partition_by: str | None = None,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
@@ -52,15 +67,25 @@ def land_stream(
 
     Each batch is staged and promoted under a name made from its number. A marker is set before a batch is promoted;
     only when a batch finds its own marker, i.e. is being repeated, are its earlier files looked up and removed, so
-    the normal path never lists the growing target.
+    the normal path never lists the growing target. The name holds a digest of the checkpoint, so streams with
+    checkpoints of their own never touch each other's files. A file with a broken record is left out as a whole and
+    noted, with its number of broken records, below ``quarantine`` in the checkpoint folder.
     """
+    own = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def land(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        run_id = f"{stream_id}-{batch_id:09d}"
+        run_id = f"{stream_id or 'stream'}-{own}-{batch_id:09d}"
         marker = f"{checkpoint.rstrip('/')}/promoting/{run_id}"
         if storage.exists(spark, marker):
-            parquet.recover(spark, target, run_id)
+            storage.delete_files(spark, parquet.run_files(spark, target, run_id))
+        if CORRUPT in batch.columns:
+            broken = bad_files(batch).collect()  # at most the files of one batch
+            if broken:
+                noted = f"{checkpoint.rstrip('/')}/quarantine/{run_id}"
+                spark.createDataFrame(broken).write.mode("overwrite").parquet(noted)
+                batch = batch.filter(~F.col(SOURCE_FILE).isin([row[SOURCE_FILE] for row in broken]))
+            batch = batch.drop(CORRUPT, SOURCE_FILE)
         masked = mask_columns(prepare(batch) if prepare else batch, pii_columns or {})
         staged = parquet.stage(masked, target, run_id, partition_by)
         storage.make_folder(spark, marker)

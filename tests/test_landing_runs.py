@@ -516,3 +516,30 @@ def test_only_oracle_names_are_lower_cased(spark):
     frame = spark.createDataFrame([(1,)], "userId bigint")
     assert as_named(frame, "jdbc:postgresql://h/d").columns == ["userId"]
     assert as_named(frame, "jdbc:oracle:thin:@h").columns == ["userid"]
+
+
+def test_stream_keeps_files_with_broken_records_out(spark, folder):
+    from tests.test_sources import put
+
+    put(spark, f"{folder}/in/a.json", '{"id": 1}\n{"id": 2}\n')
+    put(spark, f"{folder}/in/b.json", '{"id": 3}\n{"id"\n{"id": "x"}\n')
+    source = StreamOptions(f"{folder}/in", "json", "id bigint")
+    for checkpoint in ("cp1", "cp2"):  # two streams into one target leave each other's files alone
+        land_stream(read_stream(spark, source), f"{folder}/out", f"{folder}/{checkpoint}").awaitTermination()
+    assert rows(spark.read.parquet(f"{folder}/out")) == [(1,), (1,), (2,), (2,)]
+    noted = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/cp1/quarantine").collect()
+    assert [(r["_source_file"].rsplit("/", 1)[-1], r["bad_records"]) for r in noted] == [("b.json", 2)]
+
+
+def test_text_keys_are_compared_as_times(spark):
+    from siltbed.operators.incremental import after_watermark
+
+    frame = spark.createDataFrame([("2024-06-01 10:00:00",), ("2024-05-31T23:00:00+00:00",), (None,)], "t string")
+    assert rows(after_watermark(frame, "t", "2024-06-01T00:00:00+00:00")) == [("2024-06-01 10:00:00",)]
+    with pytest.raises(Exception, match="holds no time"):
+        after_watermark(spark.createDataFrame([("soon",)], "t string"), "t", "2024-06-01").collect()
+
+
+def test_ad_hoc_runs_stay_in_their_folder(spark, folder):
+    with pytest.raises(SpecError):
+        run_extract(spark, spark.range(1), f"{folder}/../elsewhere", RunContext(run_ts=T0), f"{folder}/ledger")
