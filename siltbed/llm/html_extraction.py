@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -142,18 +143,31 @@ def hinted(block: Block) -> bool:
     return bool(tags & MAIN_TAGS or words & MAIN_WORDS)
 
 
+@lru_cache(maxsize=10_000)
+def path_vector(path: tuple[str, ...]) -> np.ndarray:
+    x = np.zeros(PATH_SIZE, np.float32)
+    for depth, word in enumerate(reversed(path)):
+        x[zlib.crc32(word.encode()) % PATH_SIZE] += 1.0 if depth < 3 else 0.7
+    return x
+
+
 def vectors(blocks: list[Block]) -> np.ndarray:
-    """One row per block: hashed path, hashed words, measures."""
+    """One row per block: hashed path, hashed words, measures. The words of the whole page are hashed at once."""
     x = np.zeros((len(blocks), PATH_SIZE + WORD_SIZE + 5), np.float32)
+    if not blocks:
+        return x
+    texts = [block.text.encode("utf-8", "replace") for block in blocks]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    words, starts = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
+    cell = np.searchsorted(ends, starts, "right") * WORD_SIZE + (words % np.uint64(WORD_SIZE)).astype(np.int64)
+    counts = np.bincount(cell, minlength=len(blocks) * WORD_SIZE).reshape(len(blocks), WORD_SIZE)
+    many = counts.sum(axis=1)
+    x[:, PATH_SIZE:PATH_SIZE + WORD_SIZE] = counts / np.maximum(1, many)[:, None]
     for i, block in enumerate(blocks):
-        for depth, word in enumerate(reversed(block.path)):
-            x[i, zlib.crc32(word.encode()) % PATH_SIZE] += 1.0 if depth < 3 else 0.7
-        words, _ = word_hashes(np.frombuffer(block.text.encode("utf-8", "replace"), np.uint8))
-        counts = np.bincount((words % np.uint64(WORD_SIZE)).astype(np.int64), minlength=WORD_SIZE)
-        x[i, PATH_SIZE:PATH_SIZE + WORD_SIZE] = counts / max(1, len(words))
+        x[i, :PATH_SIZE] = path_vector(block.path)
         n = len(block.text)
-        x[i, -5:] = (np.log1p(n) / 8, min(1.0, block.linked / n), np.log1p(len(words)) / 6, i / len(blocks),
-                     sum(block.text.count(c) for c in ".,;") / n)
+        x[i, -5:] = (np.log1p(n) / 8, min(1.0, block.linked / n), np.log1p(many[i]) / 6, i / len(blocks),
+                     sum(map(block.text.count, ".,;")) / n)
     return x
 
 
