@@ -187,6 +187,18 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 40
     return tuple(b.tolist())
 
 
+def rising_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """The curve over those measures that raise the score; a measure that would lower it is left out, worst first."""
+    used = list(range(x.shape[1]))
+    while True:
+        b = fit_curve(x[:, used], y)
+        if not used or min(b[1:]) >= 0:
+            whole = np.zeros(x.shape[1])
+            whole[used] = b[1:]
+            return (b[0], *whole.tolist())
+        used.pop(int(np.argmin(b[1:])))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from a documented number of labelled rows, never from those whose crc32(doc_id as text) mod 3 is 1.
 
@@ -227,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         stems[stem] = math.log((r.toxic + 0.5) / (n_toxic + 1)) - math.log((r.clean + 0.5) / (n_clean + 1))
     points = sample.select(F.col("toxic").cast("double"), measure_udf(stems)("text").alias("m")).select("toxic", "m.*")
     table = np.array([tuple(r) for r in points.collect()], float)
-    return Model(stems, fit_curve(table[:, 1:], (table[:, 0] == 1).astype(float)))
+    return Model(stems, rising_curve(table[:, 1:], (table[:, 0] == 1).astype(float)))
 
 
 def measure_udf(stems: dict[str, float]):
