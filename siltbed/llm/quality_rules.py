@@ -71,7 +71,8 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         ("n_words", "__m.words.n"), ("word_chars", "__m.word_chars"), ("n_symbols", "__m.n_symbols"),
         ("n_dup_lines", "__m.lines.equal"), ("n_repeat_words", "__m.words.repeated"), ("n_lines", "__m.lines.n"),
         ("n_capitals", "__m.n_capitals"))])
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    # Never null, and known to be so: else a filter on it would have the counts made once more to look for nulls.
+    failed = F.coalesce((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")), F.lit(True))
     return out.withColumns({
         "base_failed": failed,
         "symbol_share": share("n_symbols", "word_chars"),
