@@ -8,8 +8,11 @@ counts. Pairs whose upper confidence bound is below the threshold are done with;
 double precision, and only those links count.
 
 Which pairs meet: a sample of the vectors, thinned so that no two are close, serves as centres (their number grows with
-the table); each vector lives with its nearest centre and visits the next ones. Residents and visitors of a centre are
-dealt into blocks of bounded size, and each pair of blocks is one group, so a crowded centre becomes many tasks.
+the table), and each vector lives with its nearest one, at the angle r. Of two vectors x and y within the angle t of the
+threshold, let y be the one with the larger r: angles obey the triangle inequality, so y is within r(x) + t <= r(y) + t
+of the home of x. Each vector therefore visits every centre within r + t of it whose residents can have such an r, and
+every link is met, once, at the home of its vector with the smaller r. Neighbouring centres share a block of residents,
+crowded ones have several; visitors of a block come in chunks of like size, and a block and a chunk are one group.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ THRESHOLD = 0.95
 PER_CENTRE = 128
 MAX_CENTRES = 16_384  # bounds what is sampled and broadcast
 CENTRE_SPACING = 0.8
-VISITS = 6
-BLOCK_ROWS = 1536
+BLOCK_ROWS = 1536  # least rows of a full block or chunk
+BLOCK_SHARE = 8  # blocks and chunks grow with the table to this part of it, ...
+BLOCK_BYTES = 1 << 24  # ... but no further than to so many bytes of vectors in double precision
+SLACK = 1e-6  # of angles, above the rounding of cosines near 1
 EPSILON = 4.0
 QUERY_BITS = 4
 SEED = 20_240_229
@@ -107,45 +112,82 @@ def local_roots(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
         root = now
 
 
+def angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ centres.T, -1.0, 1.0))
+
+
+def neighbours_first(x: np.ndarray) -> np.ndarray:
+    """An order of unit vectors by repeated halving, so that parts of it lie close together."""
+    done, todo = [], [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= 2:
+            done.append(own)
+            continue
+        far = x[own[np.argmin(x[own] @ x[own].mean(axis=0))]]
+        other = x[own[np.argmin(x[own] @ far)]]
+        own = own[np.argsort(x[own] @ (far - other), kind="stable")]
+        todo += [own[len(own) // 2:], own[:len(own) // 2]]
+    return np.concatenate(done)
+
+
+class Layout:
+    """Blocks of the residents of the centres of one length of vector, and chunks of those who visit them."""
+
+    def __init__(self, centres: np.ndarray, crowds: pd.DataFrame):
+        n = int(crowds["rows"].sum())
+        size = max(BLOCK_ROWS, min(-(-n // BLOCK_SHARE), BLOCK_BYTES // (8 * centres.shape[1])))
+        self.chunks = -(-n // size)
+        rows = np.zeros(len(centres), np.int64)
+        self.least, self.most = np.full(len(centres), np.inf), np.full(len(centres), -np.inf)
+        at = crowds["home"].to_numpy()
+        rows[at], self.least[at], self.most[at] = crowds["rows"], crowds["least"], crowds["most"]
+        self.order = neighbours_first(centres)
+        self.starts, held, many = [], [], []
+        for i, m in enumerate(rows[self.order].tolist()):
+            if not held or held[-1] + m > size:
+                self.starts.append(i)
+                held.append(0)
+            held[-1] += m
+        many = np.maximum(1, -(-np.array(held) // size))
+        self.cells = np.repeat(np.arange(len(many)), many)  # the cell of centres that each block belongs to
+        cell = np.empty(len(centres), np.int64)
+        cell[self.order] = np.repeat(np.arange(len(many)), np.diff([*self.starts, len(centres)]))
+        self.many, self.first = many[cell], (np.cumsum(many) - many)[cell]
+
+    def visits(self, angle: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+        """Whether each vector may have a link to a resident of each block whose radius is no larger than its own."""
+        able = (angle <= radius[:, None] + reach) & (self.least <= radius[:, None]) & (angle - reach <= self.most)
+        return np.logical_or.reduceat(able[:, self.order], self.starts, axis=1)[:, self.cells]
+
+
 def compare_blocks(tile: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links within one pair of blocks: counts for each vector, and a forest that joins what is linked.
+    """Links between a block and a chunk: counts for each vector, and a forest that joins what is linked.
 
-    Two vectors may meet at either one's centre; the meeting at the smaller such centre counts.
+    The vector with the larger radius (or, of equal ones, key) comes to the other's block, so a link counts there only.
     """
-    tile = tile.sort_values("block", kind="stable").reset_index(drop=True)
-    centre, d = int(tile["centre"][0]), int(tile["d"][0])
-    first, last = int(tile["b1"][0]), int(tile["b2"][0])
+    d = int(tile["d"].iloc[0])
     x = units(tile["vector"])
     codes = words_of(np.frombuffer(b"".join(tile["code"]), np.uint8).reshape(len(tile), -1))
-    factor, home = tile["factor"].to_numpy(), tile["home"].to_numpy()
-    visits = [set(v.tolist()) for v in tile["visits"]]
-    block = tile["block"].to_numpy()
-    left = np.flatnonzero(block == first)
-    right = np.flatnonzero(block == last)
-    links_a, links_b = [], []
-    for at in range(0, len(left), 256):
-        own = left[at:at + 256]
+    factor = tile["factor"].to_numpy()
+    resident = tile["resident"].to_numpy()
+    rank = np.empty(len(tile), np.int64)
+    rank[np.lexsort((tile["key"], tile["radius"]))] = np.arange(len(tile))
+    left = np.flatnonzero(~resident | (tile["chunk"] == tile["at_chunk"]).to_numpy())
+    right = np.flatnonzero(resident)
+    links_a, links_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    many = max(1, (1 << 19) // max(1, len(right)))
+    for at in range(0, len(left) if len(right) else 0, many):
+        own = left[at:at + many]
         able = upper_bounds(Query(x[own]), codes[right], factor[right], d) >= threshold
-        able &= (home[own] == centre)[:, None] | (home[right] == centre)[None, :]
-        if first == last:
-            able &= own[:, None] < right[None, :]
+        able &= rank[own][:, None] > rank[right][None, :]
         i, j = np.nonzero(able)
         if len(i) > able.size // 20:
             near = ((x[own] @ x[right].T) >= threshold)[i, j]
         else:
             near = np.einsum("ij,ij->i", x[own[i]], x[right[j]]) >= threshold
-        a, b = own[i[near]], right[j[near]]
-        # Met elsewhere too? With one of them a visitor here, the other may be a visitor at that one's home.
-        away = np.flatnonzero(home[a] != home[b])
-        drop = [
-            k for k in away.tolist()
-            if (other := home[a[k]] if home[a[k]] != centre else home[b[k]]) < centre
-            and other in visits[a[k] if home[a[k]] == centre else b[k]]
-        ]
-        if drop:
-            a, b = np.delete(a, drop), np.delete(b, drop)
-        links_a.append(a)
-        links_b.append(b)
+        links_a.append(own[i[near]])
+        links_b.append(right[j[near]])
     a, b = np.concatenate(links_a), np.concatenate(links_b)
     weight = tile["n"].to_numpy().astype(np.int64)
     counts = np.bincount(a, weight[b], len(tile)) + np.bincount(b, weight[a], len(tile))
@@ -178,8 +220,10 @@ def near_duplicates(
     """
     spark = table.sparkSession
     root = scratch_path(spark, "embeddings")
-    rows = table.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    rows = rows.withColumn("key", F.xxhash64("vector"))
+    as_double = F.col(vector).cast("array<double>")
+    single = table.schema[vector].dataType.simpleString() == "array<float>"  # moved as such, half as large
+    rows = table.select(F.col(id_column).alias("id"), (F.col(vector) if single else as_double).alias("vector"),
+                        F.xxhash64(as_double).alias("key"))
     prepared(rows).withColumn("d", F.size("vector")).write.parquet(f"{root}/vectors")
     vectors = spark.read.parquet(f"{root}/vectors")
     n = vectors.count()
@@ -196,6 +240,8 @@ def near_duplicates(
             if not kept or (x[kept] @ x[i]).max() < CENTRE_SPACING:
                 kept.append(i)
         chosen[int(d)] = x[kept]
+    for (d,) in vectors.select("d").distinct().collect():
+        chosen.setdefault(int(d), np.eye(1, int(d)))
     centres = spark.sparkContext.broadcast(chosen)  # at most about MAX_CENTRES vectors
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,35 +249,52 @@ def near_duplicates(
             for d, batch in whole.groupby("d"):
                 x = units(batch["vector"])
                 code, factor = encode(x)
-                near = np.zeros((len(batch), 1), np.int64)
-                if len(c := centres.value.get(int(d), ())):
-                    many = min(VISITS + 1, len(c))
-                    near = np.empty((len(batch), many), np.int64)
-                    for at in range(0, len(x), 1024):
-                        cos = x[at:at + 1024] @ c.T
-                        top = np.argpartition(-cos, many - 1, axis=1)[:, :many]
-                        order = np.argsort(-np.take_along_axis(cos, top, 1), axis=1, kind="stable")
-                        near[at:at + 1024] = np.take_along_axis(top, order, 1)
-                yield pd.DataFrame({
-                    "key": batch["key"].to_numpy(), "n": batch["n"].to_numpy(), "d": int(d),
-                    "vector": batch["vector"].to_numpy(), "code": [c.tobytes() for c in code], "factor": factor,
-                    "home": near[:, 0], "visits": list(near),
-                })
+                home, radius = np.empty(len(x), np.int64), np.empty(len(x))
+                for at in range(0, len(x), 1024):
+                    angle = angles(x[at:at + 1024], centres.value[int(d)])
+                    home[at:at + 1024], radius[at:at + 1024] = angle.argmin(axis=1), angle.min(axis=1)
+                yield batch.assign(code=[c.tobytes() for c in code], factor=factor, home=home, radius=radius)
 
+    fields = f"key long, n long, d int, vector {vectors.schema['vector'].dataType.simpleString()}, code binary, factor double"
     vectors.select("key", "n", "d", "vector").mapInPandas(
-        placed, "key long, n long, d int, vector array<double>, code binary, factor double, home long, visits array<long>"
+        placed, f"{fields}, home long, radius double"
     ).write.parquet(f"{root}/placed")
-    stays = spark.read.parquet(f"{root}/placed").withColumn("centre", F.explode("visits"))
-    crowds = stays.groupBy("d", "centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    homes = spark.read.parquet(f"{root}/placed")
     # One row per centre, at most MAX_CENTRES of them for each length of vector.
-    dealt = stays.join(F.broadcast(crowds), ["d", "centre"]).withColumn(
-        "block", F.pmod(F.xxhash64("key", "centre"), F.col("blocks")).cast("int")
+    crowds = homes.groupBy("d", "home").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("radius").alias("least"), F.max("radius").alias("most")
+    ).toPandas()
+    layouts = spark.sparkContext.broadcast({int(d): Layout(chosen[int(d)], own) for d, own in crowds.groupby("d")})
+    reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + SLACK
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for d, batch in whole.groupby("d"):
+                layout, home = layouts.value[int(d)], batch["home"].to_numpy()
+                mixed, radius = batch["key"].to_numpy().view(np.uint64), batch["radius"].to_numpy()
+                block = layout.first[home] + (mixed >> np.uint64(32)).astype(np.int64) % layout.many[home]
+                x, stops = units(batch["vector"]), []
+                for at in range(0, len(x), 1024):
+                    angle = angles(x[at:at + 1024], centres.value[int(d)])
+                    able = layout.visits(angle, radius[at:at + 1024], reach)
+                    able[np.arange(len(able)), block[at:at + 1024]] = False  # a resident there
+                    stops += [np.flatnonzero(row) for row in able]
+                chunk = (mixed & np.uint64(0xFFFFFFFF)).astype(np.int64) % layout.chunks
+                yield batch.drop(columns="home").assign(chunk=chunk, block=block, chunks=layout.chunks, stops=stops)
+
+    stays = homes.mapInPandas(dealt, f"{fields}, radius double, chunk int, block int, chunks int, stops array<int>")
+    # Residents meet every chunk of visitors; visitors come with their own chunk.
+    meetings = F.concat(
+        F.transform("stops", lambda s: F.struct(s.alias("block"), F.col("chunk"), F.lit(False).alias("resident"))),
+        F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(
+            F.col("block"), j.alias("chunk"), F.lit(True).alias("resident"))),
+    )
+    tiles = stays.withColumn("meeting", F.explode(meetings)).select(
+        "key", "n", "d", "vector", "code", "factor", "radius", "chunk", F.col("meeting.block").alias("at_block"),
+        F.col("meeting.chunk").alias("at_chunk"), F.col("meeting.resident").alias("resident"),
     )
-    tiles = dealt.withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "*", F.least("block", "other_block").alias("b1"), F.greatest("block", "other_block").alias("b2")
-    ).drop("visits_", "blocks", "other_block")
     schema = "key long, links long, other long"
-    tiles.groupBy("d", "centre", "b1", "b2").applyInPandas(
+    tiles.groupBy("d", "at_block", "at_chunk").applyInPandas(
         lambda tile: compare_blocks(tile, threshold), schema
     ).write.parquet(f"{root}/links")
     links = spark.read.parquet(f"{root}/links")

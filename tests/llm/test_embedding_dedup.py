@@ -51,6 +51,22 @@ def test_against_brute_force(spark, monkeypatch):
     assert sum(g[2:] == w[2:] for g, w in zip(got, want)) >= 0.99 * len(want)
 
 
+def test_links_across_hundreds_of_centres(spark, monkeypatch):
+    """Pairs just above the threshold, with several hundred centres between them."""
+    monkeypatch.setattr(embedding_dedup, "PER_CENTRE", 5)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 400)
+    rng = np.random.default_rng(11)
+    base = units(rng.standard_normal((1500, 64)))
+    aside = rng.standard_normal(base.shape)
+    aside = units(aside - (aside * base).sum(axis=1, keepdims=True) * base)
+    cos = rng.uniform(0.951, 0.96, (1500, 1))
+    rows = list(enumerate([*base.tolist(), *(base * cos + aside * np.sqrt(1 - cos**2)).tolist()]))
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    want = sorted(brute_force(rows))
+    assert sum(w[1] for w in want) >= 3000
+    assert got == want
+
+
 def test_registered_query_recall(spark):
     from siltbed.llm.queries import QUERIES
 
