@@ -126,7 +126,10 @@ def records_of(body: Any, results_key: str | None) -> list:
 
 
 def iter_pages(options: RestOptions, transport: Transport, pages: range | None = None) -> Iterator[tuple]:
-    """Request pages one after another, in bounded memory, until an empty page, a missing cursor or the page cap."""
+    """Request pages one after another, in bounded memory, until an empty page or a missing cursor.
+
+    Servers may give fewer records a page than asked, so any records on the last page allowed mean that more may follow.
+    """
     size_param = options.size_param or {"page": "page_size", "offset": "limit"}.get(options.pagination)
     params: dict = {}
     received = 0
@@ -149,8 +152,8 @@ def iter_pages(options: RestOptions, transport: Transport, pages: range | None =
             if not following:
                 return
             params = {options.cursor_param: following}
-        if page_no == options.max_pages and options.pagination == "cursor":
-            raise PageLimitError(f"{options.url}: page {page_no} names a next page, but max_pages is {options.max_pages}")
+        if page_no == options.max_pages:
+            raise PageLimitError(f"{options.url}: more may follow page {page_no}, but max_pages is {options.max_pages}")
         if options.page_delay > 0:
             time.sleep(options.page_delay)
 
@@ -239,13 +242,15 @@ def fetch_endpoints(
     return wanted.repartition(parallelism, "endpoint").mapInPandas(run, PAGE_SCHEMA)
 
 
-def before_first_empty(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Keep each endpoint's pages up to its first empty or missing page, and no more than the page cap.
+def before_first_empty(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Keep each endpoint's pages up to its first empty or missing page, and no more than the page cap if there is one.
 
     Pages fetched in parallel ranges may lie behind the end; those are dropped here. The per-endpoint end is a
     partially aggregated number, so an endpoint with very many pages is never gathered in one task.
     """
-    filled = pages.filter((F.col("n_records") > 0) & F.col("page_no").between(1, max_pages))
+    filled = pages.filter((F.col("n_records") > 0) & (F.col("page_no") >= 1))
+    if max_pages is not None:
+        filled = filled.filter(F.col("page_no") <= max_pages)
     present = filled.select("endpoint", "page_no")
     wanted = present.select(
         "endpoint", F.explode(F.array(F.lit(1), F.col("page_no") + 1)).alias("page_no")
@@ -258,7 +263,7 @@ def before_first_empty(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFram
     return filled.join(ends, "endpoint").filter(F.col("page_no") < F.col("first_empty")).drop("first_empty")
 
 
-def full_until_short(pages: DataFrame, page_size: int, max_pages: int = MAX_PAGES) -> DataFrame:
+def full_until_short(pages: DataFrame, page_size: int, max_pages: int | None = None) -> DataFrame:
     """Offset pages fetched at multiples of the page size are right up to and including the first short page.
 
     After a short page the true offset is no longer a multiple, so later pages must come from the sequential reader.
@@ -309,10 +314,10 @@ def flatten_texts(pages: DataFrame, results_key: str | None) -> DataFrame:
 
 
 def check_page_limit(landed: DataFrame, options: RestOptions) -> None:
-    """Refuse pages that end at the limit with a full last page: the endpoint may have more."""
+    """Refuse pages that reach the limit with any records: the endpoint may have more, however short its pages are."""
     last = landed.filter(F.col("page_no") == options.max_pages).agg(F.max("n_records")).first()[0]
-    if last is not None and last >= options.page_size:
-        raise PageLimitError(f"{options.url}: page {options.max_pages} is full; raise max_pages to read on")
+    if last is not None and last > 0:
+        raise PageLimitError(f"{options.url}: page {options.max_pages} has records; raise max_pages to read on")
 
 
 def read_rest(

@@ -392,6 +392,27 @@ def test_full_last_page_at_the_limit_is_refused(spark):
     rest.check_page_limit(pages.filter("page_no < 3"), options)
 
 
+def test_short_pages_at_the_limit_are_refused(spark):
+    """A server with a page size of its own gives short pages throughout."""
+    def serve(url, params, headers):
+        at = params.get("offset", 50 * (params.get("page", 1) - 1))
+        return json.dumps([{"id": i} for i in range(at, min(at + 50, 230))])
+
+    for pagination in ("page", "offset"):
+        cut = rest.RestOptions("u", pagination=pagination, max_pages=3)
+        with pytest.raises(rest.PageLimitError):
+            list(rest.iter_pages(cut, serve))
+        assert sum(p[2] for p in rest.iter_pages(rest.RestOptions("u", pagination=pagination, max_pages=6), serve)) == 230
+    pages = spark.createDataFrame([("u", i, 50, "[]") for i in range(1, 4)], rest.PAGE_SCHEMA)
+    with pytest.raises(rest.PageLimitError):
+        rest.check_page_limit(pages, rest.RestOptions("u", pagination="page", max_pages=3))
+
+
+def test_landed_pages_have_no_limit_of_their_own(spark):
+    pages = spark.createDataFrame([("u", i, 2, "[1, 2]") for i in range(1, 131)], rest.PAGE_SCHEMA)
+    assert rest.before_first_empty(pages).count() == rest.full_until_short(pages, 2).count() == 130
+
+
 def test_login_becomes_headers_before_tasks_run():
     options = rest.RestOptions("http://h/x", auth_type="bearer", auth={"token": "t"}, headers={"X": "1"})
     ready = rest.with_login(options)
