@@ -28,6 +28,7 @@ from siltbed.session import scratch_path
 LENGTH = 400
 GROUP_BYTES = 1 << 19
 HOT_STRETCHES = 1024
+REMEMBERED = 1 << 16  # keys of texts that a task knows to have lifted already
 
 
 def bytes_of(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -43,7 +44,7 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def merged_runs(stretch: pd.DataFrame, counts: pd.DataFrame, length: int) -> pd.DataFrame:
     """Runs of repeated window starts of the stretches of one group, which arrive with their bytes and their counts."""
-    both = stretch.drop_duplicates(["anchor", "whole"]).merge(counts, on=["anchor", "whole"])
+    both = stretch.merge(counts, on=["anchor", "whole"])
     found = repeated_starts(both["bytes"].tolist(), both["n"].to_numpy(), length)
     out = []
     for anchor, whole, flags in zip(both["anchor"], both["whole"], found):
@@ -106,10 +107,16 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
     chosen = spark.sparkContext.broadcast(marked(groups.select(own.alias("own")), "own", n_groups))
 
     def lifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             batch = batch.filter(pa.array(texts.value.may_hold(batch.column("key").to_numpy())))
             found = []
             for k, data in zip(batch.column("key").to_numpy(), bytes_of(batch.column("text"))):
+                if int(k) in done:
+                    continue
+                if len(done) == REMEMBERED:
+                    done.clear()
+                done.add(int(k))
                 anchor, whole, first, windows = (c.astype(np.int64) for c in stretches(data, length))
                 for i in np.flatnonzero(chosen.value.may_hold(whole ^ k)).tolist():
                     found.append((int(anchor[i]), int(whole[i]), data[first[i]:first[i] + windows[i] + length - 1].tobytes()))
@@ -119,7 +126,8 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
             if found:
                 yield pa.RecordBatch.from_pylist([dict(zip(("anchor", "whole", "bytes"), f)) for f in found])
 
-    lifts = kept(long_enough.mapInArrow(lifted, "anchor long, whole long, bytes binary"), "lifts")
+    # Copies of a text in different tasks lift the same stretches; one of each goes on.
+    lifts = kept(long_enough.mapInArrow(lifted, "anchor long, whole long, bytes binary").dropDuplicates(["anchor", "whole"]), "lifts")
     usual = groups.filter(~F.col("hot")).select("anchor", "whole", "n", dealt.alias("group"))
     found = lifts.withColumn("group", dealt).groupBy("group").cogroup(usual.groupBy("group")).applyInPandas(
         lambda left, right: merged_runs(left, right, length), "anchor long, whole long, low long, high long"
@@ -143,7 +151,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
 
     crowded = groups.filter("hot").select("anchor", "whole", "n")
     if crowded.limit(1).count():
-        windows = kept(lifts.join(crowded, ["anchor", "whole"]).dropDuplicates(["anchor", "whole"]).select(
+        windows = kept(lifts.join(crowded, ["anchor", "whole"]).select(
             "anchor", "whole", "n", "bytes").mapInArrow(windows_of, "anchor long, whole long, n long, low long, h1 long, h2 long"), "crowded")
         twice = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2")
         found = found.union(windows.join(twice, ["h1", "h2"]).select("anchor", "whole", "low", F.col("low").alias("high")))

@@ -58,6 +58,22 @@ def test_against_brute_force(spark, monkeypatch, hot, length):
         assert sum(s.end - s.first for s in got[i].spans) == len((texts[i] or "").encode()) - len(kept)
 
 
+def test_copies_of_a_text_meet_once(spark, monkeypatch):
+    real = suffix_dedup.merged_runs
+
+    def strict(stretch, counts, length):
+        assert not stretch.duplicated(["anchor", "whole"]).any()
+        return real(stretch, counts, length)
+
+    monkeypatch.setattr(suffix_dedup, "merged_runs", strict)
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("abcdefgh \n") for _ in range(3000))
+    texts = [text[:at] + "#" + text[at + 1:] for at in (300, 900, 1500, 2900)] * 80 + [text] * 80
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(6)
+    got = {r.i: (len(r.spans), bytes(r.kept_bytes)) for r in without_repeats(docs).collect()}
+    assert got == dict(enumerate(brute_force(texts, 400)))
+
+
 def test_merge_alone(monkeypatch):
     monkeypatch.setattr(bwt_merge, "SHARD_BYTES", 60)
     rnd = random.Random(5)
