@@ -3,20 +3,22 @@
 Rules reject a text whose measure exceeds a cutoff. In each stratum (language) the labelled good texts are a holdout of
 n rows: if a cutoff rejects at most k of them, the true share of good texts it rejects is at most ALPHA with confidence
 1 - DELTA as long as the binomial probability of k or fewer out of n at ALPHA is at most DELTA. The largest such k is
-summed exactly, and the cutoff is the (k+1)-th largest measure among the good texts. Both levels are divided among all
+summed exactly, and the cutoff is the (k+1)-th largest measure among all labelled good texts. Both levels are divided among all
 rules (and the confidence among all strata), so that all rules together reject at most MAX_FALSE_REJECTION of the good
 texts of any stratum with confidence 1 - ERROR. Where the holdout is too small for any k, a rule rejects nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltbed.session import scratch_path
+
 MAX_FALSE_REJECTION = 0.03
 ERROR = 0.05
-#: Labelled rows looked at, in expectation; chosen by a hash of the id.
-HOLDOUT_ROWS = 20_000
+#: Bins of one unit of a measure, in which the place of a cutoff is counted first.
+BINS = 4096
 #: Fixed values of the base rules.
 MIN_WORDS = 50
 SPACE = r"[\x20\x09-\x0D]"
@@ -85,47 +87,76 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def allowed_rejections(n: Column, alpha: float, delta: Column) -> Column:
-    """Largest k with P(X <= k) <= delta for X binomial(n, alpha), summed term by term; -1 if there is none."""
-    first = F.struct(
-        F.pow(F.lit(1.0 - alpha), n).alias("term"), F.lit(0.0).alias("below"), F.lit(-1).alias("k"),
-    )
-    return F.aggregate(
-        F.sequence(F.lit(0), n.cast("int")), first,
-        lambda a, i: F.struct(
-            (a["term"] * (n - i) / (i + 1) * F.lit(alpha / (1.0 - alpha))).alias("term"),
-            (a["below"] + a["term"]).alias("below"),
-            F.when(a["below"] + a["term"] <= delta, i).otherwise(a["k"]).alias("k"),
-        ),
-    )["k"]
+    """Largest k with P(X <= k) <= delta for X binomial(n, alpha), summed term by term; -1 if there is none.
+
+    Terms are relative to that of the mean, which neither underflow nor need more than some 12 standard errors on
+    either side; what lies beyond is far below the rounding of the sum.
+    """
+    n = n.cast("long")
+    middle = F.floor(n * F.lit(alpha))
+    width = F.ceil(F.sqrt(n * F.lit(alpha * (1 - alpha))) * 12) + 12
+    low, high = F.greatest(F.lit(0).cast("long"), middle - width), F.least(n, middle + width)
+    odds = F.lit(alpha / (1.0 - alpha))
+    down = F.when(middle > low, F.sequence(middle, low + 1, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>"))
+    least = F.aggregate(down, F.lit(1.0), lambda t, i: t * i / (n - i + 1) / odds)
+
+    def summed(start: Column) -> Column:
+        terms = F.sequence(low, high)
+        total = F.aggregate(
+            terms, F.struct(start.alias("term"), F.lit(0.0).alias("sum")),
+            lambda a, i: F.struct((a["term"] * (n - i) / (i + 1) * odds).alias("term"), (a["sum"] + a["term"]).alias("sum")),
+        )["sum"]
+        return let(total, lambda whole: F.aggregate(
+            terms, F.struct(start.alias("term"), F.lit(0.0).alias("below"), F.lit(-1).cast("long").alias("k")),
+            lambda a, i: F.struct(
+                (a["term"] * (n - i) / (i + 1) * odds).alias("term"),
+                (a["below"] + a["term"]).alias("below"),
+                F.when(a["below"] + a["term"] <= delta * whole, i).otherwise(a["k"]).alias("k"),
+            ),
+        )["k"])
+
+    return let(least, summed)
 
 
 def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """One row per stratum of the holdout: its name, n_good, allowed and the cutoff of each rule (null: no cutoff).
 
-    The holdout is a documented number of labelled rows, so its values can be sorted in one array; repeated labels of
-    one id count as bad if any of them is. Rows whose label or id is null are left out.
+    All labelled rows count; repeated labels of one id count as bad if any of them is. Rows whose label or id is null are
+    left out. A cutoff is found by counts in bins, then by counts of the values of the one bin it lies in.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    scale = 1 << 20
-    rate = min(scale, -(-scale * HOLDOUT_ROWS // max(1, known.count())))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < rate)
-    good = picked.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    # At most HOLDOUT_ROWS ids in expectation, whatever the table's size.
+    good = known.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
     held = docs.select("doc_id", "text", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"))
-    held = held.join(F.broadcast(good), "doc_id")
-    sample = measured(held, ["stratum"])
+    # Measured before the join, so that measures move and texts don't; written, so that texts are measured once.
+    path = scratch_path(docs.sparkSession, "quality")
+    measured(held, ["doc_id", "stratum"]).select("doc_id", "stratum", *RULES).join(good, "doc_id").drop("doc_id").write.parquet(path)
+    holdout = docs.sparkSession.read.parquet(path)
     alpha = MAX_FALSE_REJECTION / len(RULES)
-    per_stratum = sample.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n_good"), *[F.sort_array(F.collect_list(r), asc=False).alias(r) for r in RULES]
-    )
+    per_stratum = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"))
     strata = per_stratum.agg(F.count(F.lit(1)).alias("strata"))  # one row
     per_stratum = per_stratum.crossJoin(F.broadcast(strata)).withColumn(
         "allowed", allowed_rejections(F.col("n_good"), alpha, F.lit(ERROR) / (len(RULES) * F.col("strata")))
-    )
-    return per_stratum.select(
-        "stratum", "n_good", "allowed",
-        *[F.when(F.col("allowed") >= 0, F.get(F.col(r), F.col("allowed"))).alias(f"cut_{r}") for r in RULES],
-    )
+    ).select("stratum", "n_good", "allowed")
+    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES]))
+    values = holdout.select("stratum", pairs.alias("pair")).select(
+        "stratum", "pair.rule", "pair.value", F.floor(F.col("pair.value") * BINS).alias("bin"))
+
+    def reached(counts: DataFrame, place: str, wanted: Column) -> DataFrame:
+        """The place, counted from the largest, in which the wanted number is reached, and the number above it."""
+        order = Window.partitionBy("stratum", "rule").orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, 0)
+        upto = counts.withColumn("upto", F.sum("m").over(order))
+        return upto.filter((F.col("upto") >= wanted) & (F.col("upto") - F.col("m") < wanted))
+
+    bins = values.groupBy("stratum", "rule", "bin").agg(F.count(F.lit(1)).alias("m"))
+    limits = F.broadcast(per_stratum.filter("allowed >= 0").select("stratum", "allowed"))  # one row per stratum
+    bins = reached(bins.join(limits, "stratum"), "bin", F.col("allowed") + 1).select(
+        "stratum", "rule", "bin", (F.col("allowed") + 1 - (F.col("upto") - F.col("m"))).alias("rank"))
+    # One row per stratum and rule.
+    within = values.join(F.broadcast(bins), ["stratum", "rule", "bin"]).groupBy("stratum", "rule", "rank", "value").agg(
+        F.count(F.lit(1)).alias("m"))
+    cuts = reached(within, "value", F.col("rank")).groupBy("stratum").agg(
+        *[F.max(F.when(F.col("rule") == r, F.col("value"))).alias(f"cut_{r}") for r in RULES])
+    return per_stratum.join(cuts, "stratum", "left")
 
 
 def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, stratum: str = "lang") -> DataFrame:
@@ -133,13 +164,13 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, st
 
     Columns of the same name are replaced. Null and empty texts have no words and fail the base rules; a null or unseen
     stratum has the empty name or no cutoffs and is judged by the base rules alone; repeated rows are judged each; with
-    no labels only the base rules hold. Texts are read twice at most (holdout, then all) and never shuffled.
+    no labels only the base rules hold. Texts are read twice (for the cutoffs, then all) and never shuffled.
     """
     keep = list(docs.columns if keep is None else keep)
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals",
             "base_failed", "rejected_by", "kept", *RULES}
     keep = [c for c in keep if c not in made]
-    # One row per stratum of a bounded holdout.
+    # One row per stratum.
     limits = F.broadcast(cutoffs(docs, labels, stratum).withColumnRenamed("stratum", "__stratum"))
     frame = docs.withColumn("__stratum", F.coalesce(F.col(stratum), F.lit("")))
     out = measured(frame, [*keep, "__stratum"]).join(limits, "__stratum", "left")

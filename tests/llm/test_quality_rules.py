@@ -1,10 +1,10 @@
 import re
 from collections import Counter
-from math import comb
+from math import comb, exp, lgamma, log
 
 from pyspark.sql import functions as F
 
-from siltbed.llm.quality_rules import allowed_rejections, cutoffs, judged
+from siltbed.llm.quality_rules import RULES, allowed_rejections, cutoffs, judged, measured
 
 
 def brute_force(text):
@@ -58,3 +58,27 @@ def test_cutoffs_limit_false_rejection(spark):
         F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("k")).collect()}
     assert out[False][1] == 0
     assert out[True][1] >= 0.97 * out[True][0]
+
+
+def test_bound_of_large_holdouts(spark):
+    """Where the first terms of the sum underflow."""
+    for n, alpha, delta in ((400_000, 0.005, 0.002), (30_000_000, 0.005, 0.0001)):
+        got = spark.range(1).select(allowed_rejections(F.lit(n).cast("long"), alpha, F.lit(delta))).first()[0]
+        term = lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(alpha) + (n - i) * log(1 - alpha))  # noqa: E731, B023
+        below = sum(term(i) for i in range(max(0, got - 8000), got + 1))
+        assert below <= delta < below + term(got + 1)
+
+
+def test_rare_stratum_among_many_labels(spark):
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.hash("id", i).cast("string")))
+    docs = spark.range(62_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < 60_000, "en").otherwise("fr").alias("lang"),
+        F.concat(words, F.repeat(F.lit(" #"), F.pmod(F.hash("id"), F.lit(7)))).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    got = {r.stratum: r for r in cutoffs(docs, labels).collect()}
+    assert {k: r.n_good for k, r in got.items()} == {"en": 60_000, "fr": 2_000}
+    assert got["fr"].allowed >= 0
+    rows = measured(docs, ["lang"]).collect()
+    for lang, cut in got.items():
+        for rule in RULES:
+            assert cut[f"cut_{rule}"] == sorted((r[rule] for r in rows if r.lang == lang), reverse=True)[cut.allowed]
