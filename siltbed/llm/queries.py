@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm import html_extraction, toxicity
+from siltbed.llm import html_extraction, merkle_sql, toxicity
 from siltbed.llm.bpe_codec import encoding_digests
 from siltbed.llm.embedding_dedup import near_duplicates
+from siltbed.llm.embedding_whitening import whitened
 from siltbed.llm.jaccard_join import jaccard_components
+from siltbed.llm.merkle_manifest import leaf_hash, manifest
 from siltbed.llm.packing import packed, token_estimate
 from siltbed.llm.quality_rules import judged
 from siltbed.llm.sharding import sharded
@@ -22,6 +24,7 @@ ORACLES: dict[str, str] = {}
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
 def query(name: str):
@@ -107,3 +110,21 @@ def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.with_main_text(pages, labeller).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
     )
+
+
+@query("op11_merkle_manifest")
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    altered = F.when(tampered, leaf_hash([lowered if f == "text" else F.col(f) for f in MANIFEST_FIELDS]))
+    return manifest(documents(spark, sf_dir), MANIFEST_FIELDS, altered=altered).select(
+        F.col("place").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"
+    )
+
+
+ORACLES["op11_merkle_manifest"] = merkle_sql.oracle()
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
