@@ -12,6 +12,7 @@ from siltbed.llm.bpe_codec import encoding_digests
 from siltbed.llm.embedding_dedup import near_duplicates
 from siltbed.llm.embedding_whitening import whitened
 from siltbed.llm.jaccard_join import jaccard_components
+from siltbed.llm.lexical_packing import lexically_packed
 from siltbed.llm.merkle_manifest import leaf_hash, manifest
 from siltbed.llm.packing import packed, token_estimate
 from siltbed.llm.quality_rules import judged
@@ -128,3 +129,8 @@ ORACLES["op11_merkle_manifest"] = merkle_sql.oracle()
 @query("op12_embedding_whitening")
 def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op13_lexical_packing")
+def lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexically_packed(documents(spark, sf_dir))
