@@ -113,15 +113,19 @@ def log_slice(lines: DataFrame, since: int, job_id: str | None = None) -> DataFr
     return ends.join(lines.filter(new), "job_id", "left")
 
 
-def _good_pipeline_runs(runs: DataFrame) -> DataFrame:
-    """Finished, accepted pipeline runs that count as a pipeline's own progress: no backfills, no ad-hoc jobs."""
-    return runs.filter(
+def _is_good_pipeline_run() -> Column:
+    return (
         F.col("pipeline_id").isNotNull()
         & F.col("status").isin(*GOOD)
         & (F.coalesce(F.col("triggered_by"), F.lit("manual")) != "backfill")
     )
 
 
+def _good_pipeline_runs(runs: DataFrame) -> DataFrame:
+    """Finished, accepted pipeline runs that count as a pipeline's own progress: no backfills, no ad-hoc jobs."""
+    return runs.filter(_is_good_pipeline_run())
+
+
 def watermarks(runs: DataFrame) -> DataFrame:
     """Current watermark per pipeline: that of its last accepted run which was not a backfill."""
     known = _good_pipeline_runs(runs).filter(F.col("watermark").isNotNull())
@@ -156,6 +160,13 @@ def schema_drift(runs: DataFrame) -> DataFrame:
     )
 
 
+def with_accepted_hash(runs: DataFrame) -> DataFrame:
+    """Runs with the schema hash of the last accepted run before, the base for alerts: failed runs, backfills and runs
+    without a hash between two accepted ones don't move it."""
+    counts = _is_good_pipeline_run() & F.col("schema_hash").isNotNull()
+    return with_previous(runs, "pipeline_id", "seq", {"previous_hash": "schema_hash"}, counts)
+
+
 def row_drops(runs: DataFrame, max_drop_pct: float) -> DataFrame:
     """Accepted runs with the row count of the run before, the loss, and whether it exceeds the limit."""
     compared = with_previous(_good_pipeline_runs(runs), "pipeline_id", "seq", {"previous_rows": "rows_read"})
@@ -179,13 +190,20 @@ def by_trigger(runs: DataFrame) -> DataFrame:
     return latest(runs).groupBy("triggered_by").agg(F.count(F.lit(1)).alias("runs"))
 
 
-def pipeline_state(spark: SparkSession, path: str, pipeline_id: str) -> dict:
-    """What the next run of one pipeline needs to know: watermark, last schema hash, previous row count."""
+def pipeline_state(spark: SparkSession, path: str, pipeline_id: str, dead_before: datetime | None = None) -> dict:
+    """What the next run of one pipeline needs to know: watermark, last schema hash, previous row count, and whether
+    there may be runs started before ``dead_before`` that never ended."""
     if not storage.exists(spark, path):
-        return {"watermark": None, "rows_read": None, "schema_hash": None}
-    mine = _good_pipeline_runs(read(spark, path).filter(F.col("pipeline_id") == pipeline_id))
+        return {"watermark": None, "rows_read": None, "schema_hash": None, "unfinished": False}
+    mine = read(spark, path).filter(F.col("pipeline_id") == pipeline_id)
+    good = _is_good_pipeline_run()
     wanted = ("watermark", "rows_read", "schema_hash")
-    row = mine.agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in wanted]).first()
+    old = F.lit(False) if dead_before is None else F.col("started_at") < F.lit(dead_before)
+    row = mine.agg(
+        *[F.max_by(c, F.when(good & F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in wanted],
+        # Every run has an event when it starts and one when it ends.
+        (F.count_if(old & (F.col("status") == "running")) > F.count_if(old & (F.col("status") != "running"))).alias("unfinished"),
+    ).first()
     return row.asDict()
 
 

@@ -136,6 +136,10 @@ def alerts(runs: DataFrame, allowed_hosts: tuple[str, ...] = ()) -> DataFrame:
     return runs.filter(reachable).withColumn("event", F.explode(events))
 
 
+ALERT_INPUT = """
+    pipeline_id string, job_id string, status string, error string, rows_read bigint, rows_written bigint,
+    schema_hash string, previous_hash string, alert_on array<string>, webhook_url string
+"""
 ALERT_FIELDS = ("event", "pipeline_id", "job_id", "status", "error", "rows_read", "rows_written")
 
 

@@ -90,10 +90,36 @@ def apply(spark: SparkSession, planned: DataFrame, manifest: str | None = None)
     return apply_manifest(spark, manifest)
 
 
+def whole_folders(listed: DataFrame) -> DataFrame:
+    """Folders of the planned files, and how many of their files are planned."""
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    return listed.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("planned"))
+
+
 def apply_manifest(spark: SparkSession, manifest: str) -> PurgeResult:
-    """The file list is streamed from the manifest to the deleting threads, never held as a whole."""
+    """Delete what a manifest names: a folder whose files are all planned by one call, others file by file.
+
+    What a folder holds is counted when its turn comes. Folders, and the files of those that a filter splits, are streamed
+    from the manifest to the deleting threads, never held as a whole.
+    """
     listed = spark.read.parquet(manifest)
-    storage.delete_files(spark, (row["path"] for row in listed.select("path").toLocalIterator()))
+    split = scratch_path(spark, "purge-split")
+    storage.make_folder(spark, split)
+
+    def remove(row) -> None:
+        found = storage.count_entries(spark, row["folder"])
+        if found == row["planned"]:
+            storage.delete_tree(spark, row["folder"])
+        elif found:
+            storage.write_text(spark, f"{split}/{uuid.uuid4().hex}", row["folder"])
+
+    storage.in_parallel(remove, whole_folders(listed).toLocalIterator())
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    if next(storage.iter_files(spark, split), None) is not None:
+        parts = spark.read.text(split).withColumnRenamed("value", "folder")
+        rest = listed.select("path", folder.alias("folder")).join(parts, "folder", "left_semi")
+        storage.delete_files(spark, (row["path"] for row in rest.toLocalIterator()))
+    storage.delete_tree(spark, split)
     return PurgeResult(*totals(listed).first())
 
 

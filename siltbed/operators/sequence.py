@@ -1,4 +1,4 @@
-"""Previous-row lookups that hold up when one key owns a large share of all rows."""
+"""Lookups of an earlier row that hold up when one key owns a large share of all rows."""
 
 from __future__ import annotations
 
@@ -7,66 +7,39 @@ from pyspark.sql import functions as F
 
 from siltbed.session import scratch_path
 
-ROWS_PER_TASK = 2_000_000
-MAX_PIECES = 1024
-
 
 def with_previous(
-    df: DataFrame, key: str, seq: str, values: dict[str, str], rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, key: str, seq: str, values: dict[str, str], when: Column | None = None
 ) -> DataFrame:
-    """Add the values of the preceding row (by ``seq``, a unique number) of the same key.
-
-    A window sorts all rows of a key in one task, which is fine until a key is too large for that. The largest key is
-    measured first, by a count that is combined before its shuffle. ``values`` maps new names to existing columns.
-    """
-    counts = df.groupBy(key).count()
-    heaviest = counts.agg(F.max("count")).first()[0] or 0
-    if heaviest <= rows_per_task:
-        ordered = Window.partitionBy(key).orderBy(seq)
-        return df.withColumns({name: F.lag(source).over(ordered) for name, source in values.items()})
-    path = scratch_path(df.sparkSession, "hot-keys")
-    counts.filter(F.col("count") > rows_per_task).select(key, "count").write.parquet(path)
-    return _with_hot_keys(df, df.sparkSession.read.parquet(path), key, seq, values, rows_per_task)
-
-
-def _piece(seq: Column, cuts: list[int], low: int = 0, high: int | None = None) -> Column:
-    """Number of cuts below the value, as a binary search written out in conditions."""
-    high = len(cuts) if high is None else high
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(seq <= cuts[middle], _piece(seq, cuts, low, middle)).otherwise(_piece(seq, cuts, middle + 1, high))
+    """Add the values of the nearest preceding row (by ``seq``, a unique number) of the same key.
 
+    With ``when``, rows for which it doesn't hold are passed over, so the lookup is of the last row that counted.
+    ``values`` maps new names to existing columns; without such a row they are NULL. Rows without a key share one.
 
-def _with_hot_keys(
-    df: DataFrame, hot: DataFrame, key: str, seq: str, values: dict[str, str], rows_per_task: int
-) -> DataFrame:
-    """The same result with the keys listed in ``hot`` cut into pieces.
-
-    The sequence is cut at approximate quantiles of the hot rows, so a piece is one task's work. The first row of a
-    piece takes its values from a small table holding the last row of every earlier piece of its key. All other keys
-    stay in one piece each and cost the same as in a plain window.
+    Rows are dealt to partitions by ranges of (key, seq), so a key of any size is spread over as many as it needs, and
+    written once. A window then works inside each partition; what it cannot see, the last counting row of earlier
+    partitions, is at most one row for each partition, because only one key can continue from the partition before.
     """
-    total = hot.agg(F.sum("count")).first()[0]
-    pieces = min(MAX_PIECES, max(2, -(-2 * total // rows_per_task)))
-    hot_rows = df.join(hot.select(key), key, "left_semi")
-    shares = [i / pieces for i in range(1, pieces)]
-    cuts = sorted(set(hot_rows.agg(F.percentile_approx(seq, shares, max(1000, 4 * pieces))).first()[0]))
-
-    row = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
-    marked = df.join(hot.select(key, F.lit(True).alias("__hot")), key, "left")
-    cut_up = marked.withColumn("__piece", F.when(F.col("__hot"), _piece(F.col(seq), cuts)).otherwise(F.lit(0)))
-    in_piece = Window.partitionBy(key, "__piece").orderBy(seq)
-    local = cut_up.withColumn("__previous", F.lag(row).over(in_piece))
-
-    last = (
-        hot_rows.withColumn("__piece", _piece(F.col(seq), cuts))
-        .groupBy(key, "__piece")
-        .agg(F.max_by(row, seq).alias("__last"))
+    spark = df.sparkSession
+    path = scratch_path(spark, "sequence")
+    df.repartitionByRange(key, seq).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.parquet(path)
+    counts = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
+    found = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
+
+    in_part = Window.partitionBy(key, "__part").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("__near", F.last(F.when(counts, found), ignorenulls=True).over(in_part))
+
+    ends = placed.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__at")).agg(
+        F.max_by(found, F.when(counts, F.col(seq))).alias("__end")
+    )
+    earlier = Window.partitionBy("__key").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("__key", "__at", F.last("__end", ignorenulls=True).over(earlier).alias("__far")).filter(
+        F.col("__far").isNotNull()
     )
-    carried = last.select(
-        key, "__piece", F.lag("__last").over(Window.partitionBy(key).orderBy("__piece")).alias("__carried")
+    joined = local.join(
+        F.broadcast(carried),  # fewer rows than partitions
+        F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__at")), "left",
     )
-    joined = local.join(carried, [key, "__piece"], "left")
-    found = F.coalesce("__previous", "__carried")
-    return joined.select(*df.columns, *[found[name].alias(name) for name in values])
+    nearest = F.coalesce("__near", "__far")
+    return joined.select(*df.columns, *[nearest[name].alias(name) for name in values])

@@ -145,7 +145,8 @@ class PipelineSpec:
     ``source`` is ``sql`` (``query`` is Spark SQL over registered tables), ``jdbc``, ``files``, ``rest`` or the name of
     a registered source; ``sink`` is ``parquet`` or the name of a registered sink (see ``siltbed.extensions``).
     ``write_tasks`` spreads rows over that many tasks and files; it is meant for sources that arrive in very few splits
-    (one JDBC query, one REST endpoint, one row group) and costs a shuffle.
+    (one JDBC query, one REST endpoint, one row group) and costs a shuffle. ``webhook_url``, ``webhook_hosts`` (none: any)
+    and ``alert_on`` decide which alerts a run returns; ``sla_minutes`` is for ``monitoring.sla_state``.
     """
 
     pipeline_id: str
@@ -166,6 +167,7 @@ class PipelineSpec:
     min_rows_expected: int | None = None
     max_rows_drop_pct: float | None = None
     webhook_url: str | None = None
+    webhook_hosts: tuple[str, ...] = ()
     alert_on: tuple[str, ...] = DEFAULT_ALERTS
     sla_minutes: int | None = None
     allowed_prefix: str = DEFAULT_PREFIX

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from siltbed import extensions, storage
+from siltbed.functions.schema import descriptors
+from siltbed.operators import ledger
 from siltbed.plans.spec import PipelineSpec
 from siltbed.queries import fixtures
 from siltbed.queries.registry import query
 from siltbed.queries.views import context, table
 from siltbed.session import scratch_path
+from siltbed.sinks.parquet import read_landed
 from siltbed.sources import files, rest
-from siltbed.streaming.landing import StreamOptions, land_stream, read_stream
+from siltbed.streaming.landing import BatchRules, StreamOptions, land_stream, read_stream
 
 CUSTOMER = "SELECT * FROM customer"
 EVENTS = "SELECT * FROM events"
@@ -253,17 +257,24 @@ def custom_parser(spark, sf_dir):
     return files.read_landing(spark, files.LandingOptions((path,), "pipes", fail_fast=True)).rows
 
 
-def _two_drops(spark, sf_dir, pii_columns=None):
+DROPS = ("ts < '2024-01-16'", "ts >= '2024-01-16'")
+
+
+def _drop_files(spark, sf_dir, part, folder) -> None:
+    events = table(spark, sf_dir, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    events.filter(part).write.mode("append").json(folder)
+
+
+def _two_drops(spark, sf_dir, pii_columns=None, rules=None):
     """Two drops of files, each landed by its own run of the same stream."""
     drop, target, checkpoint = (scratch_path(spark, f"stream-{part}") for part in ("drop", "target", "checkpoint"))
-    events = table(spark, sf_dir, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     source = StreamOptions(drop, "json", fixtures.EVENT_SCHEMA)
-    for part in ("ts < '2024-01-16'", "ts >= '2024-01-16'"):
-        events.filter(part).write.mode("append").json(drop)
+    for part in DROPS:
+        _drop_files(spark, sf_dir, part, drop)
         land_stream(
-            read_stream(spark, source), target, checkpoint, pii_columns=pii_columns, prepare=fixtures.event_rows
+            read_stream(spark, source), target, checkpoint, pii_columns=pii_columns, prepare=fixtures.event_rows, rules=rules
         ).awaitTermination()
-    return spark.read.parquet(target)
+    return read_landed(spark, target)
 
 
 @query("landing_stream", EVENTS)
@@ -277,3 +288,42 @@ def landing_stream(spark, sf_dir):
 )
 def landing_stream_masked(spark, sf_dir):
     return _two_drops(spark, sf_dir, {"user_id": "sha256", "props": "redact"})
+
+
+@query(
+    "landing_stream_ledger",
+    f"""SELECT 0 AS batch, 'success' AS status, count(*) AS rows_read, count(*) AS rows_written, false AS schema_changed
+        FROM events WHERE {DROPS[0]}
+        UNION ALL SELECT 1, 'success', count(*), count(*), false FROM events WHERE {DROPS[1]}""",
+)
+def landing_stream_ledger(spark, sf_dir):
+    """Every micro-batch is a run with one event."""
+    rules = BatchRules(scratch_path(spark, "stream-ledger"), "events", min_rows_expected=1)
+    _two_drops(spark, sf_dir, {"user_id": "sha256"}, rules)
+    number = F.regexp_extract("job_id", r"-(\d+)$", 1).cast("int")
+    return ledger.read(spark, rules.ledger_path).select(
+        number.alias("batch"), "status", "rows_read", "rows_written", "schema_changed"
+    )
+
+
+@query("landing_stream_contract", EVENTS)
+def landing_stream_contract(spark, sf_dir):
+    """A batch that breaks the contract stops the stream, unseen; the same batch lands once the contract is mended."""
+    drop, target, checkpoint = (scratch_path(spark, f"stream-{part}") for part in ("drop", "target", "checkpoint"))
+    _drop_files(spark, sf_dir, "true", drop)
+    source = StreamOptions(drop, "json", fixtures.EVENT_SCHEMA)
+    good = descriptors(table(spark, sf_dir, "events").schema)
+    bad = [*good, {"name": "session_id", "type": "string", "nullable": True}]
+    ledger_path = scratch_path(spark, "stream-ledger")
+    for expected in (bad, good):
+        rules = BatchRules(ledger_path, "events", expected_schema=expected)
+        stream = land_stream(read_stream(spark, source), target, checkpoint, prepare=fixtures.event_rows, rules=rules)
+        try:
+            stream.awaitTermination()
+        except StreamingQueryException:
+            if expected is good or next(storage.data_files(spark, target), None) is not None:
+                raise
+    states = [row.status for row in ledger.read(spark, ledger_path).orderBy("seq").collect()]
+    if states != ["failed", "success"]:
+        raise RuntimeError(f"batches ended as {states}")
+    return read_landed(spark, target)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltbed.operators import ledger, monitoring, quality
-from siltbed.operators.sequence import with_previous
 from siltbed.queries.registry import query
 from siltbed.queries.views import GOOD_SQL, NOW, PIPELINES_SQL, RUNS_SQL, pipelines, runs, table
 
@@ -202,7 +201,9 @@ def runs_by_trigger(spark, sf_dir):
 @query(
     "alert_events",
     f"""WITH {RUNS_SQL}, {PIPELINES_SQL}, seen AS (
-          SELECT *, lag(schema_hash) OVER (PARTITION BY pipeline_id ORDER BY seq) AS previous_hash FROM runs),
+          SELECT *, last_value(CASE WHEN {GOOD_SQL} AND triggered_by <> 'backfill' THEN schema_hash END IGNORE NULLS) OVER (
+              PARTITION BY pipeline_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_hash
+          FROM runs),
         joined AS (
           SELECT s.seq, s.pipeline_id, s.status, s.rows_read, s.schema_hash, s.previous_hash,
                  coalesce(p.alert_on, ['failed']) AS wanted
@@ -214,8 +215,7 @@ def runs_by_trigger(spark, sf_dir):
         WHERE schema_hash <> previous_hash AND list_contains(wanted, 'schema_changed')""",
 )
 def alert_events(spark, sf_dir):
-    seen = with_previous(runs(spark, sf_dir), "pipeline_id", "seq", {"previous_hash": "schema_hash"})
-    subscribed = seen.join(
+    subscribed = ledger.with_accepted_hash(runs(spark, sf_dir)).join(
         pipelines(spark, sf_dir).select("pipeline_id", "webhook_url", "alert_on"), "pipeline_id"
     )
     return monitoring.alerts(subscribed).select("event", "seq", "pipeline_id", "status", "rows_read")

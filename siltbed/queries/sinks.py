@@ -104,3 +104,27 @@ def row_count_reconcile(spark, sf_dir):
     return read.join(written, "o_orderstatus", "full").select(
         "o_orderstatus", "rows_read", "rows_written", F.col("rows_read").eqNullSafe(F.col("rows_written")).alias("reconciled")
     )
+
+
+@query("full_refresh_empty_partition", "SELECT *, '1998-03-25' AS _date FROM customer")
+def full_refresh_empty_partition(spark, sf_dir):
+    """A refresh without rows writes no partition and so replaces none, of its own day or another."""
+    root, ledger_path = _root(spark)
+    extensions.source("customer_all", _table_source(sf_dir, "customer"))
+    extensions.source("customer_none", _table_source(sf_dir, "customer", "false"))
+    for name in ("customer_all", "customer_none"):
+        spec = PipelineSpec("customer", "bronze/customer", source=name, partition_by="ingest_date")
+        _succeeded(run_pipeline(spark, spec, context(), ledger_path, root))
+    return parquet.read_landed(spark, f"{root}bronze/customer")
+
+
+@query("full_refresh_same_run", "SELECT * FROM customer")
+def full_refresh_same_run(spark, sf_dir):
+    """A run repeated under its own id replaces what its first attempt landed."""
+    root, ledger_path = _root(spark)
+    extensions.source("customer_few", _table_source(sf_dir, "customer", "c_mktsegment = 'BUILDING'"))
+    extensions.source("customer_all", _table_source(sf_dir, "customer"))
+    for name in ("customer_few", "customer_all"):
+        spec = PipelineSpec("customer", "bronze/customer", source=name)
+        _succeeded(run_pipeline(spark, spec, context(run_id="job-1"), ledger_path, root))
+    return parquet.read_landed(spark, f"{root}bronze/customer")

@@ -7,14 +7,17 @@ import fnmatch
 import re
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltbed import extensions, storage
+from siltbed.operators.ledger import GOOD, OPEN, latest
+from siltbed.session import scratch_path
 from siltbed.sources.avro import avro_kind, read_avro
 
 # Landing defaults.
@@ -27,6 +30,7 @@ HELPERS = (CORRUPT, SOURCE_FILE)
 UNUSABLE = ("empty", "foreign")
 LISTING_SCHEMA = "path string, directory int, name string, length bigint, modified timestamp"
 MANIFEST_SCHEMA = "path string, run_id string"
+CLAIMS_PER_FILE = 100_000
 LOCAL_SCHEME = "^file:/+"
 
 
@@ -56,6 +60,7 @@ class LandingRead:
     failed_files: list[str]
     good_files: list[str] = field(default_factory=list)
     left_out: int = 0
+    scratch: str | None = None
 
 
 def name_skipped(name: Column, patterns: tuple[str, ...]) -> Column:
@@ -260,17 +265,62 @@ def bad_files(parsed: DataFrame) -> DataFrame:
     )
 
 
-def read_landing(spark: SparkSession, options: LandingOptions, processed: DataFrame | None = None) -> LandingRead:
-    """Land the files of the directories, except those a manifest of processed files names.
+def broken_records(staged: DataFrame) -> DataFrame:
+    """``bad_files`` of rows that were parsed and written before, from two of their columns."""
+    return staged.filter(F.col(CORRUPT).isNotNull()).groupBy(SOURCE_FILE).agg(F.count(F.lit(1)).alias("bad_records"))
 
-    With ``fail_fast`` the first broken file stops the run, in one pass. Otherwise a first pass finds files with
-    broken records and, if there are any, a second reads only the others, so one bad record keeps its whole file out.
-    There is no limit unless the options set one: files above ``max_file_bytes`` are rejected like broken ones, and
-    files beyond ``max_files`` are counted in ``left_out``. The driver holds the names of the files of one run.
+
+def split_staged(staged: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows of files without a broken record, and the names of the other files, from rows parsed and written before.
+
+    The names need two columns of the staged rows; the rows are an anti-join with the broken files.
+    """
+    broken = staged.filter(F.col(CORRUPT).isNotNull()).select(SOURCE_FILE).distinct()
+    names = [row[SOURCE_FILE] for row in broken.collect()]  # at most the files of one run
+    return (staged.join(broken, SOURCE_FILE, "left_anti") if names else staged), names
+
+
+def held_files(claims: DataFrame, runs: DataFrame) -> DataFrame:
+    """Claimed files (path) that no other run may land.
+
+    A claim holds while its run has not ended and for good once it was accepted, except for files that the run rejected. It
+    falls back when the run fails, be it that ``recover_unfinished`` finds out.
+    """
+    ended = latest(runs).select(
+        F.col("job_id").alias("run_id"), "status", F.coalesce("failed_files", F.array()).alias("rejected")
+    )
+    return (
+        claims.join(ended, "run_id")
+        .filter(F.col("status").isin(*GOOD, *OPEN) & ~F.array_contains("rejected", F.col("path")))
+        .select("path")
+    )
+
+
+def claim_files(spark: SparkSession, manifest: str, paths: list[str], run_id: str) -> None:
+    """Note which files a run is about to land, before it reads any of them."""
+    rows = spark.createDataFrame([(path, run_id) for path in paths], MANIFEST_SCHEMA)
+    rows.repartition(-(-len(paths) // CLAIMS_PER_FILE)).write.mode("append").parquet(manifest)
+
+
+def read_landing(
+    spark: SparkSession, options: LandingOptions, processed: DataFrame | None = None, run_id: str | None = None,
+    runs: DataFrame | None = None,
+) -> LandingRead:
+    """Land the files of the directories, except those that ``processed`` names or that a claim in the manifest holds.
+
+    With ``fail_fast`` the first broken file stops the run, and rows are read as they are used. Otherwise files are parsed
+    once, into a scratch table (``scratch``, the caller's to delete) that keeps each row's file and broken text, and one bad record
+    keeps its whole file out. There is no limit unless the options set one: files above ``max_file_bytes`` are
+    rejected like broken ones, and files beyond ``max_files`` are counted in ``left_out``.
+
+    With a manifest and a ``run_id``, the files are claimed for that run before they are read; ``runs`` are the ledger's
+    events, which tell which claims hold (see ``held_files``; without them all do). Runs that share a directory must
+    not start at the same moment. The driver holds the names of the files of one run.
     """
     listing = list_directories(spark, options.paths)
     if processed is None and options.manifest and storage.exists(spark, options.manifest):
-        processed = spark.read.schema(MANIFEST_SCHEMA).parquet(options.manifest)
+        claims = spark.read.schema(MANIFEST_SCHEMA).parquet(options.manifest)
+        processed = claims if runs is None else held_files(claims, runs)
     if processed is not None:
         listing = unprocessed(listing, processed)
     named = filter_listing(listing, options.skip_patterns)
@@ -289,31 +339,27 @@ def read_landing(spark: SparkSession, options: LandingOptions, processed: DataFr
         raise EmptySourceError(f"no records in {unusable[0]}")
     if not usable:
         return LandingRead(spark.createDataFrame([], _as_struct(options.schema) or T.StructType([])), unusable, [], left_out)
+    if options.manifest and run_id is not None:
+        claim_files(spark, options.manifest, list(usable), run_id)
     if options.fail_fast or options.parser in ("avro", "binary"):
         return LandingRead(_data_columns(parse_files(spark, usable, options, "FAILFAST")), unusable, list(usable), left_out)
-    first_pass = parse_files(spark, usable, options)
-    broken = {_plain(row[SOURCE_FILE]): row[SOURCE_FILE] for row in bad_files(first_pass).collect()}
-    if not broken:
-        return LandingRead(_data_columns(first_pass), unusable, list(usable), left_out)
-    schema = _data_columns(first_pass).schema
-    good = {path: kind for path, kind in usable.items() if _plain(path) not in broken}
-    rows = (
-        _data_columns(parse_files(spark, good, replace(options, schema=schema)))
-        if good
-        else spark.createDataFrame([], schema)
-    )
-    return LandingRead(rows, sorted([*unusable, *broken.values()]), list(good), left_out)
+    parsed = parse_files(spark, usable, options)
+    scratch = scratch_path(spark, "landing-rows")
+    parsed.write.parquet(scratch)
+    rows, names = split_staged(spark.read.schema(parsed.schema).parquet(scratch))
+    # Spark's own formats name files by their encoded address, byte parsers by their plain path.
+    broken = {_plain(unquote(name) if options.parser in FORMATS else name) for name in names}
+    good = [path for path in usable if _plain(path) not in broken]
+    failed = sorted([*unusable, *(path for path in usable if _plain(path) in broken)])
+    return LandingRead(_data_columns(rows), failed, good, left_out, scratch)
 
 
 def finish_landing(spark: SparkSession, options: LandingOptions, landed: LandingRead, run_id: str) -> None:
-    """Call once the rows are visible: note the accepted files in the manifest, or move them to the processed folder.
+    """Call once the rows are visible: move the accepted files to the processed folder, if there is one.
 
-    Rejected files stay where they are and are tried again. A run that dies before this call is repeated as a whole.
-    A name that is taken in the processed folder, or stands in several directories, gets the run id in front.
+    Rejected files stay where they are and are tried again. A name that is taken in the processed folder, or stands in
+    several directories, gets the run id in front.
     """
-    if options.manifest and landed.good_files:
-        done = [(path, run_id) for path in landed.good_files]
-        spark.createDataFrame(done, MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(options.manifest)
     if options.processed_folder:
         folder = options.processed_folder.rstrip("/")
         storage.make_folder(spark, folder)

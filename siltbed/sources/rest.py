@@ -10,9 +10,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
-from functools import reduce
-from operator import getitem
+from dataclasses import MISSING, dataclass, field, fields, replace
 from typing import Any
 from urllib.parse import urlencode
 from urllib.request import Request, urlopen
@@ -86,65 +84,116 @@ def folder_get(url: str, params: dict, headers: dict) -> str:
         return stream.read().decode("utf-8")
 
 
-def _bearer(token: str) -> dict:
-    return {"Authorization": f"Bearer {token}"}
+class Login:
+    """Settings of one kind of login; the fields of a kind are the settings it needs."""
 
+    def headers(self, fetch_token: Callable[[ClientCredentials], str]) -> dict:
+        return {}
 
-def ask_token(config: dict) -> str:
-    """One request to the token address; field names are those of the protocol."""
-    optional = {"scope": ""}
-    fields = [(name, {**optional, **config}[name]) for name in ("client_id", "client_secret", "scope")]
-    data = urlencode([("grant_type", "client_credentials"), *fields]).encode()
-    with urlopen(Request(config["token_url"], data=data, method="POST"), timeout=TIMEOUT_SECONDS) as reply:
+
+@dataclass(frozen=True)
+class NoLogin(Login):
+    pass
+
+
+@dataclass(frozen=True)
+class BearerToken(Login):
+    token: str
+
+    def headers(self, fetch_token) -> dict:
+        return {"Authorization": f"Bearer {self.token}"}
+
+
+@dataclass(frozen=True)
+class ApiKey(Login):
+    header: str
+    key: str
+
+    def headers(self, fetch_token) -> dict:
+        return {self.header: self.key}
+
+
+@dataclass(frozen=True)
+class ClientCredentials(Login):
+    token_url: str
+    client_id: str
+    client_secret: str
+    scope: str = ""
+
+    def headers(self, fetch_token) -> dict:
+        return BearerToken(fetch_token(self)).headers(fetch_token)
+
+    def form(self) -> bytes:
+        """Body of the token request; the names are those of the protocol."""
+        return urlencode({
+            "grant_type": "client_credentials", "client_id": self.client_id, "client_secret": self.client_secret,
+            "scope": self.scope,
+        }).encode()
+
+
+# Names of the kinds of login.
+LOGINS = {"none": NoLogin, "bearer": BearerToken, "api_key": ApiKey, "oauth2_client_credentials": ClientCredentials}
+
+
+def ask_token(login: ClientCredentials) -> str:
+    request = Request(login.token_url, data=login.form(), method="POST")
+    with urlopen(request, timeout=TIMEOUT_SECONDS) as reply:
         return json.load(reply)["access_token"]
 
 
-#: Header of each kind of login, from its settings and a way to ask for a token.
-AUTH_KINDS: dict[str, Callable[[dict, Callable[[dict], str]], dict]] = {
-    "none": lambda config, ask: {},
-    "bearer": lambda config, ask: _bearer(config["token"]),
-    "api_key": lambda config, ask: {config["header"]: config["key"]},
-    "oauth2_client_credentials": lambda config, ask: _bearer(ask(config)),
-}
+def login_of(auth_type: str, settings: dict) -> Login:
+    if auth_type not in LOGINS:
+        raise ValueError(f"unknown auth type {auth_type!r}")
+    kind = LOGINS[auth_type]
+    known = {f.name: settings[f.name] for f in fields(kind) if f.name in settings}
+    missing = [f.name for f in fields(kind) if f.name not in known and f.default is MISSING]
+    if missing:
+        raise ValueError(f"{auth_type} needs {missing}")
+    return kind(**known)
 
 
 def auth_headers(auth_type: str, config: dict, headers: dict | None = None, fetch_token=None,
                  allowed_hosts: tuple[str, ...] = ()) -> dict:
     """Request headers, built once on the driver. A client-credentials token is fetched here and only here."""
-    if auth_type not in AUTH_KINDS:
-        raise ValueError(f"unknown auth type {auth_type!r}")
-    if "token_url" in config:
-        check_host(config["token_url"], allowed_hosts)
-    return {**(headers or {}), **AUTH_KINDS[auth_type](config, fetch_token or ask_token)}
+    login = login_of(auth_type, config)
+    if isinstance(login, ClientCredentials):
+        check_host(login.token_url, allowed_hosts)
+    return {**(headers or {}), **login.headers(fetch_token or ask_token)}
 
 
-def records_of(body: Any, results_key: str | None) -> list:
-    """Records of one body: a list as it is, else what the dotted key leads to; a single object is one record."""
-    steps = results_key.split(".") if results_key and not isinstance(body, list) else ()
-    found = reduce(getitem, steps, body)
-    return found if isinstance(found, list) else [found]
+def count_items(body: Any, results_key: str | None) -> int:
+    """Records of a parsed body, counted as ``count_records`` does for landed text: a single object is one record."""
+    if results_key and isinstance(body, dict):
+        for name in results_key.split("."):
+            body = body[name]
+    return len(body) if isinstance(body, list) else 1
 
 
-def iter_pages(options: RestOptions, transport: Transport, pages: range | None = None) -> Iterator[tuple]:
+def iter_pages(
+    options: RestOptions, transport: Transport, pages: range | None = None, offset: int = 0, whole: bool = False
+) -> Iterator[tuple]:
     """Request pages one after another, in bounded memory, until an empty page or a missing cursor.
 
+    Offsets count the records received, from ``offset`` on, or with ``whole`` go on as if every page were full.
+
     Servers may give fewer records a page than asked, so any records on the last page allowed mean that more may follow.
     """
     size_param = options.size_param or {"page": "page_size", "offset": "limit"}.get(options.pagination)
     params: dict = {}
-    received = 0
-    for page_no in pages or range(1, (1 if options.pagination == "none" else options.max_pages) + 1):
+    known = pages or range(1, (1 if options.pagination == "none" else options.max_pages) + 1)
+    received = offset
+    for page_no in known:
         if options.pagination == "page":
             params = {options.page_param: page_no, size_param: options.page_size}
         elif options.pagination == "offset":
             params = {options.offset_param: received, size_param: options.page_size}
         text = transport(options.url, params, options.headers)
         body = json.loads(text)
-        n = len(records_of(body, options.results_key))
+        n = count_items(body, options.results_key)
         if n == 0:
             return
         yield options.url, page_no, n, text
-        received += n
+        received += options.page_size if whole else n
         if options.pagination == "none":
             return
         if options.pagination == "cursor":
@@ -162,23 +211,30 @@ def iter_pages(options: RestOptions, transport: Transport, pages: range | None =
 class PageRange(InputPartition):
     first: int
     last: int
+    offset: int = 0
+    whole: bool = False
 
 
 class RestReader(DataSourceReader):
-    def __init__(self, options: RestOptions, transport: Transport) -> None:
+    def __init__(self, options: RestOptions, transport: Transport, resume: PageRange | None = None) -> None:
         self.options = options
         self.transport = transport
+        self.resume = resume
 
     def partitions(self) -> list[InputPartition]:
-        """Page numbers are known beforehand, so they can be split; cursors and offsets depend on earlier answers."""
-        last = self.options.max_pages
-        if self.options.pagination != "page" or self.options.parallelism <= 1:
+        """Page numbers, and the offsets of full pages, are known beforehand, so they can be split; a cursor, or what
+        follows a short page, depends on earlier answers."""
+        if self.resume:
+            return [self.resume]
+        last, size = self.options.max_pages, self.options.page_size
+        if self.options.pagination not in ("page", "offset") or self.options.parallelism <= 1:
             return [PageRange(1, 1 if self.options.pagination == "none" else last)]
         width = -(-last // self.options.parallelism)
-        return [PageRange(lo, min(lo + width - 1, last)) for lo in range(1, last + 1, width)]
+        return [PageRange(lo, min(lo + width - 1, last), (lo - 1) * size, True) for lo in range(1, last + 1, width)]
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
-        yield from iter_pages(self.options, self.transport, range(partition.first, partition.last + 1))
+        pages = range(partition.first, partition.last + 1)
+        yield from iter_pages(self.options, self.transport, pages, partition.offset, partition.whole)
 
 
 def rest_source(transport: Transport) -> type[DataSource]:
@@ -193,7 +249,10 @@ def rest_source(transport: Transport) -> type[DataSource]:
             return PAGE_SCHEMA
 
         def reader(self, schema: T.StructType) -> DataSourceReader:
-            return RestReader(RestOptions(**json.loads(self.options["request"])), transport)
+            resume = json.loads(self.options["resume"])
+            return RestReader(
+                RestOptions(**json.loads(self.options["request"])), transport, PageRange(*resume) if resume else None
+            )
 
     return RestSource
 
@@ -208,12 +267,21 @@ def fetch_pages(
     options: RestOptions,
     transport: Transport = http_get,
     allowed_hosts: tuple[str, ...] = (),
+    resume: tuple[int, int, int] | None = None,
 ) -> DataFrame:
-    """Pages of one endpoint. The login is turned into headers here, so tasks get those and no secrets to ask with."""
+    """Pages of one endpoint. The login is turned into headers here, so tasks get those and no secrets to ask with.
+
+    ``resume`` reads on one page after another, from a page number to another, the first at a given offset.
+    """
     check_host(options.url, allowed_hosts)
     options = with_login(options, allowed_hosts)
     spark.dataSource.register(rest_source(transport))
-    return spark.read.format("rest_pages").option("request", json.dumps(options.__dict__)).load()
+    return (
+        spark.read.format("rest_pages")
+        .option("request", json.dumps(options.__dict__))
+        .option("resume", json.dumps(resume))
+        .load()
+    )
 
 
 def fetch_endpoints(
@@ -296,11 +364,13 @@ def flatten_records(pages: DataFrame, record_schema: str, results_key: str | Non
     return pages.select(*keep, F.explode(record).alias("record")).select(*keep, "record.*")
 
 
-def infer_records(pages: DataFrame, results_key: str | None) -> DataFrame:
+def infer_records(pages: DataFrame, results_key: str | None, scratch: list[str] | None = None) -> DataFrame:
     """Records of landed pages when no schema is declared: the union of all keys, typed by Spark's JSON reader."""
     spark = pages.sparkSession
     lines = flatten_texts(pages, results_key)
     path = scratch_path(spark, "rest-records")
+    if scratch is not None:
+        scratch.append(path)
     lines.write.text(path)
     return spark.read.json(path)
 
@@ -320,22 +390,57 @@ def check_page_limit(landed: DataFrame, options: RestOptions) -> None:
         raise PageLimitError(f"{options.url}: page {options.max_pages} has records; raise max_pages to read on")
 
 
+def offset_pages(
+    spark: SparkSession, options: RestOptions, transport: Transport, allowed_hosts: tuple[str, ...], raw: str
+) -> DataFrame:
+    """All pages of an endpoint read by offset, landed in ``raw``, in two phases.
+
+    Windows at multiples of the page size are fetched side by side. They are right up to the first short page; behind
+    it the true offset is no longer a multiple, so reading resumes there, one page after another, until an empty page.
+    """
+    fetch_pages(spark, options, transport, allowed_hosts).write.parquet(f"{raw}/windows")
+    landed = spark.read.parquet(f"{raw}/windows")
+    windows = full_until_short(landed, options.page_size, options.max_pages)
+    ends = windows.agg(
+        F.max("page_no").alias("last"), F.coalesce(F.sum("n_records"), F.lit(0)).alias("records"),
+        F.count_if(F.col("n_records") < options.page_size).alias("short"),
+    ).first()
+    if not ends["short"]:
+        check_page_limit(windows, options)
+        return windows
+    if ends["last"] == options.max_pages:
+        raise PageLimitError(f"{options.url}: more may follow page {ends['last']}, but max_pages is {options.max_pages}")
+    resume = (ends["last"] + 1, options.max_pages, ends["records"])
+    fetch_pages(spark, options, transport, allowed_hosts, resume).write.parquet(f"{raw}/rest")
+    return windows.unionByName(spark.read.parquet(f"{raw}/rest"))
+
+
 def read_rest(
     spark: SparkSession,
     options: RestOptions,
     record_schema: str | None = None,
     transport: Transport = http_get,
     allowed_hosts: tuple[str, ...] = (),
+    scratch: list[str] | None = None,
 ) -> DataFrame:
-    """Records of one endpoint: fetch once, keep the raw pages, apply the stopping rule, flatten."""
+    """Records of one endpoint: fetch once, keep the raw pages, apply the stopping rule, flatten.
+
+    Raw pages and records lie unmasked in scratch tables, whose paths are added to ``scratch`` for the caller to delete
+    once the rows are used.
+    """
+    scratch = [] if scratch is None else scratch
     raw = scratch_path(spark, "rest-pages")
-    fetch_pages(spark, options, transport, allowed_hosts).write.parquet(raw)
-    landed = spark.read.parquet(raw)
-    if options.pagination in ("page", "offset"):
-        check_page_limit(landed, options)
-    pages = before_first_empty(landed, options.max_pages)
+    scratch.append(raw)
+    if options.pagination == "offset" and options.parallelism > 1:
+        pages = offset_pages(spark, options, transport, allowed_hosts, raw)
+    else:
+        fetch_pages(spark, options, transport, allowed_hosts).write.parquet(raw)
+        landed = spark.read.parquet(raw)
+        if options.pagination in ("page", "offset"):
+            check_page_limit(landed, options)
+        pages = before_first_empty(landed, options.max_pages)
     if record_schema is None:
-        return infer_records(pages, options.results_key)
+        return infer_records(pages, options.results_key, scratch)
     return flatten_records(pages, record_schema, options.results_key)
 
 

@@ -66,6 +66,41 @@ def data_files(spark: SparkSession, root: str) -> Iterator[FileEntry]:
             yield entry
 
 
+@dataclass(frozen=True)
+class Entry:
+    name: str
+    is_folder: bool
+
+
+def visible_entries(spark: SparkSession, folder: str) -> Iterator[Entry]:
+    """What stands directly inside a folder and is not hidden (as Spark sees it); nothing for a missing folder."""
+    fs, p = _open(spark, folder)
+    if not fs.exists(p):
+        return
+    listing = fs.listStatusIterator(p)
+    while listing.hasNext():
+        status = listing.next()
+        name = status.getPath().getName()
+        if "=" in name or not name.startswith(("_", ".")):
+            yield Entry(name, status.isDirectory())
+
+
+def count_entries(spark: SparkSession, folder: str) -> int:
+    """Files and folders directly inside a folder; markers of a finished write and checksums don't count."""
+    fs, p = _open(spark, folder)
+    if not fs.exists(p):
+        return 0
+    listing, n = fs.listStatusIterator(p), 0
+    while listing.hasNext():
+        name = listing.next().getPath().getName()
+        n += name != "_SUCCESS" and not (name.startswith(".") and name.endswith(".crc"))
+    return n
+
+
+def delete_trees(spark: SparkSession, paths: Iterable[str]) -> int:
+    return in_parallel(lambda path: delete_tree(spark, path), paths)
+
+
 def in_parallel(action, items: Iterable, width: int = PARALLEL_CALLS) -> int:
     """Run ``action`` over the items with a bounded number in flight; the first error is raised."""
     done = 0
@@ -84,7 +119,7 @@ def make_folder(spark: SparkSession, path: str) -> None:
 
 
 def rename(spark: SparkSession, source: str, target: str) -> None:
-    """Move one file into an existing folder."""
+    """Move one file or folder into an existing folder, under a name that is free."""
     fs, p = _open(spark, source)
     if not fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)):
         raise OSError(f"cannot move {source} to {target}")

@@ -37,25 +37,75 @@ def brute_previous(data):
     return out
 
 
-@pytest.mark.parametrize("rows_per_task", [1_000_000, 10])
-def test_previous_values_on_a_hot_key(spark, rows_per_task):
+def previous_data(spark):
     rng = random.Random(7)
     keys = ["hot"] * 300 + [f"k{i % 40}" for i in range(500)] + ["once"]
     rng.shuffle(keys)
     keys[5] = keys[50] = keys[500] = None
-    data = [(key, seq * 3, rng.choice([None, *range(50)])) for seq, key in enumerate(keys)]
+    return [(key, seq * 3, rng.choice([None, *range(50)])) for seq, key in enumerate(keys)]
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Range partitions small enough that a hot key takes many."""
+    settings = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_previous_values(spark):
+    data = previous_data(spark)
     df = spark.createDataFrame(data, "k string, seq bigint, v int").repartition(7)
-    found = with_previous(df, "k", "seq", {"before": "v"}, rows_per_task)
+    found = with_previous(df, "k", "seq", {"before": "v"})
     assert found.columns == ["k", "seq", "v", "before"]
     assert {r["seq"]: r["before"] for r in found.collect()} == brute_previous(data)
 
 
-def test_a_hot_key_is_cut_into_pieces(spark):
+def test_previous_values_on_a_hot_key(spark, many_parts):
+    data = previous_data(spark)
+    df = spark.createDataFrame(data, "k string, seq bigint, v int").repartition(7)
+    found = with_previous(df, "k", "seq", {"before": "v"})
+    assert {r["seq"]: r["before"] for r in found.collect()} == brute_previous(data)
+
+
+def test_a_hot_key_is_spread_over_partitions(spark, many_parts):
     df = spark.range(10_000).select(F.lit("hot").alias("k"), F.col("id").alias("seq"), F.col("id").alias("v"))
-    found = with_previous(df, "k", "seq", {"before": "v"}, 100)
+    found = with_previous(df, "k", "seq", {"before": "v"})
     assert found.count() == 10_000 and found.filter("before IS DISTINCT FROM nullif(seq, 0) - 1").count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "__piece" in plan
+    assert "hashpartitioning(k#" in plan and "__part" in plan
+
+
+def test_previous_row_that_counts(spark, many_parts):
+    data = previous_data(spark)
+    df = spark.createDataFrame(data, "k string, seq bigint, v int").repartition(7)
+    for condition, holds in (("v % 7 = 0", lambda v: v is not None and v % 7 == 0), ("v = 999", lambda v: False)):
+        found = with_previous(df, "k", "seq", {"before": "v", "at": "seq"}, F.expr(condition))
+        last, wanted = {}, {}
+        for key, seq, value in data:
+            wanted[seq] = last.get(key, (None, None))
+            if holds(value):
+                last[key] = (value, seq)
+        assert {r["seq"]: (r["before"], r["at"]) for r in found.collect()} == wanted
+
+
+def test_the_base_of_alerts_is_the_last_accepted_hash(spark):
+    runs = events(
+        spark,
+        {"pipeline_id": "p", "status": "success", "schema_hash": "a"},
+        {"pipeline_id": "p", "status": "failed", "schema_hash": "b"},
+        {"pipeline_id": "p", "status": "success", "schema_hash": "c", "triggered_by": "backfill"},
+        {"pipeline_id": "p", "status": "success", "schema_hash": None},
+        {"pipeline_id": "p", "status": "partial_success", "schema_hash": "a"},
+        {"pipeline_id": "p", "status": "success", "schema_hash": "d"},
+        {"pipeline_id": "q", "status": "success", "schema_hash": "z"},
+    )
+    found = ledger.with_accepted_hash(runs).orderBy("seq").collect()
+    assert [r["previous_hash"] for r in found] == [None, "a", "a", "a", "a", "a", None]
 
 
 def test_previous_of_nothing(spark):
@@ -283,6 +333,27 @@ def test_purge_apply_and_repeat(spark, dated, folder):
     assert purge.plan(spark, f"{dated}/{{date}}").count() == 0  # these folders are partitions, not that template's
 
 
+def test_purge_deletes_whole_folders(spark, folder, monkeypatch):
+    spark.range(1000).selectExpr("id", "concat('2024-01-', lpad(1 + id % 10, 2, '0')) AS _date").repartition(100, "id").write.partitionBy("_date").parquet(folder)
+    spark.range(100).repartition(100).write.parquet(f"{folder}/_date=2024-02-01/_run=a")
+    kept = purge.plan(spark, folder, partition_filter="_run=a").count()
+    many = purge.plan(spark, folder, date(2024, 1, 11))
+    n = many.count()
+    assert n > 500
+    calls = []
+    real_tree, real_files = storage.delete_tree, storage.delete_files
+    monkeypatch.setattr(storage, "delete_tree", lambda s, path: (calls.append(path), real_tree(s, path))[1])
+    monkeypatch.setattr(storage, "delete_files", lambda s, paths: real_files(s, [(calls.append(p), p)[1] for p in paths]))
+    assert purge.apply(spark, many).files_deleted == n
+    assert len([c for c in calls if "_date=" in c]) == 10
+    assert purge.plan(spark, folder).count() == kept
+    # A filter that splits a folder leaves the rest of it alone.
+    some = purge.plan(spark, folder, partition_filter="part-0001")
+    wanted = some.count()
+    assert 0 < wanted < kept and purge.apply(spark, some).files_deleted == wanted
+    assert purge.plan(spark, folder).count() == kept - wanted
+
+
 def test_purge_run_is_audited(spark, dated, folder):
     path = f"{folder}-audit"
     done = purge.run(spark, path, dated, NOW, "p", "someone", partition_filter="_date=2024-01-02")

@@ -417,3 +417,58 @@ def test_login_becomes_headers_before_tasks_run():
     options = rest.RestOptions("http://h/x", auth_type="bearer", auth={"token": "t"}, headers={"X": "1"})
     ready = rest.with_login(options)
     assert ready.headers == {"X": "1", "Authorization": "Bearer t"} and ready.auth == {} and ready.auth_type == "none"
+
+
+def test_a_broken_file_with_an_odd_name_is_kept_out(spark, folder):
+    for name, text in (("a b.json", '{"id": 1}\n{"id"\n'), ("a%20c.json", '{"id": 2}\n{"id"\n'), ("d e.json", '{"id": 3}\n')):
+        put(spark, f"{folder}/{name}", text)
+    landed = files.read_landing(spark, files.LandingOptions((folder,), "json", "id bigint"))
+    assert [r.id for r in landed.rows.collect()] == [3]
+    assert sorted(p.rsplit("/", 1)[-1] for p in landed.failed_files) == ["a b.json", "a%20c.json"]
+    assert [p.rsplit("/", 1)[-1] for p in landed.good_files] == ["d e.json"]
+
+
+def test_files_are_parsed_once(spark, folder):
+    """The rows come from the staged table, whatever was found broken."""
+    for name, text in (("a.json", '{"id": 1}\n'), ("b.json", '{"id"\n')):
+        put(spark, f"{folder}/{name}", text)
+    landed = files.read_landing(spark, files.LandingOptions((folder,), "json", "id bigint"))
+    plan = landed.rows._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "FileScan json" not in plan
+    assert [r.id for r in landed.rows.collect()] == [1]
+
+
+class Shelf:
+    """A server by offset in this process, that gives fewer records than asked on some requests."""
+
+    def __init__(self, total, short=()):
+        self.total, self.short, self.asked = total, short, []
+
+    def __call__(self, url, params, headers):
+        offset, limit = params["offset"], params["limit"]
+        if offset in self.short:
+            limit = self.short[offset]
+        return json.dumps({"d": [{"id": i} for i in range(offset, min(self.total, offset + limit))]})
+
+
+@pytest.mark.parametrize("total, short", [
+    (57, {}), (60, {}), (57, {20: 3}), (57, {0: 1}), (57, {20: 3, 23: 4, 37: 1}), (0, {}), (5, {}), (10, {}),
+])
+def test_offset_windows_resume_behind_a_short_page(spark, total, short):
+    options = rest.RestOptions("http://h/x", "d", "offset", page_size=10, max_pages=40, parallelism=4)
+    rows = rest.read_rest(spark, options, "id bigint", Shelf(total, short))
+    assert sorted(r.id for r in rows.collect()) == list(range(total))
+
+
+def test_offset_windows_refuse_at_the_page_limit(spark):
+    options = rest.RestOptions("http://h/x", "d", "offset", page_size=10, max_pages=4, parallelism=2)
+    for server in (Shelf(100), Shelf(100, {10: 5})):
+        with pytest.raises(Exception, match="max_pages"):
+            rest.read_rest(spark, options, "id bigint", server).collect()
+
+
+def test_logins_name_what_they_lack():
+    with pytest.raises(ValueError, match="token"):
+        rest.auth_headers("bearer", {})
+    form = rest.ClientCredentials("https://id.example.com/t", "c", "s").form()
+    assert form == b"grant_type=client_credentials&client_id=c&client_secret=s&scope="
