@@ -7,8 +7,6 @@ may be, so an exact join follows. Beyond the bound the filter lets more through
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,18 +15,14 @@ LEAST_BITS, MOST_BITS = 16, 28  # 8 KB to 32 MB
 PIECE_BITS = 15  # what bitmap_construct_agg puts into one value
 
 
-@dataclass(frozen=True)
-class Field:
-    bits: int
-    marks: np.ndarray  # bytes; bit i of the field is bit i % 8 of byte i // 8
-
-    def may_hold(self, values: np.ndarray) -> np.ndarray:
-        at = values.astype(np.int64) & ((1 << self.bits) - 1)
-        return (self.marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+def may_hold(field: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may belong to the set; bit i of the field is bit i % 8 of byte i // 8."""
+    at = values.astype(np.int64) & (8 * len(field) - 1)
+    return (field[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def marked(values: DataFrame, column: str, count: int) -> Field:
-    """The field of a column of well-mixed 64-bit values, ``count`` of them."""
+def marked(values: DataFrame, column: str, count: int) -> np.ndarray:
+    """The field of a column of well-mixed 64-bit values, ``count`` of them; a plain array, fit for a broadcast."""
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * max(1, count)).bit_length()))
     at: Column = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     pieces = values.select(at.alias("at")).groupBy(F.shiftright("at", PIECE_BITS).alias("piece")).agg(
@@ -38,4 +32,4 @@ def marked(values: DataFrame, column: str, count: int) -> Field:
     width = 1 << (PIECE_BITS - 3)
     for row in pieces.toLocalIterator():  # at most 2^(28-15) pieces of 4 KB
         field[row.piece * width:(row.piece + 1) * width] = np.frombuffer(row.marks, np.uint8)
-    return Field(bits, field)
+    return field

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.word_bpe import MASK, SHIFT, WordVocabulary, merge_linked, public_vocabulary, read_vocabulary
+from siltbed.llm.worker_memory import remembered
 
 REMEMBERED_WORDS = 600_000
 REMEMBERED_LENGTH = 64
@@ -141,9 +141,8 @@ class Speculator:
         return proposals
 
 
-@lru_cache(maxsize=2)
 def speculator(path: str) -> Speculator:
-    return Speculator(read_vocabulary(path))
+    return remembered("speculators", path, lambda: Speculator(read_vocabulary(path)))
 
 
 class Encoder:
@@ -194,10 +193,9 @@ class Encoder:
             yield from self.encode_batch(texts.iloc[at:at + BATCH_TEXTS])
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One memory for all tasks that a Python worker runs."""
-    return Encoder(path)
+    return remembered("encoders", path, lambda: Encoder(path), 2)
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "encoding") -> DataFrame:

@@ -18,6 +18,7 @@ crowded ones have several; visitors of a block come in chunks of like size, and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -155,10 +156,11 @@ class Layout:
         cell[self.order] = np.repeat(np.arange(len(many)), np.diff([*self.starts, len(centres)]))
         self.many, self.first = many[cell], (np.cumsum(many) - many)[cell]
 
-    def visits(self, angle: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
-        """Whether each vector may have a link to a resident of each block whose radius is no larger than its own."""
-        able = (angle <= radius[:, None] + reach) & (self.least <= radius[:, None]) & (angle - reach <= self.most)
-        return np.logical_or.reduceat(able[:, self.order], self.starts, axis=1)[:, self.cells]
+
+def visits(layout: SimpleNamespace, angle: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
+    """Whether each vector may have a link to a resident of each block whose radius is no larger than its own."""
+    able = (angle <= radius[:, None] + reach) & (layout.least <= radius[:, None]) & (angle - reach <= layout.most)
+    return np.logical_or.reduceat(able[:, layout.order], layout.starts, axis=1)[:, layout.cells]
 
 
 def compare_blocks(tile: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -264,7 +266,10 @@ def near_duplicates(
     crowds = homes.groupBy("d", "home").agg(
         F.count(F.lit(1)).alias("rows"), F.min("radius").alias("least"), F.max("radius").alias("most")
     ).toPandas()
-    layouts = spark.sparkContext.broadcast({int(d): Layout(chosen[int(d)], own) for d, own in crowds.groupby("d")})
+    # As plain values: a broadcast doesn't carry classes of this package.
+    layouts = spark.sparkContext.broadcast({
+        int(d): SimpleNamespace(**vars(Layout(chosen[int(d)], own))) for d, own in crowds.groupby("d")
+    })
     reach = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + SLACK
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,7 +281,7 @@ def near_duplicates(
                 x, stops = units(batch["vector"]), []
                 for at in range(0, len(x), 1024):
                     angle = angles(x[at:at + 1024], centres.value[int(d)])
-                    able = layout.visits(angle, radius[at:at + 1024], reach)
+                    able = visits(layout, angle, radius[at:at + 1024], reach)
                     able[np.arange(len(able)), block[at:at + 1024]] = False  # a resident there
                     stops += [np.flatnonzero(row) for row in able]
                 chunk = (mixed & np.uint64(0xFFFFFFFF)).astype(np.int64) % layout.chunks

@@ -14,7 +14,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.shingles import word_hashes
+from siltbed.llm.worker_memory import remembered
 
 #: Pages learned from, in expectation; chosen by a hash of the page.
 TRAINING_PAGES = 200
@@ -143,7 +143,9 @@ def hinted(block: Block) -> bool:
     return bool(tags & MAIN_TAGS or words & MAIN_WORDS)
 
 
-@lru_cache(maxsize=10_000)
+REMEMBERED_PATHS = 10_000
+
+
 def path_vector(path: tuple[str, ...]) -> np.ndarray:
     x = np.zeros(PATH_SIZE, np.float32)
     for depth, word in enumerate(reversed(path)):
@@ -164,7 +166,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     many = counts.sum(axis=1)
     x[:, PATH_SIZE:PATH_SIZE + WORD_SIZE] = counts / np.maximum(1, many)[:, None]
     for i, block in enumerate(blocks):
-        x[i, :PATH_SIZE] = path_vector(block.path)
+        x[i, :PATH_SIZE] = remembered("paths", block.path, lambda: path_vector(block.path), REMEMBERED_PATHS)
         n = len(block.text)
         x[i, -5:] = (np.log1p(n) / 8, min(1.0, block.linked / n), np.log1p(many[i]) / 6, i / len(blocks),
                      sum(map(block.text.count, ".,;")) / n)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltbed.llm.batches import bounded_batches
-from siltbed.llm.bitsets import marked
+from siltbed.llm.bitsets import marked, may_hold
 from siltbed.llm.components import connected_components
 from siltbed.llm.shingles import mixed, shingle_sets
 from siltbed.session import scratch_path
@@ -234,7 +234,7 @@ def jaccard_groups(
             prefix = batch.column("prefix")
             lengths = np.diff(prefix.offsets.to_numpy())
             flat = prefix.flatten().to_numpy()
-            may = field.value.may_hold(flat)
+            may = may_hold(field.value, flat)
             owner = np.repeat(np.arange(batch.num_rows), lengths)[may]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("set_id").take(pa.array(owner)), batch.column("n").take(pa.array(owner)), pa.array(flat[may])],
@@ -253,7 +253,7 @@ def jaccard_groups(
 
         def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                may = marks.value.may_hold(whole.column("key").to_numpy())
+                may = may_hold(marks.value, whole.column("key").to_numpy())
                 chosen = whole.filter(pa.array(may))
                 for at in range(0, chosen.num_rows, BATCH_ROWS):
                     batch = chosen.slice(at, BATCH_ROWS)
@@ -367,7 +367,7 @@ def one_of_each_group(
 
     @F.pandas_udf(T.BooleanType())
     def may_go(rows: pd.Series) -> pd.Series:
-        return pd.Series(field.value.may_hold(rows.to_numpy()))
+        return pd.Series(may_hold(field.value, rows.to_numpy()))
 
     names = docs.columns
     keyed = docs.withColumns({"__key": F.xxhash64(F.col(text)), "__row": F.xxhash64(F.col(id_column), F.xxhash64(F.col(text)))})

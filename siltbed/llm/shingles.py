@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+from siltbed.llm.worker_memory import remembered
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -20,7 +21,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
 def _byte_values() -> tuple[np.ndarray, np.ndarray]:
     """A random value for each byte (upper-case ASCII letters as their lower case), and which bytes separate words."""
     lower = np.arange(256)
@@ -30,7 +30,6 @@ def _byte_values() -> tuple[np.ndarray, np.ndarray]:
     return mixed(lower.astype(np.uint64)), space
 
 
-@lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
     base, inverse = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
@@ -41,14 +40,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of every word of a byte array; bytes 9 to 13 and 32 separate words."""
-    values, space = _byte_values()
+    values, space = remembered("byte values", 0, _byte_values)
     gap = space[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True]))))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64), starts
     size = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(size)
+    up, down = remembered("powers", size, lambda: _powers(size))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * up[:len(data)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts

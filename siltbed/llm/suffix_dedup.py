@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from siltbed.llm.anchors import stretches, window_hashes
 from siltbed.llm.batches import bounded_batches
-from siltbed.llm.bitsets import marked
+from siltbed.llm.bitsets import marked, may_hold
 from siltbed.llm.bwt_merge import repeated_starts
 from siltbed.session import scratch_path
 
@@ -88,7 +88,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(field.value.may_hold(batch.column("anchor").to_numpy())))
+            yield batch.filter(pa.array(may_hold(field.value, batch.column("anchor").to_numpy())))
 
     rows = kept(rows.mapInArrow(meeting, rows.schema).join(anchors, "anchor"), "meeting")
     groups = kept(rows.filter("several").groupBy("anchor", "whole").agg(
@@ -109,7 +109,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
     def lifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            batch = batch.filter(pa.array(texts.value.may_hold(batch.column("key").to_numpy())))
+            batch = batch.filter(pa.array(may_hold(texts.value, batch.column("key").to_numpy())))
             found = []
             for k, data in zip(batch.column("key").to_numpy(), bytes_of(batch.column("text"))):
                 if int(k) in done:
@@ -118,7 +118,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH) -
                     done.clear()
                 done.add(int(k))
                 anchor, whole, first, windows = (c.astype(np.int64) for c in stretches(data, length))
-                for i in np.flatnonzero(chosen.value.may_hold(whole ^ k)).tolist():
+                for i in np.flatnonzero(may_hold(chosen.value, whole ^ k)).tolist():
                     found.append((int(anchor[i]), int(whole[i]), data[first[i]:first[i] + windows[i] + length - 1].tobytes()))
                     if len(found) == 8192:
                         yield pa.RecordBatch.from_pylist([dict(zip(("anchor", "whole", "bytes"), f)) for f in found])
@@ -208,7 +208,7 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -
 
     @F.pandas_udf("boolean")
     def may_repeat(keys: pd.Series) -> pd.Series:
-        return pd.Series(field.value.may_hold(keys.to_numpy()))
+        return pd.Series(may_hold(field.value, keys.to_numpy()))
 
     flagged = keyed.withColumn("__may", may_repeat("__key"))
     clean = flagged.filter(~F.col("__may")).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))

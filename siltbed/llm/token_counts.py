@@ -8,13 +8,13 @@ are never produced. Words repeat, so each Python worker remembers counts of a bo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltbed.llm.word_bpe import WordVocabulary, merge_linked, public_vocabulary, read_vocabulary
+from siltbed.llm.worker_memory import remembered
 
 REMEMBERED_WORDS = 1_000_000
 REMEMBERED_LENGTH = 64
@@ -37,10 +37,9 @@ class WordCounts(dict):
         return count
 
 
-@lru_cache(maxsize=2)
 def word_counts(path: str) -> WordCounts:
     """One memory for all tasks that a Python worker runs."""
-    return WordCounts(read_vocabulary(path))
+    return remembered("word counts", path, lambda: WordCounts(read_vocabulary(path)), 2)
 
 
 def count_tokens(text: str | None, counts: WordCounts) -> int:

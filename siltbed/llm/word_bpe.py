@@ -8,12 +8,13 @@ import json
 import re
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import regex
 from tokenizers import Tokenizer
 
+from siltbed.llm.worker_memory import remembered
+
 #: Outside these ranges (Latin, Greek, Cyrillic, punctuation, CJK) versions of Unicode may disagree.
 UNCERTAIN = regex.compile(r"[^\u0000-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u052f\u1e00-\u1eff\u2000-\u206f\u20a0-\u20bf\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
 
@@ -82,8 +83,12 @@ class WordVocabulary:
         return [s for s in found if s is not None]
 
 
-@lru_cache(maxsize=4)
 def read_vocabulary(path: str) -> WordVocabulary:
+    """Read once by each worker."""
+    return remembered("vocabularies", path, lambda: parse_vocabulary(path))
+
+
+def parse_vocabulary(path: str) -> WordVocabulary:
     """Refuses files whose normal form, word pattern or model this module does not cover, rather than miscount."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
