@@ -4,12 +4,13 @@ Groups of equal texts are atomic and ordered by a hash of the text. The smallest
 the ordered groups needs no more than the given number of shards is found by binary search, and the walk at that
 capacity gives the cuts. The walk doesn't need every group: a summary of hash ranges bounds the capacity from above
 (ranges kept whole) and below (ranges divisible), and only ranges that a cut could fall into are split further, until
-both bounds meet. What reaches the driver is at most 4096 ranges and then 64 parts of each range near a cut.
+both bounds meet. The walk fills early shards to the brim, so the cuts are then moved as near to equal parts as that
+capacity, and what must still fit behind them, allow. What reaches the driver is at most 4096 ranges and then 64 parts of each range near a cut.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -59,6 +60,46 @@ class Walk:
             out.append(at)
         return out
 
+    def part(self, start: int, shards: int) -> float:
+        """What the shard that begins at ``start`` should hold: an equal part of the rest, without ranges that are larger
+        than that and need a shard each, fitted to a whole number of shards before the next of these."""
+        weights = [r.weight for r in self.ranges[bisect_right(self.ends, start):]]
+        total, least = sum(weights), 0
+        for heavy in sorted((w for w in weights if w * shards > total), reverse=True):
+            if shards == 1 or heavy * shards <= total:
+                break
+            total, shards, least = total - heavy, shards - 1, heavy
+        level = total / shards
+        before = 0
+        for weight in weights if least else ():
+            if weight >= least:
+                return before / max(1, round(before / level)) if before else weight
+            before += weight
+        return level
+
+    def balanced(self, capacity: int) -> list[int]:
+        """Ends of at most ``shards`` shards within the capacity, each as near as whole ranges allow to an equal part of
+        what is left.
+
+        A cut may lie no further left than the point from which a walk from the right end still gets by with the shards
+        that follow; no further right than the capacity reaches.
+        """
+        starts = [0, *self.ends]
+        earliest = [self.total]  # of the last shard's end, then of the one before, ...
+        for _ in range(self.shards - 1):
+            earliest.append(starts[bisect_left(starts, earliest[-1] - capacity)] if earliest[-1] > capacity else 0)
+        at, out = 0, []
+        for i in range(self.shards):
+            left = self.shards - i
+            latest = starts[bisect_right(starts, at + capacity) - 1]
+            wanted = at + self.part(at, left)
+            after = min(bisect_left(starts, wanted), len(starts) - 1)
+            nearest = min((starts[max(0, after - 1)], starts[after]), key=lambda end: abs(end - wanted))
+            following = starts[min(bisect_right(starts, at), len(starts) - 1)]
+            at = min(max(nearest, following, earliest[left - 1]), latest)
+            out.append(at)
+        return out
+
     def least(self, low: int, high: int, divisible: bool) -> int:
         while low < high:
             middle = (low + high) // 2
@@ -105,8 +146,8 @@ def smallest_capacity(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         finer = _summary(groups, shift, [r.first >> parent for r in open_], parent)
         gone = set(open_)
         ranges = sorted([r for r in ranges if r not in gone] + finer, key=lambda r: r.first)
-    starts, used = [], 0
-    for end in walk.cuts(high, False)[:-1]:
+    starts = []
+    for end in walk.balanced(high)[:-1]:
         used = bisect_right(walk.ends, end)
         if used < len(ranges):
             starts.append(ranges[used].first)

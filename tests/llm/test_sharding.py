@@ -1,9 +1,10 @@
+import random
 import zlib
 from collections import defaultdict
 
 import xxhash
 
-from siltbed.llm.sharding import sharded
+from siltbed.llm.sharding import Range, Walk, sharded
 
 
 def rows():
@@ -44,5 +45,38 @@ def test_against_brute_force(spark):
         assert all(len(s) == 1 for s in where.values()) and max(by_shard) < shards
 
 
+def test_no_shard_is_empty_beside_a_hot_text(spark):
+    """A third of the rows are one text: one shard holds it, the others share the rest nearly equally."""
+    data = [(i, "hot text " * 20 if i % 3 == 0 else f"text {i} " * 20) for i in range(3000)]
+    got = sharded(spark.createDataFrame(data, "doc_id long, text string").repartition(4), 24).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.shard] += r.size
+    hot = next(r.shard for r in got if r.doc_id == 0)
+    assert sorted(sizes) == list(range(24))
+    others = [size for shard, size in sizes.items() if shard != hot]
+    assert max(others) < 1.35 * sum(others) / 23 and min(others) > 0.6 * sum(others) / 23
+
+
+def test_shards_are_nearly_equal(spark):
+    data = [(i, f"text {i} " * (5 + i % 9)) for i in range(5000)]
+    sizes = defaultdict(int)
+    for r in sharded(spark.createDataFrame(data, "doc_id long, text string").repartition(4), 24).collect():
+        sizes[r.shard] += r.size
+    assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 24
+
+
+def test_balanced_cuts_keep_the_capacity():
+    rnd = random.Random(6)
+    for _ in range(300):
+        weights = [rnd.choice([1, 2, 3, rnd.randrange(1, 200)]) for _ in range(rnd.randrange(1, 60))]
+        shards = rnd.randrange(1, 12)
+        walk = Walk([Range(i, 0, w, 1) for i, w in enumerate(weights)], shards)
+        capacity = brute_force(weights, shards)
+        cuts = walk.balanced(capacity)
+        assert cuts[-1] == sum(weights) and cuts == sorted(cuts) and set(cuts) <= {0, *walk.ends}
+        assert max(b - a for a, b in zip([0, *cuts], cuts)) <= capacity
+
+
 def test_empty(spark):
     assert sharded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
