@@ -4,13 +4,14 @@ Shingles have one order for the whole table: those frequent in a bounded sample
 Jaccard index reaches t share one of the first n - ceil(t n) + 1 shingles of each, so sets meet in tiles: one tile for
 each such shingle and band of sizes, where a band reaches as far as t allows. (The order only moves work; any order
 gives the same links.) In a tile, a set's signature has some bits for each shingle; the bits in which two signatures
-differ are at most the shingles in which the sets differ, which bounds their overlap from above. Pairs that
-pass are intersected exactly as sorted arrays.
+differ are at most the shingles in which the sets differ, which bounds their overlap from above. Sets that have a
+pair which passes meet again with their arrays, and such pairs are intersected exactly as sorted arrays.
 
 Groups of copies are settled before tiles compare pairs: equal sets are one set, and in each tile sets are first
 compared with a few pivots only. Afterwards only sets of different components are compared, so a group of near copies
 costs about as many comparisons as it has members, and tiles that hold one component, or the same sets as another tile, are
-dropped. Larger tiles are dealt into blocks, and each pair of blocks is one group.
+dropped. Larger tiles are dealt into blocks, and each pair of blocks is one group, in which exact links join components as they
+are found: what a group puts out grows with its sets, not with their pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from siltbed.session import scratch_path
 
 SAMPLE_TEXTS = 8192
 MAX_FREQUENT = 65_536
-BLOCK_ROWS = 512
+#: Sets of a block: at most so many, fewer of large ones so that their arrays take no more than so many bytes.
+BLOCK_ROWS, BLOCK_BYTES, BLOCK_LEAST = 512, 1 << 25, 8
 MIN_BITS = 64
 BITS_PER_SHINGLE = 4
 #: Rounds of comparing with pivots, one pivot for so many sets of a tile, and how many at most.
@@ -120,45 +122,9 @@ def _linked(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(exact, "a long, b long")
 
 
-def _tiles_compared(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Candidate pairs of tiles that arrive sorted by tile; a tile that a batch cuts off is carried to the next."""
+def _by_tile(batches: Iterator[pd.DataFrame], each) -> Iterator[pd.DataFrame]:
+    """``each`` of whole tiles, for rows that arrive sorted by tile; a tile that a batch cuts off is carried to the next."""
     rest = None
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        tile = rows["tile"].to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
-        ends = np.append(starts[1:], len(rows))
-        n, component = rows["n"].to_numpy(), rows["component"].to_numpy()
-        ids, sign = rows["set_id"].to_numpy(), rows["signature"].to_numpy()
-        side, member = rows["side"].to_numpy(), rows["member"].to_numpy()
-        out = []
-        pending, size = [], 0
-
-        def flush():
-            i, j = (np.concatenate(p) for p in zip(*pending))
-            good = may_link(n[i], n[j], sign[i], sign[j], percent)
-            i, j = i[good], j[good]
-            out.append(np.unique(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=0))
-
-        for first, last in zip(starts.tolist(), ends.tolist()):
-            for at in range(first, last, 256):
-                top = min(at + 256, last)
-                i, j = (x.ravel() for x in np.meshgrid(np.arange(at, top), np.arange(first, last), indexing="ij"))
-                # Sides 1 and 2 are the two blocks of a pair of blocks; side 0 is a tile in one block.
-                fine = (component[i] != component[j]) & (member[i] | member[j])
-                fine &= ((i < j) & (side[i] == 0)) | ((side[i] == 1) & (side[j] == 2))
-                fine &= np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])
-                if fine.any():
-                    pending.append((i[fine], j[fine]))
-                    size += int(fine.sum())
-                if size > 1 << 18:
-                    flush()
-                    pending, size = [], 0
-        if pending:
-            flush()
-        both = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
     for batch in batches:
         rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
         if not len(rows):
@@ -167,9 +133,83 @@ def _tiles_compared(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[p
         cut = int(np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))[-1])
         rest = rows.iloc[cut:].reset_index(drop=True)
         if cut:
-            yield compare(rows.iloc[:cut].reset_index(drop=True))
+            yield each(rows.iloc[:cut].reset_index(drop=True))
     if rest is not None and len(rest):
-        yield compare(rest)
+        yield each(rest)
+
+
+def _candidates(rows: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same tile (sorted by tile) whose components differ and whose sizes and signatures may link."""
+    tile = rows["tile"].to_numpy()
+    starts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+    ends = np.append(starts[1:], len(rows))
+    n, component, sign = rows["n"].to_numpy(), rows["component"].to_numpy(), rows["signature"].to_numpy()
+    side, member = rows["side"].to_numpy(), rows["member"].to_numpy()
+    pending, size = [], 0
+
+    def able() -> tuple[np.ndarray, np.ndarray]:
+        i, j = (np.concatenate(p) for p in zip(*pending))
+        good = may_link(n[i], n[j], sign[i], sign[j], percent)
+        return i[good], j[good]
+
+    for first, last in zip(starts.tolist(), ends.tolist()):
+        for at in range(first, last, 256):
+            top = min(at + 256, last)
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(at, top), np.arange(first, last), indexing="ij"))
+            # Sides 1 and 2 are the two blocks of a pair of blocks; side 0 is a tile in one block.
+            fine = (component[i] != component[j]) & (member[i] | member[j])
+            fine &= ((i < j) & (side[i] == 0)) | ((side[i] == 1) & (side[j] == 2))
+            fine &= np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])
+            if fine.any():
+                pending.append((i[fine], j[fine]))
+                size += int(fine.sum())
+            if size > 1 << 18:
+                yield able()
+                pending, size = [], 0
+    if pending:
+        yield able()
+
+
+def _with_candidates(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The rows that have a candidate in their tile, without signatures: never more rows than came."""
+    met = np.zeros(len(rows), bool)
+    for i, j in _candidates(rows, percent):
+        met[i] = met[j] = True
+    return rows.loc[met, ["tile", "set_id", "component", "member", "side"]]
+
+
+def _linked_in_tiles(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links that join what is linked in each tile, by exact intersection of the candidates' arrays.
+
+    Only components matter, so a pair that earlier links of the tile connect already is passed over, and a tile gives
+    fewer links than it has sets.
+    """
+    arrays = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
+    rows = rows.drop(columns="hashes").assign(n=[len(x) for x in arrays], signature=[signature(x) for x in arrays])
+    ids, tile, component = rows["set_id"].to_numpy(), rows["tile"].to_numpy(), rows["component"].to_numpy()
+    # Sets of one component of a tile are connected to begin with.
+    _, root = np.unique(np.column_stack([tile, component]), axis=0, return_inverse=True)
+    root = root.ravel().tolist()
+    parent = list(range(max(root) + 1))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for left, right in _candidates(rows, percent):
+        for i, j in zip(left.tolist(), right.tolist()):
+            a, b = find(root[i]), find(root[j])
+            if a == b:
+                continue
+            x, y = arrays[i], arrays[j]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                parent[b] = a
+                links.append((ids[i], ids[j]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def jaccard_groups(
@@ -218,10 +258,12 @@ def jaccard_groups(
     id_type = keyed.schema["doc_id"].dataType.simpleString()
     rows = kept(keyed.mapInArrow(
         profiled, f"doc_id {id_type}, key long, set_id long, n long, prefix array<long>, signature binary"
-    ), "rows")
+    ).withColumn("at", F.xxhash64(F.monotonically_increasing_id())), "rows")
     sets = kept(rows.filter("n > 0").groupBy("set_id").agg(
-        F.min("key").alias("key"), F.min("n").alias("n"), F.min("signature").alias("signature")
+        F.min("key").alias("key"), F.min("n").alias("n"), F.min("at").alias("at")
     ), "sets")
+    # One row for each set (and a few more) is marked; copies go no further.
+    first = spark.sparkContext.broadcast(marked(sets, "at", sets.count()))  # 32 MB at most
 
     # Tiles: shingles of a prefix that at least two sets share.
     entries = rows.filter("n > 0").select("set_id", "n", F.explode("prefix").alias("shingle"))
@@ -230,7 +272,8 @@ def jaccard_groups(
     field = spark.sparkContext.broadcast(marked(shared, "shingle", shared.count()))  # 32 MB at most
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            batch = whole.filter(pa.array(may_hold(first.value, whole.column("at").to_numpy())))
             prefix = batch.column("prefix")
             lengths = np.diff(prefix.offsets.to_numpy())
             flat = prefix.flatten().to_numpy()
@@ -242,7 +285,7 @@ def jaccard_groups(
             )
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    entries = rows.filter("n > 0").select("set_id", "n", "prefix").mapInArrow(meeting, "set_id long, n long, shingle long")
+    entries = rows.filter("n > 0").select("set_id", "n", "prefix", "at").mapInArrow(meeting, "set_id long, n long, shingle long")
     entries = kept(entries.join(shared, "shingle").distinct().withColumn("band", band), "entries")
 
     def arrays_of(pairs: DataFrame, name: str) -> DataFrame:
@@ -272,59 +315,75 @@ def jaccard_groups(
             yield batch.loc[may_link(c["na"], c["nb"], c["sa"], c["sb"], percent), ["a", "b"]]
 
     sizes = {x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"}
-    signs = {x: sets.select(F.col("set_id").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"}
 
-    def visiting(component: DataFrame | None) -> DataFrame:
-        """Entries with their components; a set also visits the next band's tile."""
-        named = entries.withColumn("component", F.col("set_id"))
-        if component is not None:
-            named = entries.join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        return named.withColumn("member", F.lit(True)).union(
-            named.withColumns({"band": F.col("band") + 1, "member": F.lit(False)}))
+    # A set also visits the next band's tile. Tiles of the same sets are one tile, and those of one set none.
+    visiting = entries.withColumn("member", F.lit(True)).union(
+        entries.withColumns({"band": F.col("band") + 1, "member": F.lit(False)}).select(*entries.columns, "member"))
+    tiles = visiting.groupBy("shingle", "band").agg(
+        F.count(F.lit(1)).alias("sets"), F.max("member").alias("some"),
+        F.sum(F.xxhash64("set_id", "member").cast("decimal(38,0)")).alias("sum_sets"),
+    ).filter("some and sets > 1")
+    distinct = tiles.groupBy("sum_sets", "sets").agg(F.min(F.struct("shingle", "band")).alias("t"))
+    visiting = kept(visiting.join(distinct.select("t.shingle", "t.band", "sets"), ["shingle", "band"]).select(
+        F.xxhash64("shingle", "band").alias("tile"), "band", "sets", "set_id", "n", "member"), "visiting")
+    met_sets = sets.select("at", "set_id").join(visiting.select("set_id").distinct(), "set_id")
+    signs = kept(rows.select("at", "signature").join(met_sets, "at").select("set_id", "signature"), "signatures")
+    sign = {x: signs.select(F.col("set_id").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"}
+
+    def named(component: DataFrame | None) -> DataFrame:
+        if component is None:
+            return visiting.withColumn("component", F.col("set_id"))
+        return visiting.join(component, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
     # First one set of each component in a tile with the tile's pivots: the sets nearest to some fixed random values, so
-    # tiles of the same sets have the same pivots. A tile has more of them the more sets it holds, up to a fixed number.
+    # tiles of similar sets have the same pivots. A tile has more of them the more sets it holds, up to a fixed number.
     component, links = None, None
     for turn in range(STAR_TURNS):
         rng = np.random.default_rng(turn)
         values = [int(v) for v in rng.integers(-(1 << 63), (1 << 63) - 1, MOST_PIVOTS)]
-        near = [F.min(F.col("set_id").bitwiseXOR(F.lit(v))).bitwiseXOR(F.lit(v)) for v in values]
-        here = visiting(component)
-        pivots = here.groupBy("shingle", "band").agg(
-            F.count(F.lit(1)).alias("sets"), F.max("member").alias("some"), F.min("component").alias("x"),
-            F.max("component").alias("y"), F.array(*near).alias("pivots"),
-        ).filter("some and x <> y").select("shingle", "band", F.array_distinct(F.slice(
-            "pivots", 1, F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("sets") / SETS_PER_PIVOT)).cast("int"))).alias("pivots"))
-        one = here.groupBy("shingle", "band", "component").agg(F.min("set_id").alias("set_id"))
-        stars = one.join(pivots, ["shingle", "band"]).select("set_id", F.explode("pivots").alias("pivot")).filter(
+        near = [
+            F.min(F.when(F.col("sets") > SETS_PER_PIVOT * i, F.col("set_id").bitwiseXOR(F.lit(v)))).bitwiseXOR(F.lit(v))
+            for i, v in enumerate(values)
+        ]
+        here = named(component)
+        pivots = here.groupBy("tile").agg(
+            F.min("component").alias("x"), F.max("component").alias("y"), F.array_distinct(F.array_compact(F.array(*near))).alias("pivots"),
+        ).filter("x <> y").select("tile", "pivots")
+        one = here.groupBy("tile", "component").agg(F.min("set_id").alias("set_id"))
+        stars = one.join(pivots, "tile").select("set_id", F.explode("pivots").alias("pivot")).filter(
             "set_id <> pivot").select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct()
         stars = stars.join(sizes["a"], "a").join(sizes["b"], "b").filter(
             F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb"))
-        stars = stars.join(signs["a"], "a").join(signs["b"], "b").mapInPandas(bounded, "a long, b long")
+        stars = stars.join(sign["a"], "a").join(sign["b"], "b").mapInPandas(bounded, "a long, b long")
         found = verified(kept(stars, f"stars{turn}"), f"stars{turn}_exact")
         links = found if links is None else links.union(found)
         component = kept(connected_components(links).withColumnRenamed("node", "set_id"), f"components{turn}")
 
-    # Then the tiles, among sets that are not connected yet.
-    visiting = visiting(component)
-    tiles = visiting.groupBy("shingle", "band").agg(
-        F.count(F.lit(1)).alias("sets"), F.max("member").alias("some"), F.min("component").alias("x"),
-        F.max("component").alias("y"),
-        F.sum(F.xxhash64("set_id", "member").cast("decimal(38,0)")).alias("sum_sets"),
-    ).filter("some and x <> y")
-    same = tiles.groupBy("sum_sets", "sets").agg(F.min(F.struct("shingle", "band")).alias("t"))  # equal tiles once
-    chosen = same.select("t.shingle", "t.band", F.ceil(F.col("sets") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = visiting.join(chosen, ["shingle", "band"]).withColumn(
-        "block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    # Then the tiles, among sets that are not connected yet: which sets have a candidate there, by signatures, ...
+    here = named(component)
+    mixed_tiles = here.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    array_bytes = F.pow(F.lit(100.0 / percent), F.col("band") + 1) * 8
+    block_rows = F.greatest(F.lit(BLOCK_LEAST), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_BYTES) / array_bytes)))
+    dealt = here.join(mixed_tiles.select("tile"), "tile").withColumn("blocks", F.ceil(F.col("sets") / block_rows).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("shingle", "band", F.least("block", "with"), F.greatest("block", "with")).alias("tile"),
+        F.xxhash64("tile", F.least("block", "with"), F.greatest("block", "with")).alias("tile"),
         "set_id", "n", "component", "member",
         F.when(F.col("block") == F.col("with"), 0).when(F.col("block") < F.col("with"), 1).otherwise(2).alias("side"),
     )
-    dealt = dealt.join(sets.select("set_id", "signature"), "set_id")
-    pairs = dealt.repartition("tile").sortWithinPartitions("tile").mapInPandas(
-        lambda batches: _tiles_compared(batches, percent), "a long, b long")
-    second = verified(kept(pairs.distinct(), "pairs"), "pairs_exact")
+    dealt = dealt.join(signs, "set_id")
+    met = kept(dealt.repartition("tile").sortWithinPartitions("tile").mapInPandas(
+        lambda batches: _by_tile(batches, lambda rows: _with_candidates(rows, percent)),
+        "tile long, set_id long, component long, member boolean, side int",
+    ), "met")
+    # ... and then exactly, with the arrays of those sets at hand; tiles in which the same sets are left are one.
+    left = met.groupBy("tile").agg(
+        F.count(F.lit(1)).alias("sets"), F.sum(F.xxhash64("set_id", "member", "side").cast("decimal(38,0)")).alias("sum_sets")
+    ).groupBy("sum_sets", "sets").agg(F.min("tile").alias("tile")).select("tile")
+    met = met.join(left, "tile")
+    arrays = arrays_of(met.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")), "met")
+    second = kept(met.join(arrays, "set_id").repartition("tile").sortWithinPartitions("tile").mapInPandas(
+        lambda batches: _by_tile(batches, lambda rows: _linked_in_tiles(rows, percent)), "a long, b long"), "second")
 
     final = connected_components(links.union(second)).withColumnRenamed("node", "set_id")
     by_set = rows.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -113,3 +114,54 @@ def test_shingles_and_fields(spark):
     field = marked(values, "v", 1000)
     assert may_hold(field, np.array([r.v for r in values.collect()])).all()
     assert may_hold(field, np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 10_000)).mean() < 0.15
+
+
+def near_copies(many, words=60, changed=5, seed=3):
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for _ in range(many):
+        own = list(base)
+        for at in rnd.sample(range(words), rnd.randrange(changed + 1)):
+            own[at] = f"x{rnd.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_a_large_group_puts_out_rows_with_its_members():
+    """2000 near copies, most pairs just below or above the threshold: neither step makes more rows than there are sets."""
+    texts = near_copies(2000)
+    sets = [h for h in shingle_sets(pa.array(texts), 4)]
+    rows = pd.DataFrame({
+        "tile": 1, "set_id": range(len(sets)), "n": [len(h) for h in sets], "component": range(len(sets)), "member": True,
+        "side": 0, "signature": [jaccard_join.signature(h) for h in sets],
+    })
+    met = jaccard_join._with_candidates(rows, 85)
+    assert len(met) <= len(rows) and met["set_id"].is_unique
+    met = met.assign(hashes=[sets[i].tobytes() for i in met["set_id"]])
+    links = jaccard_join._linked_in_tiles(met, 85)
+    assert 0 < len(links) < len(met)
+    small = near_copies(150, seed=4)
+    sets = [set(h.tolist()) for h in shingle_sets(pa.array(small), 4)]
+    arrays = [h for h in shingle_sets(pa.array(small), 4)]
+    frame = pd.DataFrame({
+        "tile": 1, "set_id": range(150), "component": range(150), "member": True, "side": 0,
+        "hashes": [h.tobytes() for h in arrays],
+    })
+    found = jaccard_join._linked_in_tiles(frame, 85)
+    wanted = [(i, j) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    assert groups(150, found.itertuples(index=False, name=None)) == groups(150, wanted)
+
+
+def groups(many, links):
+    root = list(range(many))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(many)]
