@@ -8,8 +8,14 @@ same words as the published pattern.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from siltbed.llm.worker_memory import remembered
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Fixed values of the published vocabulary: its special token and that token's identifier.
@@ -34,6 +40,26 @@ class ByteEncoder:
             ranks, pat_str=WORDS, mergeable_ranks=table, special_tokens={SPECIAL: SPECIAL_ID}
         )
 
+    def count(self, text: str) -> int:
+        return len(self.encoding.encode(text, allowed_special="all", disallowed_special=()))
+
     def __call__(self, text: str) -> np.ndarray:
         """Special strings inside the text become the special identifier, as the library does by default."""
         return np.array(self.encoding.encode(text, allowed_special="all", disallowed_special=()), np.uint32)
+
+
+def byte_encoder(ranks: str = RANKS) -> ByteEncoder:
+    """Read once by each worker."""
+    return remembered("byte encoders", ranks, lambda: ByteEncoder(ranks))
+
+
+def byte_token_counts(text: Column, ranks: str = RANKS) -> Column:
+    """Tokens of each whole text; a null or empty one has none."""
+
+    @F.pandas_udf("long")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = byte_encoder(ranks).count
+        for texts in batches:
+            yield pd.Series([count(t) if t else 0 for t in texts], dtype="int64")
+
+    return counted(text)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltbed.llm.batches import BATCH_BYTES
-from siltbed.llm.byte_bpe import RANKS, VOCABULARY_SIZE, ByteEncoder
+from siltbed.llm.byte_bpe import RANKS, VOCABULARY_SIZE, byte_encoder
 from siltbed.session import scratch_path
 
 WINDOW = 1024
@@ -178,7 +178,7 @@ def encoded(docs: DataFrame, ranks: str, window: int) -> DataFrame:
     with the number of documents of each term."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, task, sequences = ByteEncoder(ranks), TaskContext.get().partitionId(), 0
+        ids_of, task, sequences = byte_encoder(ranks), TaskContext.get().partitionId(), 0
         frequencies = np.zeros(VOCABULARY_SIZE, np.int64)
         for batch in batches:
             sizes, crcs, firsts, rests = [], [], [], []

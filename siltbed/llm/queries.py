@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from siltbed.llm import html_extraction, merkle_sql, toxicity
 from siltbed.llm.bpe_codec import encoding_digests
+from siltbed.llm.byte_bpe import byte_token_counts
 from siltbed.llm.embedding_dedup import near_duplicates
 from siltbed.llm.embedding_whitening import whitened
 from siltbed.llm.jaccard_join import jaccard_components
 from siltbed.llm.lexical_packing import lexically_packed
 from siltbed.llm.merkle_manifest import leaf_hash, manifest
-from siltbed.llm.packing import packed, token_estimate
+from siltbed.llm.packing import packed
 from siltbed.llm.quality_rules import judged
 from siltbed.llm.sharding import sharded
 from siltbed.llm.suffix_dedup import without_repeats
@@ -84,7 +85,7 @@ def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(documents(spark, sf_dir), token_estimate(F.col("text")))
+    return packed(documents(spark, sf_dir), byte_token_counts(F.col("text")))
 
 
 @query("op2_ngram_jaccard_join")

@@ -1,9 +1,16 @@
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from siltbed.llm.packing import best_fit, best_packing, cost, packed, token_estimate
+from siltbed.llm.byte_bpe import byte_token_counts
+from siltbed.llm.packing import best_fit, best_packing, cost, downsized, packed, token_estimate
+from siltbed.llm.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def one_by_one(lengths, capacity):
@@ -72,6 +79,37 @@ def test_every_piece_has_its_place(spark):
     check(packed(docs, F.col("n"), capacities=(32, 64, 128)).collect(), wanted, (32, 64, 128))
 
 
+def test_registered_query_packs_the_tokens_of_the_library(spark):
+    rows = QUERIES["op1_best_fit_packing"](spark, SMALL).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    counts = [len(e.ids) for e in library.encode_batch([r.text or "" for r in docs], add_special_tokens=False)]
+    check(rows, Counter({r.doc_id: n for r, n in zip(docs, counts)}), (512, 1024, 2048, 4096, 8192))
+
+
+def test_token_counts_of_odd_texts(spark):
+    texts = [None, "", "a", "<|endoftext|>", "é" * 5, " " * 3000]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    wanted = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert [r.n for r in frame.select(byte_token_counts(F.col("text")).alias("n")).collect()] == wanted
+
+
+def test_the_joint_choice_is_the_cheapest_of_all_choices():
+    """Every choice of permitted lengths, packed piece by piece, against the choice made."""
+    rnd = random.Random(9)
+    for _ in range(15):
+        lengths = [1 + int(rnd.expovariate(1 / 20)) % 64 for _ in range(rnd.randrange(1, 120))]
+        totals = []
+        for many in range(3):
+            for others in combinations((8, 16, 32), many + 1):
+                rooms = downsized(best_fit(Counter(lengths), (*others, 64)), (8, 16, 32, 64))
+                totals.append(sum(b.count * cost(b.capacity) for b in rooms))
+        chosen = sum(b.count * cost(b.capacity) for b in best_packing(Counter(lengths), (8, 16, 32, 64)))
+        if max(lengths) > 32:
+            assert chosen <= min(totals) + 1e-9
+
+
 def test_texts_and_empty_table(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "Eins, zwei 3!"), (4, "w " * 30_000)], "doc_id long, text string")
     rows = packed(docs, token_estimate(F.col("text"))).collect()
