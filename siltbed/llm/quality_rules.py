@@ -1,11 +1,13 @@
 """Risk-controlled quality rules with DataFrame functions only.
 
-Rules reject a text whose measure exceeds a cutoff. In each stratum (language) the labelled good texts are a holdout of
-n rows: if a cutoff rejects at most k of them, the true share of good texts it rejects is at most ALPHA with confidence
-1 - DELTA as long as the binomial probability of k or fewer out of n at ALPHA is at most DELTA. The largest such k is
-summed exactly, and the cutoff is the (k+1)-th largest measure among all labelled good texts. Both levels are divided among all
-rules (and the confidence among all strata), so that all rules together reject at most MAX_FALSE_REJECTION of the good
-texts of any stratum with confidence 1 - ERROR. Where the holdout is too small for any k, a rule rejects nothing.
+Rules reject a text whose measure exceeds a cutoff. In each stratum (language) the labelled good texts are split by a hash of
+their id. One part, with the bad texts, gives a family of joint cutoffs for all rules, from lax to strict: at each level a
+rule may reject so many of these good texts, in proportion to the share of bad texts that it catches beyond its part of good
+ones. The other part is the holdout: levels are tested on it in that fixed order, and a level passes while the holdout texts that any rule
+rejects are at most k, where k or fewer out of n has binomial probability at most DELTA if the true share of good texts
+rejected were MAX_FALSE_REJECTION. Testing in a fixed order needs no division among levels or rules; the error is divided among
+strata only. So all rules together reject at most MAX_FALSE_REJECTION of the good texts of any stratum with confidence
+1 - ERROR, and some 150 holdout texts suffice for a first level. Where the holdout is smaller, no rule rejects anything.
 """
 
 from __future__ import annotations
@@ -17,8 +19,14 @@ from siltbed.session import scratch_path
 
 MAX_FALSE_REJECTION = 0.03
 ERROR = 0.05
-#: Bins of one unit of a measure, in which the place of a cutoff is counted first.
-BINS = 4096
+#: Cutoffs lie between bins: so many to one unit of a measure, up to the largest measure that is told from larger ones.
+BINS, LARGEST = 1024, 64
+#: Levels of the family, and the share of tuning texts that rules reject at the strictest, each counted for itself.
+LEVELS, STRICTEST = 64, 2 * MAX_FALSE_REJECTION
+#: Part of the good texts that the family is made from, of HASH_PARTS.
+HASH_PARTS, TUNING_PARTS = 3, 1
+#: Good ids up to this number are broadcast (16 bytes each), so that only labelled texts are measured for the cutoffs.
+MOST_BROADCAST_IDS = 1_000_000
 #: Fixed values of the base rules.
 MIN_WORDS = 50
 SPACE = r"[\x20\x09-\x0D]"
@@ -118,45 +126,87 @@ def allowed_rejections(n: Column, alpha: float, delta: Column) -> Column:
     return let(least, summed)
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """One row per stratum of the holdout: its name, n_good, allowed and the cutoff of each rule (null: no cutoff).
+def measure_bin(value: Column) -> Column:
+    return F.floor(F.greatest(F.lit(-float(LARGEST)), F.least(F.lit(float(LARGEST)), value)) * BINS).cast("long")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
+    """Measured labelled texts: doc_id, stratum, role (tune, hold or bad) and the measure of each rule.
 
-    All labelled rows count; repeated labels of one id count as bad if any of them is. Rows whose label or id is null are
-    left out. A cutoff is found by counts in bins, then by counts of the values of the one bin it lies in.
+    Repeated labels of one id count as bad if any of them is. Rows whose label or id is null are left out. Few labelled ids
+    are broadcast, so that no other text is measured; beyond that all are, and measures move instead of texts.
     """
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    good = known.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    held = docs.select("doc_id", "text", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"))
-    # Measured before the join, so that measures move and texts don't; written, so that texts are measured once.
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.min("quality").alias("q"))
     path = scratch_path(docs.sparkSession, "quality")
-    measured(held, ["doc_id", "stratum"]).select("doc_id", "stratum", *RULES).join(good, "doc_id").drop("doc_id").write.parquet(path)
-    holdout = docs.sparkSession.read.parquet(path)
-    alpha = MAX_FALSE_REJECTION / len(RULES)
-    per_stratum = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"))
-    strata = per_stratum.agg(F.count(F.lit(1)).alias("strata"))  # one row
-    per_stratum = per_stratum.crossJoin(F.broadcast(strata)).withColumn(
-        "allowed", allowed_rejections(F.col("n_good"), alpha, F.lit(ERROR) / (len(RULES) * F.col("strata")))
-    ).select("stratum", "n_good", "allowed")
-    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES]))
-    values = holdout.select("stratum", pairs.alias("pair")).select(
-        "stratum", "pair.rule", "pair.value", F.floor(F.col("pair.value") * BINS).alias("bin"))
-
-    def reached(counts: DataFrame, place: str, wanted: Column) -> DataFrame:
-        """The place, counted from the largest, in which the wanted number is reached, and the number above it."""
-        order = Window.partitionBy("stratum", "rule").orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, 0)
-        upto = counts.withColumn("upto", F.sum("m").over(order))
-        return upto.filter((F.col("upto") >= wanted) & (F.col("upto") - F.col("m") < wanted))
-
-    bins = values.groupBy("stratum", "rule", "bin").agg(F.count(F.lit(1)).alias("m"))
-    limits = F.broadcast(per_stratum.filter("allowed >= 0").select("stratum", "allowed"))  # one row per stratum
-    bins = reached(bins.join(limits, "stratum"), "bin", F.col("allowed") + 1).select(
-        "stratum", "rule", "bin", (F.col("allowed") + 1 - (F.col("upto") - F.col("m"))).alias("rank"))
-    # One row per stratum and rule.
-    within = values.join(F.broadcast(bins), ["stratum", "rule", "bin"]).groupBy("stratum", "rule", "rank", "value").agg(
-        F.count(F.lit(1)).alias("m"))
-    cuts = reached(within, "value", F.col("rank")).groupBy("stratum").agg(
-        *[F.max(F.when(F.col("rule") == r, F.col("value"))).alias(f"cut_{r}") for r in RULES])
-    return per_stratum.join(cuts, "stratum", "left")
+    known.write.parquet(f"{path}/labels")
+    known = docs.sparkSession.read.parquet(f"{path}/labels")
+    held = docs.select("doc_id", "text", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"))
+    if known.count() <= MOST_BROADCAST_IDS:
+        rows = measured(held.join(F.broadcast(known), "doc_id"), ["doc_id", "stratum", "q"])
+    else:
+        rows = measured(held, ["doc_id", "stratum"]).join(known, "doc_id")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(HASH_PARTS))
+    role = F.when(F.col("q") != 1, "bad").when(part < TUNING_PARTS, "tune").otherwise("hold")
+    rows.select("doc_id", "stratum", role.alias("role"), *RULES).write.parquet(f"{path}/measures")
+    return docs.sparkSession.read.parquet(f"{path}/measures")
+
+
+def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """One row per stratum with a good label: its name, n_good, n_hold, allowed, level (null: none passed) and the first bin
+    that each rule rejects (null: none).
+
+    All labelled rows count, as numbers in bins; rows of one text measure alike, so ties fall together. In a stratum without
+    bad labels all rules have the same weight.
+    """
+    rows = labelled(docs, labels, stratum)
+    of = {role: F.count_if(F.col("role") == role).alias(f"n_{role}") for role in ("tune", "hold", "bad")}
+    strata = rows.groupBy("stratum").agg(*of.values()).filter("n_tune + n_hold > 0")
+    several = strata.agg(F.count(F.lit(1)).alias("strata"))  # one row
+    strata = strata.crossJoin(F.broadcast(several)).withColumn("allowed", allowed_rejections(
+        F.col("n_hold"), MAX_FALSE_REJECTION, F.lit(ERROR) / F.col("strata"))).drop("strata")
+
+    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), measure_bin(F.col(r)).alias("bin")) for r in RULES]))
+    pairs = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "stratum", "role", pairs.alias("pair")).select(
+        "row", "stratum", "role", "pair.rule", "pair.bin")
+    counts = pairs.groupBy("stratum", "rule", "bin").agg(
+        F.count_if(F.col("role") == "tune").alias("tune"), F.count_if(F.col("role") == "bad").alias("bad"))
+    from_top = Window.partitionBy("stratum", "rule").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumns({"above": F.sum("tune").over(from_top), "caught": F.sum("bad").over(from_top)})
+
+    # What a rule catches of the bad texts while it rejects no more than its limit of good ones, beyond as many.
+    within = counts.join(strata, "stratum")
+    lift = F.max(F.when(F.col("above") <= F.floor(F.col("n_tune") * MAX_FALSE_REJECTION), F.col("caught")))
+    rule = Window.partitionBy("stratum")
+    weights = within.groupBy("stratum", "rule", "n_bad").agg(lift.alias("caught")).withColumn("lift", F.when(
+        F.col("n_bad") == 0, 1.0).otherwise(F.greatest(
+            F.lit(0.0), F.coalesce(F.col("caught"), F.lit(0)) / F.col("n_bad") - MAX_FALSE_REJECTION)))
+    weights = weights.select("stratum", "rule", F.try_divide("lift", F.sum("lift").over(rule)).alias("weight"))
+    # The first level at which a rule rejects a bin: enough of its good texts may go.
+    unit = F.col("weight") * F.col("n_tune") * F.lit(STRICTEST / LEVELS)
+    first = F.when(F.col("weight") > 0, F.when(F.col("above") == 0, 0).otherwise(F.ceil(F.col("above") / unit - 1e-9)))
+    levels = within.join(weights, ["stratum", "rule"]).select(
+        "stratum", "rule", "bin", "tune", F.when(first <= LEVELS, first).cast("long").alias("level"))
+
+    # The holdout by the first level that rejects a text, and the last level that passes.
+    reached = pairs.filter("role = 'hold'").join(levels.filter("level is not null"), ["stratum", "rule", "bin"]).groupBy(
+        "stratum", "row").agg(F.min("level").alias("level"))
+    upto = Window.partitionBy("stratum").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    rejected = reached.groupBy("stratum", "level").agg(F.count(F.lit(1)).alias("m")).withColumn("rejected", F.sum("m").over(upto))
+    failed = rejected.join(strata.select("stratum", "allowed"), "stratum").filter("rejected > allowed").groupBy("stratum").agg(
+        F.min("level").alias("failed"))
+    passed = F.when(F.col("allowed") >= 0, F.coalesce(F.col("failed") - 1, F.lit(LEVELS).cast("long")))
+    chosen = strata.join(failed, "stratum", "left").withColumn("level", F.when(passed >= 0, passed))
+
+    # A rule begins to reject above the largest bin of a tuning text that it may not reject yet.
+    spared = levels.filter("tune > 0").join(chosen.select("stratum", F.col("level").alias("most")), "stratum").filter(
+        "most is not null and (level is null or level > most)")
+    spared = spared.join(weights.filter("weight > 0").select("stratum", "rule"), ["stratum", "rule"])
+    cuts = spared.groupBy("stratum").agg(
+        *[(F.max(F.when(F.col("rule") == r, F.col("bin"))) + 1).alias(f"cut_{r}") for r in RULES])
+    return chosen.select(
+        "stratum", (F.col("n_tune") + F.col("n_hold")).alias("n_good"), "n_hold", "allowed", "level"
+    ).join(cuts, "stratum", "left")
 
 
 def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, stratum: str = "lang") -> DataFrame:
@@ -164,17 +214,18 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, st
 
     Columns of the same name are replaced. Null and empty texts have no words and fail the base rules; a null or unseen
     stratum has the empty name or no cutoffs and is judged by the base rules alone; repeated rows are judged each; with
-    no labels only the base rules hold. Texts are read twice (for the cutoffs, then all) and never shuffled.
+    no labels only the base rules hold. Texts are read twice (labelled ones for the cutoffs, then all) and never shuffled.
     """
     keep = list(docs.columns if keep is None else keep)
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals",
             "base_failed", "rejected_by", "kept", *RULES}
     keep = [c for c in keep if c not in made]
-    # One row per stratum.
-    limits = F.broadcast(cutoffs(docs, labels, stratum).withColumnRenamed("stratum", "__stratum"))
+    path = scratch_path(docs.sparkSession, "cutoffs")
+    cutoffs(docs, labels, stratum).withColumnRenamed("stratum", "__stratum").write.parquet(path)
+    limits = docs.sparkSession.read.parquet(path)  # one row per stratum; Spark knows its size
     frame = docs.withColumn("__stratum", F.coalesce(F.col(stratum), F.lit("")))
     out = measured(frame, [*keep, "__stratum"]).join(limits, "__stratum", "left")
-    verdicts = [F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]
+    verdicts = [F.when(measure_bin(F.col(r)) >= F.col(f"cut_{r}"), F.lit(r)) for r in RULES]
     out = out.withColumn("rejected_by", F.array_compact(F.array(*verdicts)))
     return out.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by",
