@@ -45,6 +45,19 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("n", "endpoint", "page_no", "n_records", body.alias("body"))
 
 
+def with_pages_behind_the_end(pages: DataFrame) -> DataFrame:
+    """Event pages and what a server may answer beyond an endpoint's end, none of which may be landed: behind a short page
+    another page of records, behind a full one an empty page and then records again."""
+    ends = pages.groupBy("endpoint").agg(F.max("page_no").alias("last"), F.min("n_records").alias("least"))
+    again = pages.filter("page_no = 1").join(ends, "endpoint")
+    short = F.col("least") < PAGE_ROWS
+    behind = again.withColumn("page_no", (F.col("last") + F.when(short, 1).otherwise(2)).cast("int"))
+    empty = again.filter(~short).withColumns({
+        "page_no": (F.col("last") + 1).cast("int"), "n_records": F.lit(0), "body": F.lit('{"data":[]}')
+    })
+    return pages.unionByName(behind.select(*pages.columns)).unionByName(empty.select(*pages.columns))
+
+
 def event_rows(records: DataFrame) -> DataFrame:
     return records.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 

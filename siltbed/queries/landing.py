@@ -208,13 +208,16 @@ def rest_cursor_chain(spark, sf_dir):
 
 @query("rest_page_stop", "SELECT *, (event_id // 1000 + 1)::INTEGER AS page_no FROM events")
 def rest_page_stop(spark, sf_dir):
-    """Numbered pages fetched in parallel ranges that reach beyond the last page."""
+    """Numbered pages fetched in parallel ranges that reach beyond the last page, where an empty page comes before others."""
     root = scratch_path(spark, "rest-page")
     pages = fixtures.event_pages(spark, sf_dir).select(
         (F.col("n") + 1).alias("page"), F.lit(fixtures.PAGE_ROWS).alias("page_size"), F.col("body").alias("value")
     )
-    fixtures.write_text(pages, root, "page", "page_size")
     last = pages.agg(F.max("page")).first()[0]
+    behind = pages.filter("page <= 2").withColumns({
+        "value": F.when(F.col("page") == 1, '{"data":[]}').otherwise(F.col("value")), "page": F.col("page") + last
+    })
+    fixtures.write_text(pages.union(behind.select(*pages.columns)), root, "page", "page_size")
     uri = fixtures.as_uri(storage.qualified(spark, root))
     request = rest.RestOptions(
         uri, "data", "page", page_size=fixtures.PAGE_ROWS, max_pages=last + 20, parallelism=8
@@ -229,7 +232,7 @@ def rest_page_stop(spark, sf_dir):
 def rest_offset_windows(spark, sf_dir):
     """Offset pages at multiples of the page size stay valid up to the first short page of their endpoint."""
     landed = scratch_path(spark, "rest-pages")
-    fixtures.event_pages(spark, sf_dir).write.parquet(landed)
+    fixtures.with_pages_behind_the_end(fixtures.event_pages(spark, sf_dir)).write.parquet(landed)
     kept = rest.full_until_short(spark.read.parquet(landed), fixtures.PAGE_ROWS)
     return fixtures.event_rows(rest.flatten_records(kept, fixtures.EVENT_SCHEMA, "data"))
 
