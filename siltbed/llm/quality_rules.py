@@ -1,9 +1,9 @@
 """Risk-controlled quality rules with DataFrame functions only.
 
 Rules reject a text whose measure exceeds a cutoff. In each stratum (language) the labelled good texts are split by a hash of
-their id. One part, with the bad texts, gives a family of joint cutoffs for all rules, from lax to strict: at each level a
-rule may reject so many of these good texts, in proportion to the share of bad texts that it catches beyond its part of good
-ones. The other part is the holdout: levels are tested on it in that fixed order, and a level passes while the holdout texts that any rule
+their id. One part, with the bad texts, gives a family of joint cutoffs for all rules, from lax to strict. Rules join in the order of
+the share of bad texts that they catch beyond their part of good ones, each rejecting no good text of this part at first; then, level
+by level, each may reject more of them in proportion to that share. The other part is the holdout: levels are tested on it in that fixed order, and a level passes while the holdout texts that any rule
 rejects are at most k, where k or fewer out of n has binomial probability at most DELTA if the true share of good texts
 rejected were MAX_FALSE_REJECTION. Testing in a fixed order needs no division among levels or rules; the error is divided among
 strata only. So all rules together reject at most MAX_FALSE_REJECTION of the good texts of any stratum with confidence
@@ -181,12 +181,15 @@ def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFr
     weights = within.groupBy("stratum", "rule", "n_bad").agg(lift.alias("caught")).withColumn("lift", F.when(
         F.col("n_bad") == 0, 1.0).otherwise(F.greatest(
             F.lit(0.0), F.coalesce(F.col("caught"), F.lit(0)) / F.col("n_bad") - MAX_FALSE_REJECTION)))
-    weights = weights.select("stratum", "rule", F.try_divide("lift", F.sum("lift").over(rule)).alias("weight"))
-    # The first level at which a rule rejects a bin: enough of its good texts may go.
+    weights = weights.filter("lift > 0").select(
+        "stratum", "rule", (F.col("lift") / F.sum("lift").over(rule)).alias("weight"),
+        (F.row_number().over(rule.orderBy(F.desc("lift"), "rule")) - 1).alias("joins"), F.count(F.lit(1)).over(rule).alias("several"),
+    )
+    # The first level at which a rule rejects a bin: it has joined, and enough of its good texts may go.
     unit = F.col("weight") * F.col("n_tune") * F.lit(STRICTEST / LEVELS)
-    first = F.when(F.col("weight") > 0, F.when(F.col("above") == 0, 0).otherwise(F.ceil(F.col("above") / unit - 1e-9)))
-    levels = within.join(weights, ["stratum", "rule"]).select(
-        "stratum", "rule", "bin", "tune", F.when(first <= LEVELS, first).cast("long").alias("level"))
+    more = F.ceil(F.col("above") / unit - 1e-9)
+    first = F.when(F.col("above") == 0, F.col("joins")).when(more <= LEVELS, F.col("several") - 1 + more)
+    levels = within.join(weights, ["stratum", "rule"]).select("stratum", "rule", "bin", "tune", first.cast("long").alias("level"))
 
     # The holdout by the first level that rejects a text, and the last level that passes.
     reached = pairs.filter("role = 'hold'").join(levels.filter("level is not null"), ["stratum", "rule", "bin"]).groupBy(
@@ -195,13 +198,14 @@ def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFr
     rejected = reached.groupBy("stratum", "level").agg(F.count(F.lit(1)).alias("m")).withColumn("rejected", F.sum("m").over(upto))
     failed = rejected.join(strata.select("stratum", "allowed"), "stratum").filter("rejected > allowed").groupBy("stratum").agg(
         F.min("level").alias("failed"))
-    passed = F.when(F.col("allowed") >= 0, F.coalesce(F.col("failed") - 1, F.lit(LEVELS).cast("long")))
-    chosen = strata.join(failed, "stratum", "left").withColumn("level", F.when(passed >= 0, passed))
+    passed = F.when(F.col("allowed") >= 0, F.coalesce(F.col("failed") - 1, F.col("strictest")))
+    strictest = weights.groupBy("stratum").agg((F.max("several") - 1 + LEVELS).alias("strictest"))
+    chosen = strata.join(failed, "stratum", "left").join(strictest, "stratum", "left").withColumn("level", F.when(passed >= 0, passed))
 
     # A rule begins to reject above the largest bin of a tuning text that it may not reject yet.
     spared = levels.filter("tune > 0").join(chosen.select("stratum", F.col("level").alias("most")), "stratum").filter(
         "most is not null and (level is null or level > most)")
-    spared = spared.join(weights.filter("weight > 0").select("stratum", "rule"), ["stratum", "rule"])
+    spared = spared.join(weights.select("stratum", "rule", "joins"), ["stratum", "rule"]).filter("joins <= most")
     cuts = spared.groupBy("stratum").agg(
         *[(F.max(F.when(F.col("rule") == r, F.col("bin"))) + 1).alias(f"cut_{r}") for r in RULES])
     return chosen.select(

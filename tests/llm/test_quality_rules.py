@@ -108,13 +108,16 @@ def brute_cutoffs(rows, strata):
         caught = sum(bin_of(r[rule]) >= first_bin(rule, limit) for r in bad)
         lift[rule] = max(0.0, caught / len(bad) - 0.03) if bad else 1.0
     weight = {rule: lift[rule] / sum(lift.values()) if sum(lift.values()) else 0.0 for rule in RULES}
+    joining = sorted((rule for rule in RULES if weight[rule]), key=lambda rule: (-lift[rule], rule))
     allowed = -1
     while binom_below(len(hold), 0.03, allowed + 1) <= 0.05 / strata:
         allowed += 1
     best = (None, {rule: None for rule in RULES})
-    for level in range(65):
+    for level in range(64 + len(joining)):
+        more = max(0, level - len(joining) + 1)
         cut = {
-            rule: first_bin(rule, floor(level * (weight[rule] * len(tune) * (0.06 / 64)) + 1e-9)) if weight[rule] else None
+            rule: first_bin(rule, floor(more * (weight[rule] * len(tune) * (0.06 / 64)) + 1e-9))
+            if rule in joining[:level + 1] else None
             for rule in RULES
         }
         if len(rejecting(hold, {f"cut_{k}": v for k, v in cut.items()})) > allowed:
