@@ -217,3 +217,24 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -
     empty = F.array().cast(spans.schema["spans"].dataType)
     return out[0].union(out[1]).withColumn("kept_bytes", cut_out(F.col(text), "spans")).withColumn(
         "spans", F.coalesce("spans", empty))
+
+
+@F.pandas_udf(T.StringType())
+def whole_characters(data: pd.Series) -> pd.Series:
+    """Text of bytes that may begin or end inside a character; such remains are left out."""
+    return data.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
+
+
+def repeats_cut(docs: DataFrame, length: int, text: str = "text", size: str = "n_chars") -> DataFrame:
+    """``docs`` with the same columns, their texts without the repeated passages; ``size``, where it is a column, follows.
+
+    Every occurrence of a passage goes, none is kept as the first. Texts without one stay as they are, null ones too.
+    """
+    rest = without_repeats(docs.select(F.struct("*").alias("doc"), F.col(text).alias("text")), length=length)
+    rest = rest.select("doc", F.when(F.size("spans") > 0, whole_characters("kept_bytes")).otherwise(F.col("text")).alias("text"))
+    columns = [
+        F.col("text").alias(c) if c == text else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == size
+        else F.col("doc").getField(c).alias(c)
+        for c in docs.columns
+    ]
+    return rest.select(*columns)
