@@ -9,15 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltbed.llm import quality_rules, toxicity
+from siltbed.llm.byte_bpe import byte_token_counts
 from siltbed.llm.jaccard_join import one_of_each_group
-from siltbed.llm.packing import packed, token_estimate
-from siltbed.llm.suffix_dedup import without_repeats
+from siltbed.llm.packing import packed
+from siltbed.llm.suffix_dedup import repeats_cut
 from siltbed.session import scratch_path
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -47,29 +46,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return one_of_each_group(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
-@F.pandas_udf(T.StringType())
-def whole_characters(data: pd.Series) -> pd.Series:
-    """Text of bytes that may begin or end inside a character; such remains are left out."""
-    return data.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
-
-
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that also stand elsewhere; what is left of a text stays, be it empty."""
-    body = docs.select(F.struct("*").alias("doc"), "text")
-    rest = without_repeats(body, length=REPEATED_BYTES)
-    text = F.when(F.size("spans") > 0, whole_characters("kept_bytes")).otherwise(F.col("text"))
-    rest = rest.select("doc", text.alias("text"))
-    columns = [
-        F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
-        else F.col("doc").getField(c).alias(c)
-        for c in docs.columns
-    ]
-    return rest.select(*columns)
+    """Documents without the passages that also stand elsewhere, each occurrence of them; what is left of a text stays, be it
+    empty."""
+    return repeats_cut(docs, REPEATED_BYTES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document is packed."""
-    return packed(docs, token_estimate(F.col("text")))
+    return packed(docs, byte_token_counts(F.col("text")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
