@@ -5,9 +5,12 @@ The current state of a run is its event with the highest ``seq``.
 
 from __future__ import annotations
 
+import io
+import uuid
 from datetime import datetime
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +38,14 @@ AUDIT_LIMITS = (1, 200)
 
 
 def append(spark: SparkSession, path: str, event: dict, ddl: str = LEDGER_SCHEMA) -> None:
-    """Add one event as one small file; times must carry a zone."""
-    schema = T.StructType.fromDDL(ddl)
-    row = pa.Table.from_pylist([event], schema=to_arrow_schema(schema))
-    spark.createDataFrame(row, schema).write.mode("append").parquet(path)
+    """Add one event as one small file, visible as a whole or not at all; times must carry a zone.
+
+    One row of metadata needs no job: it is written where the caller runs, through the file system Spark uses.
+    """
+    row = pa.Table.from_pylist([event], schema=to_arrow_schema(T.StructType.fromDDL(ddl)))
+    data = io.BytesIO()
+    pq.write_table(row, data)
+    storage.publish(spark, path, f"event-{event['seq']}-{uuid.uuid4().hex}.parquet", data.getvalue())
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

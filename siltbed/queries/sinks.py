@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from siltbed import extensions, storage
 from siltbed.plans.runner import RunResult, run_extract, run_pipeline
-from siltbed.plans.spec import PipelineSpec
+from siltbed.plans.spec import BackfillWindow, PipelineSpec
+from siltbed.queries.fixtures import EVENT_SCHEMA, as_uri, event_rows
 from siltbed.queries.registry import query
 from siltbed.queries.views import context, table
 from siltbed.session import scratch_path
@@ -128,3 +129,74 @@ def full_refresh_same_run(spark, sf_dir):
         spec = PipelineSpec("customer", "bronze/customer", source=name)
         _succeeded(run_pipeline(spark, spec, context(run_id="job-1"), ledger_path, root))
     return parquet.read_landed(spark, f"{root}bronze/customer")
+
+
+def _table_sink(root: str) -> str:
+    """A sink of Parquet files that tasks write aside and that are renamed into view when the run commits."""
+
+    def store():
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(as_uri(root))
+
+    def write(path, part, batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        files, base = store()
+        name = f"{base}/_waiting/part-{part:05d}.parquet"
+        files.create_dir(f"{base}/_waiting")
+        if batches := list(batches):
+            with files.open_output_stream(name) as out:
+                pq.write_table(pa.Table.from_batches(batches), out)
+        return name if batches else None
+
+    def commit(path, names):
+        files, base = store()
+        for name in filter(None, names):
+            files.move(name, f"{base}/{name.rsplit('/', 1)[-1]}")
+
+    def abort(path, names):
+        files, _ = store()
+        for name in filter(None, names):
+            files.delete_file(name)
+
+    extensions.gated_sink("parquet_table", write, commit, abort)
+    return root
+
+
+@query("gated_sink_commit", "SELECT * FROM customer")
+def gated_sink_commit(spark, sf_dir):
+    """A run whose gate fails aborts and shows nothing; the next one commits."""
+    root, ledger_path = _root(spark)
+    extensions.source("customer_all", _table_source(sf_dir, "customer"))
+    shown = _table_sink(storage.qualified(spark, scratch_path(spark, "table")))
+    for least, wanted in ((10**15, "failed"), (1, "success")):
+        spec = PipelineSpec("customer", "bronze/c", source="customer_all", sink="parquet_table", min_rows_expected=least)
+        result = run_pipeline(spark, spec, context(), ledger_path, root)
+        if result.status != wanted:
+            raise RuntimeError(f"run ended as {result.status}: {result.error}")
+        if wanted == "failed" and any(storage.iter_files(spark, shown)):
+            raise RuntimeError("an aborted run left files")
+    return spark.read.parquet(shown)
+
+
+@query("landing_claims", "SELECT * FROM events")
+def landing_claims(spark, sf_dir):
+    """Two drops of files: a run that fails gives its files back, and no file is landed by two runs."""
+    root, ledger_path = _root(spark)
+    drop = scratch_path(spark, "drop")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    options = {"paths": (drop,), "parser": "json", "schema": EVENT_SCHEMA, "manifest": f"{root}manifest"}
+    runs = (("ts < '2024-01-16'", 10**15, "failed"), (None, 1, "success"), ("ts >= '2024-01-16'", 1, "success"), (None, 0, "success"))
+    for part, least, wanted in runs:
+        if part:
+            events.filter(part).write.mode("append").json(drop)
+        spec = PipelineSpec(
+            "events", "bronze/events", source="files", source_options=options, extraction_mode="incremental",
+            incremental_key="ts", min_rows_expected=least,
+        )
+        result = run_pipeline(spark, spec, context(), ledger_path, root, BackfillWindow("1900-01-01", "2100-01-01"))
+        if result.status != wanted:
+            raise RuntimeError(f"run ended as {result.status}: {result.error}")
+    return event_rows(parquet.read_landed(spark, f"{root}bronze/events"))

@@ -134,15 +134,28 @@ def delete_files(spark: SparkSession, paths: Iterable[str]) -> int:
     return in_parallel(remove, paths)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs, p = _open(spark, path)
     stream = fs.create(p, True)
     try:
-        stream.write(bytearray(text, "utf-8"))
+        stream.write(bytearray(data))
     finally:
         stream.close()
 
 
+def publish(spark: SparkSession, folder: str, name: str, data: bytes) -> None:
+    """Write a file aside and rename it, so that readers see all of it or nothing."""
+    hidden = f"{folder}/_{name}"
+    write_bytes(spark, hidden, data)
+    fs, p = _open(spark, hidden)
+    if not fs.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")):
+        raise OSError(f"cannot write {folder}/{name}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode("utf-8"))
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _open(spark, path)
     stream = fs.open(p)
