@@ -320,11 +320,13 @@ def jaccard_groups(
     visiting = entries.withColumn("member", F.lit(True)).union(
         entries.withColumns({"band": F.col("band") + 1, "member": F.lit(False)}).select(*entries.columns, "member"))
     tiles = visiting.groupBy("shingle", "band").agg(
-        F.count(F.lit(1)).alias("sets"), F.max("member").alias("some"),
+        F.count(F.lit(1)).alias("sets"), F.min(F.when(F.col("member"), F.col("n"))).alias("least"),
         F.sum(F.xxhash64("set_id", "member").cast("decimal(38,0)")).alias("sum_sets"),
-    ).filter("some and sets > 1")
-    distinct = tiles.groupBy("sum_sets", "sets").agg(F.min(F.struct("shingle", "band")).alias("t"))
-    visiting = kept(visiting.join(distinct.select("t.shingle", "t.band", "sets"), ["shingle", "band"]).select(
+    ).filter("least is not null and sets > 1")
+    distinct = tiles.groupBy("sum_sets", "sets").agg(F.min(F.struct("shingle", "band", "least")).alias("t"))
+    # Visitors too small for the smallest member link with none.
+    reach = F.col("member") | (F.col("n") * 100 >= percent * F.col("least"))
+    visiting = kept(visiting.join(distinct.select("t.*", "sets"), ["shingle", "band"]).filter(reach).select(
         F.xxhash64("shingle", "band").alias("tile"), "band", "sets", "set_id", "n", "member"), "visiting")
     met_sets = sets.select("at", "set_id").join(visiting.select("set_id").distinct(), "set_id")
     signs = kept(rows.select("at", "signature").join(met_sets, "at").select("set_id", "signature"), "signatures")
