@@ -68,6 +68,16 @@ def write_text(lines: DataFrame, path: str, *parts: str) -> str:
     return path
 
 
+def write_drop(rows: DataFrame, path: str, kind: str, **options: str) -> str:
+    """The folder of a drop of files, added to on repeated calls and missing as long as no row has come.
+
+    Spark's first task writes a file even for no rows, and a blank file is refused on landing; below a partition
+    folder only tasks with rows write one.
+    """
+    rows.withColumn("drop", F.lit(0)).write.mode("append").partitionBy("drop").format(kind).options(**options).save(path)
+    return f"{path}/drop=0"
+
+
 def directories(spark: SparkSession, path: str) -> tuple[str, ...]:
     """Sub-directories of a written stand-in, in name order."""
     found = {entry.path.rsplit("/", 1)[0] for entry in storage.iter_files(spark, path) if "=" in entry.relative}

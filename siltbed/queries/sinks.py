@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltbed import extensions, storage
 from siltbed.plans.runner import RunResult, run_extract, run_pipeline
 from siltbed.plans.spec import BackfillWindow, PipelineSpec
-from siltbed.queries.fixtures import EVENT_SCHEMA, as_uri, event_rows
+from siltbed.queries.fixtures import EVENT_SCHEMA, as_uri, event_rows, write_drop
 from siltbed.queries.registry import query
 from siltbed.queries.views import context, table
 from siltbed.session import scratch_path
@@ -187,11 +187,11 @@ def landing_claims(spark, sf_dir):
     root, ledger_path = _root(spark)
     drop = scratch_path(spark, "drop")
     events = table(spark, sf_dir, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    options = {"paths": (drop,), "parser": "json", "schema": EVENT_SCHEMA, "manifest": f"{root}manifest"}
+    options = {"paths": (f"{drop}/drop=0",), "parser": "json", "schema": EVENT_SCHEMA, "manifest": f"{root}manifest"}
     runs = (("ts < '2024-01-16'", 10**15, "failed"), (None, 1, "success"), ("ts >= '2024-01-16'", 1, "success"), (None, 0, "success"))
     for part, least, wanted in runs:
         if part:
-            events.filter(part).write.mode("append").json(drop)
+            write_drop(events.filter(part), drop, "json")
         spec = PipelineSpec(
             "events", "bronze/events", source="files", source_options=options, extraction_mode="incremental",
             incremental_key="ts", min_rows_expected=least,
