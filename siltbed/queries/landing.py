@@ -170,14 +170,13 @@ def multi_path_union(spark, sf_dir):
     """Several landing directories become one table in one scan."""
     path = scratch_path(spark, "multi")
     orders = table(spark, sf_dir, "orders")
-    for status in ("F", "O", "P"):
-        orders.filter(F.col("o_orderstatus") == status).write.json(
-            f"{path}/{status}", timestampFormat="yyyy-MM-dd HH:mm:ss"
+    drops = [
+        fixtures.write_drop(
+            orders.filter(F.col("o_orderstatus") == status), f"{path}/{status}", "json", timestampFormat="yyyy-MM-dd HH:mm:ss"
         )
-    options = files.LandingOptions(
-        tuple(f"{path}/{status}" for status in ("F", "O", "P", "missing")), "json", orders.schema,
-        fail_fast=True,
-    )
+        for status in ("F", "O", "P")
+    ]
+    options = files.LandingOptions((*drops, f"{path}/missing"), "json", orders.schema, fail_fast=True)
     return files.read_landing(spark, options).rows
 
 

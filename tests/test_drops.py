@@ -20,6 +20,7 @@ TABLES = {
 }
 DROPPED = {
     "landing_claims": "events",
+    "multi_path_union": "orders",
 }
 
 
