@@ -246,9 +246,9 @@ def custom_source(spark, sf_dir):
 @query("custom_parser", CUSTOMER)
 def custom_parser(spark, sf_dir):
     """A user's byte parser, run over whole files in tasks."""
-    path = scratch_path(spark, "pipes")
     customer = table(spark, sf_dir, "customer")
-    customer.select(F.concat_ws("|", *customer.columns).alias("value")).write.text(path)
+    lines = customer.select(F.concat_ws("|", *customer.columns).alias("value"))
+    path = fixtures.write_drop(lines, scratch_path(spark, "pipes"), "text")
 
     def parse(data: bytes):
         for line in data.decode().splitlines():

@@ -21,6 +21,7 @@ TABLES = {
 DROPPED = {
     "landing_claims": "events",
     "multi_path_union": "orders",
+    "custom_parser": "customer",
 }
 
 
