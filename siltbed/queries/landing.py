@@ -52,10 +52,9 @@ def json_array_source(spark, sf_dir):
         .select("block", F.concat(F.lit("\n "), F.to_json("records")).alias("value"))
     )
     fixtures.write_text(arrays, f"{path}/arrays", "block")
-    customer.filter("c_mktsegment = 'BUILDING'").write.json(f"{path}/lines")
+    lines = fixtures.write_drop(customer.filter("c_mktsegment = 'BUILDING'"), f"{path}/lines", "json")
     options = files.LandingOptions(
-        (*fixtures.directories(spark, f"{path}/arrays"), f"{path}/lines"), "json", fixtures.CUSTOMER_SCHEMA,
-        fail_fast=True,
+        (*fixtures.directories(spark, f"{path}/arrays"), lines), "json", fixtures.CUSTOMER_SCHEMA, fail_fast=True
     )
     return files.read_landing(spark, options).rows
 

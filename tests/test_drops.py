@@ -22,6 +22,7 @@ DROPPED = {
     "landing_claims": "events",
     "multi_path_union": "orders",
     "custom_parser": "customer",
+    "json_array_source": "customer",
 }
 
 
