@@ -33,8 +33,7 @@ def csv_source(spark, sf_dir):
 
 @query("jsonl_source", CUSTOMER)
 def jsonl_source(spark, sf_dir):
-    path = scratch_path(spark, "jsonl")
-    table(spark, sf_dir, "customer").write.json(path)
+    path = fixtures.write_drop(table(spark, sf_dir, "customer"), scratch_path(spark, "jsonl"), "json")
     options = files.LandingOptions((path,), "json", fixtures.CUSTOMER_SCHEMA, fail_fast=True)
     return files.read_landing(spark, options).rows
 

@@ -23,6 +23,7 @@ DROPPED = {
     "multi_path_union": "orders",
     "custom_parser": "customer",
     "json_array_source": "customer",
+    "jsonl_source": "customer",
 }
 
 
