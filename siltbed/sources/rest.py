@@ -232,9 +232,16 @@ class RestReader(DataSourceReader):
         width = -(-last // self.options.parallelism)
         return [PageRange(lo, min(lo + width - 1, last), (lo - 1) * size, True) for lo in range(1, last + 1, width)]
 
-    def read(self, partition: PageRange) -> Iterator[tuple]:
+    def read(self, partition: PageRange) -> Iterator:
+        """Every page as a batch of its own: Spark would gather tuples, with their bodies, into batches of 10,000."""
+        import pyarrow as pa
+
         pages = range(partition.first, partition.last + 1)
-        yield from iter_pages(self.options, self.transport, pages, partition.offset, partition.whole)
+        for endpoint, page_no, n, text in iter_pages(self.options, self.transport, pages, partition.offset, partition.whole):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([endpoint]), pa.array([page_no], pa.int32()), pa.array([n], pa.int32()), pa.array([text])],
+                ["endpoint", "page_no", "n_records", "body"],
+            )
 
 
 def rest_source(transport: Transport) -> type[DataSource]:

@@ -371,6 +371,14 @@ def test_fetch_through_the_data_source(spark, folder):
         assert rows(rest.flatten_records(kept, "id bigint", None)) == [(1,), (2,), (3,), (4,), (5,)]
 
 
+def test_a_task_hands_on_every_page_before_it_asks_for_the_next():
+    served = Served([[{"id": 1}], [{"id": 2}, {"id": 3}], []])
+    reader = rest.RestReader(rest.RestOptions("u", pagination="page", max_pages=3), served)
+    asked = [(len(served.asked), batch.to_pylist()) for batch in reader.read(reader.partitions()[0])]
+    assert [(n, [(r["page_no"], r["n_records"]) for r in batch]) for n, batch in asked] == [(1, [(1, 1)]), (2, [(2, 2)])]
+    assert asked[1][1][0]["endpoint"] == "u" and json.loads(asked[1][1][0]["body"]) == [{"id": 2}, {"id": 3}]
+
+
 def test_task_functions_load_without_the_package(tmp_path):
     """Executors may not have the package: what is sent to them must not import it."""
     import subprocess
