@@ -3,8 +3,8 @@
 A unit vector o is rotated by a fixed random rotation and stored as the signs of its coordinates, s / sqrt(D), with the
 correction factor f = <s / sqrt(D), o>. For a rotated query q, <s / sqrt(D), q> / f estimates <o, q> without bias, and
 its error exceeds EPSILON * sqrt((1 - f^2) / f^2) / sqrt(D - 1) only with a small probability that shrinks like a
-Gaussian tail. The query side is rounded to four bits at random, without bias, so an estimate is four ANDs and bit
-counts. Pairs whose upper confidence bound is below the threshold are done with; all others are recomputed exactly in
+Gaussian tail. The query side is rounded to four bits at random, without bias, so the bounds of a block and a chunk are
+one product of small whole numbers and bits. Pairs whose upper confidence bound is below the threshold are done with; all others are recomputed exactly in
 double precision, and only those links count.
 
 Which pairs meet: a sample of the vectors, thinned so that no two are close, serves as centres (their number grows with
@@ -69,32 +69,34 @@ def words_of(packed: np.ndarray) -> np.ndarray:
 class Query:
     """Rotated unit vectors, each coordinate rounded at random to QUERY_BITS bits between the row's extremes."""
 
-    def __init__(self, x: np.ndarray):
-        turned = x @ rotation(x.shape[1])
+    def __init__(self, x: np.ndarray, turn: np.ndarray | None = None):
+        turned = x @ (rotation(x.shape[1]) if turn is None else turn)
         self.low = turned.min(axis=1)
         self.step = np.maximum((turned.max(axis=1) - self.low) / (2**QUERY_BITS - 1), 1e-300)
         noise = np.random.default_rng(SEED).random(turned.shape)
-        level = np.floor((turned - self.low[:, None]) / self.step[:, None] + noise).astype(np.uint8)
-        level = np.minimum(level, 2**QUERY_BITS - 1)
-        self.planes = [words_of(np.packbits((level >> j) & 1, axis=1)) for j in range(QUERY_BITS)]
-        self.sum = self.low * x.shape[1] + self.step * level.sum(axis=1)
-
-
-def upper_bounds(query: Query, codes: np.ndarray, factor: np.ndarray, d: int) -> np.ndarray:
-    """Upper confidence bound of the inner product of each query (row) and each coded vector (column)."""
-    weighted = np.zeros((len(query.sum), len(codes)))
-    ones = np.bitwise_count(codes).sum(axis=1)
-    for j, plane in enumerate(query.planes):
-        common = np.zeros(weighted.shape, np.int64)
-        for w in range(codes.shape[1]):
-            common += np.bitwise_count(plane[:, None, w] & codes[None, :, w])
-        weighted += common << j
+        level = np.floor((turned - self.low[:, None]) / self.step[:, None] + noise)
+        self.level = np.minimum(level, 2**QUERY_BITS - 1)
+        self.sum = self.low * x.shape[1] + self.step * self.level.sum(axis=1)
+
+
+def coded_side(codes: np.ndarray, factor: np.ndarray, d: int) -> np.ndarray:
+    """What ``upper_bounds`` needs of coded vectors: bits, their number and the constant, over the factor, and the spread."""
+    bits = np.unpackbits(codes.view(np.uint8), axis=1)[:, :d].astype(np.float64)
+    spread = np.sqrt(np.maximum(0.0, 1 - factor**2)) / factor / np.sqrt(max(1, d - 1))
+    return np.column_stack([
+        np.column_stack([bits, bits.sum(axis=1), np.ones(len(bits))]) / factor[:, None], EPSILON * spread
+    ])
+
+
+def upper_bounds(query: Query, codes: np.ndarray, factor: np.ndarray, d: int, side: np.ndarray | None = None) -> np.ndarray:
+    """Upper confidence bound of the inner product of each query (row) and each coded vector (column): one matrix product,
+    as the bound is linear in the query's levels. ``side`` is the ``coded_side`` of the codes, if it is at hand."""
     # <s, q> = 2 * (sum of q over the set bits) - (sum of q over all)
-    signs = 2 * (query.low[:, None] * ones[None, :] + query.step[:, None] * weighted) - query.sum[:, None]
-    estimate = signs / np.sqrt(d) / factor[None, :]
     rounding = query.step * np.sqrt(d) / 2 / np.sqrt(d)  # the rounding of D coordinates, as one standard error
-    spread = np.sqrt(np.maximum(0.0, 1 - factor**2)) / factor / np.sqrt(max(1, d - 1))
-    return estimate + EPSILON * (spread[None, :] + rounding[:, None] / factor[None, :] / np.sqrt(d))
+    own = np.column_stack([
+        2 * query.step[:, None] * query.level, 2 * query.low, EPSILON * rounding - query.sum, np.full(len(query.sum), np.sqrt(d))
+    ])
+    return own / np.sqrt(d) @ (coded_side(codes, factor, d) if side is None else side).T
 
 
 def local_roots(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
@@ -178,10 +180,11 @@ def compare_blocks(tile: pd.DataFrame, threshold: float) -> pd.DataFrame:
     left = np.flatnonzero(~resident | (tile["chunk"] == tile["at_chunk"]).to_numpy())
     right = np.flatnonzero(resident)
     links_a, links_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    turn, side = rotation(d), coded_side(codes[right], factor[right], d)
     many = max(1, (1 << 19) // max(1, len(right)))
     for at in range(0, len(left) if len(right) else 0, many):
         own = left[at:at + many]
-        able = upper_bounds(Query(x[own]), codes[right], factor[right], d) >= threshold
+        able = upper_bounds(Query(x[own], turn), codes[right], factor[right], d, side) >= threshold
         able &= rank[own][:, None] > rank[right][None, :]
         i, j = np.nonzero(able)
         if len(i) > able.size // 20:

@@ -104,3 +104,18 @@ def test_components(spark, edges):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_a_block_is_prepared_once_for_all_its_queries():
+    rng = np.random.default_rng(3)
+    for d in (2, 48, 64, 100):
+        x = units(rng.standard_normal((90, d)))
+        packed, factor = encode(x)
+        codes, query = words_of(packed), Query(x[:40], embedding_dedup.rotation(d))
+        signs = np.where(np.unpackbits(packed, axis=1)[:, :d], 1.0, -1.0)
+        rounded = query.low[:, None] + query.step[:, None] * query.level
+        spread = np.sqrt(np.maximum(0.0, 1 - factor**2)) / factor / np.sqrt(d - 1)
+        want = rounded @ signs.T / np.sqrt(d) / factor
+        want += embedding_dedup.EPSILON * (spread + query.step[:, None] / 2 / factor / np.sqrt(d))
+        side = embedding_dedup.coded_side(codes, factor, d)
+        assert np.abs(upper_bounds(query, codes, factor, d, side) - want).max() < 1e-12
