@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from siltbed import storage
 from siltbed.llm import bwt_merge, suffix_dedup
 from siltbed.llm.anchors import sliding_least, stretches
 from siltbed.llm.bwt_merge import repeated_starts
@@ -103,3 +104,12 @@ def test_stretches():
 
 def test_empty(spark):
     assert without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_only_the_spans_stay_on_disk(spark, folder, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "scratch_path", lambda session, label: f"{folder}/{label}")
+    text = "".join(chr(97 + i * i % 23) + str(i) for i in range(60))
+    docs = spark.createDataFrame([(1, text + "x" * 60), (2, "y" + text), (3, "z" * 90)], "doc_id long, text string")
+    out = suffix_dedup.without_repeats(docs, length=40).selectExpr("doc_id", "size(spans) AS n").collect()
+    assert {r.doc_id: r.n for r in out} == {1: 1, 2: 1, 3: 1}
+    assert [e.name for e in storage.visible_entries(spark, f"{folder}/suffixes")] == ["spans"]
