@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltbed import storage
 from siltbed.llm.batches import bounded_batches
 from siltbed.llm.bitsets import marked, may_hold
 from siltbed.llm.components import connected_components
@@ -231,6 +232,10 @@ def jaccard_groups(
         frame.write.parquet(f"{root}/{name}")
         return spark.read.parquet(f"{root}/{name}")
 
+    def done_with(*names: str) -> None:
+        for name in names:
+            storage.delete_tree(spark, f"{root}/{name}")
+
     keyed = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
     frequent = spark.sparkContext.broadcast(_frequent(keyed.select("key", "text"), width))  # at most MAX_FREQUENT values
 
@@ -287,6 +292,7 @@ def jaccard_groups(
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     entries = rows.filter("n > 0").select("set_id", "n", "prefix", "at").mapInArrow(meeting, "set_id long, n long, shingle long")
     entries = kept(entries.join(shared, "shingle").distinct().withColumn("band", band), "entries")
+    done_with("shared")
 
     def arrays_of(pairs: DataFrame, name: str) -> DataFrame:
         """Sorted shingle arrays of the sets in ``pairs``, read again from the texts; only marked texts are cut up."""
@@ -307,7 +313,9 @@ def jaccard_groups(
         return kept(found.join(wanted, "key").dropDuplicates(["set_id"]).select("set_id", "hashes"), f"{name}_arrays")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        return kept(_linked(pairs, arrays_of(pairs, name), percent), f"{name}_links")
+        links = kept(_linked(pairs, arrays_of(pairs, name), percent), f"{name}_links")
+        done_with(f"{name}_wanted", f"{name}_arrays")
+        return links
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -328,8 +336,12 @@ def jaccard_groups(
     reach = F.col("member") | (F.col("n") * 100 >= percent * F.col("least"))
     visiting = kept(visiting.join(distinct.select("t.*", "sets"), ["shingle", "band"]).filter(reach).select(
         F.xxhash64("shingle", "band").alias("tile"), "band", "sets", "set_id", "n", "member"), "visiting")
+    done_with("entries")
     met_sets = sets.select("at", "set_id").join(visiting.select("set_id").distinct(), "set_id")
     signs = kept(rows.select("at", "signature").join(met_sets, "at").select("set_id", "signature"), "signatures")
+    # The prefixes and the signatures of all rows have been used.
+    rows = kept(rows.select("doc_id", "key", "n", "set_id"), "members")
+    done_with("rows")
     sign = {x: signs.select(F.col("set_id").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"}
 
     def named(component: DataFrame | None) -> DataFrame:
@@ -359,6 +371,7 @@ def jaccard_groups(
         stars = stars.join(sign["a"], "a").join(sign["b"], "b").mapInPandas(bounded, "a long, b long")
         found = verified(kept(stars, f"stars{turn}"), f"stars{turn}_exact")
         links = found if links is None else links.union(found)
+        done_with(f"stars{turn}")
         component = kept(connected_components(links).withColumnRenamed("node", "set_id"), f"components{turn}")
 
     # Then the tiles, among sets that are not connected yet: which sets have a candidate there, by signatures, ...
@@ -386,6 +399,7 @@ def jaccard_groups(
     arrays = arrays_of(met.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")), "met")
     second = kept(met.join(arrays, "set_id").repartition("tile").sortWithinPartitions("tile").mapInPandas(
         lambda batches: _by_tile(batches, lambda rows: _linked_in_tiles(rows, percent)), "a long, b long"), "second")
+    done_with("met", "met_wanted", "met_arrays", "visiting", "signatures")
 
     final = connected_components(links.union(second)).withColumnRenamed("node", "set_id")
     by_set = rows.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))

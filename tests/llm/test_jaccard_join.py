@@ -6,6 +6,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
+from siltbed import storage
 from siltbed.llm import jaccard_join
 from siltbed.llm.bitsets import marked, may_hold
 from siltbed.llm.jaccard_join import jaccard_components, may_link, signature
@@ -165,3 +166,15 @@ def groups(many, links):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     return [find(i) for i in range(many)]
+
+
+def test_large_tables_are_deleted_once_used(spark, folder, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "scratch_path", lambda session, label: f"{folder}/{label}")
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words[::-1]), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs, 4, 85).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+    left = {e.name for e in storage.visible_entries(spark, f"{folder}/jaccard")}
+    assert "members" in left and not left & {"rows", "shared", "entries", "visiting", "signatures", "met", "stars0", "stars1"}
+    assert not [name for name in left if name.endswith(("_wanted", "_arrays"))]
