@@ -9,15 +9,15 @@ from collections import Counter
 from datetime import date, datetime
 from pathlib import Path
 
-import duckdb
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
 
 
-def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
+def oracle_connection(sf_dir: str):
+    import duckdb
+
     con = duckdb.connect()
     for name in TABLES:
         if Path(f"{sf_dir}/{name}.parquet").exists():
